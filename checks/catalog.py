@@ -7,22 +7,30 @@ DuckDB and independently of the Spark code; ``None`` means rows-only.
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.fixtures import PHRASE, view, with_views
+from checks.fixtures import PHRASE, table, view, with_views
 from newslens.functions import labels as L
 from newslens.functions import text as X
 from newslens.operators import events, sentiment
 from newslens.operators.classify import article_text, classify, phrase_articles
-from newslens.operators.clean import clean_event_rows, clean_labels, event_id, event_name
-from newslens.operators.clean import sentinels_to_null
+from newslens.operators.clean import (
+    clean_event_rows,
+    clean_labels,
+    sentinels_to_null,
+    stored_event_id,
+    stored_event_name,
+)
 from newslens.operators.responses import (
     answer_fields,
     cap,
-    event_fields,
+    event_key,
+    event_name,
     label_rows,
     parse_answers,
     reason_text,
@@ -35,6 +43,9 @@ from newslens.sources.articles import normalize_articles, read_articles, sorted_
 from newslens.sources.sinks import article_event_columns, classified_columns
 from newslens.streaming.incremental import classify_stream, stored_labels
 
+# the stand-in classifiers below travel to the executors with the job
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -304,19 +315,19 @@ def render_prompts(spark, sf):
 
 @check("SELECT doc_id, lower(strip_accents(text)) AS folded FROM documents")
 def fold_accents(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = table(spark, sf, "documents")
     return docs.select("doc_id", X.fold_accents(F.col("text")).alias("folded"))
 
 
 @check(f"SELECT doc_id, {_slug_sql('text')} AS slug FROM documents")
 def slug_classifier(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = table(spark, sf, "documents")
     return docs.select("doc_id", X.slug_classifier(F.col("text")).alias("slug"))
 
 
 @check(f"SELECT doc_id, {_ascii_slug_sql('text')} AS slug FROM documents")
 def slug_ranker(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = table(spark, sf, "documents")
     return docs.select("doc_id", X.slug_ranker(F.col("text")).alias("slug"))
 
 
@@ -361,7 +372,7 @@ def label_score(spark, sf):
 def score_repair(spark, sf):
     label = L.label_strict(F.col("label"))
     return _text_labels(spark, sf).select(
-        "recordKey", L.score_repair(F.col("sentiment_score"), label).alias("score")
+        "recordKey", L.score_repair(L.to_number(F.col("sentiment_score")), label).alias("score")
     )
 
 
@@ -412,8 +423,8 @@ def event_backfill(spark, sf):
     name = F.when(F.length("tipo_evento") > 3, F.col("evento")).otherwise(F.lit(""))
     return rows.select(
         "recordKey",
-        event_name(name, F.col("evento_chave")).alias("evento"),
-        event_id(F.col("evento_id"), F.col("evento_chave")).alias("evento_id"),
+        stored_event_name(name, F.col("evento_chave")).alias("evento"),
+        stored_event_id(F.col("evento_id"), F.col("evento_chave")).alias("evento_id"),
     )
 
 
@@ -429,9 +440,12 @@ def event_field_rules(spark, sf):
         F.concat(F.lit("  "), "evento", F.lit(" "))
     )
     key = F.when(F.col("tipo_evento") != "n/a", F.concat("evento_chave", F.lit("\n")))
-    name, key, slug = event_fields(event, key)
-    return _text_labels(spark, sf).select(
-        "recordKey", name.alias("evento"), key.alias("evento_chave"), slug.alias("evento_id")
+    return (
+        _text_labels(spark, sf)
+        .select("recordKey", event_name(event, key).alias("evento"), key.alias("_key"))
+        .withColumn("evento_chave", event_key(F.col("_key"), F.col("evento")))
+        .withColumn("evento_id", X.slug_classifier(F.col("evento_chave")))
+        .drop("_key")
     )
 
 
@@ -439,7 +453,7 @@ def event_field_rules(spark, sf):
        CASE WHEN lang <> 'en' THEN text ELSE source END AS why FROM documents""")
 def cap_fields(spark, sf):
     """Length caps per field, and the fallback between the two reason fields."""
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = table(spark, sf, "documents")
     answer = F.struct(
         F.when(F.col("lang") != "en", F.col("text")).otherwise(F.lit("")).alias("reason_sentimento"),
         F.col("source").alias("reason"),

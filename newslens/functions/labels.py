@@ -58,13 +58,14 @@ def to_number(text: Column) -> Column:
 
 def to_article_id(value: Column) -> Column:
     """Numeric id as BIGINT; non-numeric text is NULL, a fraction is cut off."""
-    text = strip(value.cast("string"))
-    return F.coalesce(text.try_cast("bigint"), to_number(text).try_cast("bigint"))
+    return F.coalesce(
+        strip(value.cast("string")).try_cast("bigint"), to_number(value).try_cast("bigint")
+    )
 
 
 def score_repair(score: Column, label: Column) -> Column:
-    """Stored score, else the label's; a number beside an n/a label is kept."""
-    return F.coalesce(to_number(score), label_score(label).cast("double"))
+    """Parsed score, else the label's; a number beside an n/a label is kept."""
+    return F.coalesce(score, label_score(label).cast("double"))
 
 
 def parse_timestamp(text: Column, formats: Sequence[str] = ()) -> Column:

@@ -38,6 +38,11 @@ def first_filled(*texts: Column) -> Column:
     return F.coalesce(*[F.nullif(t, F.lit("")) for t in texts], F.lit(""))
 
 
+def is_ascii(text: Column) -> Column:
+    """One byte per character; lets plain texts skip the character tables."""
+    return F.length(text) == F.octet_length(text)
+
+
 def _is_mark(ch: str) -> bool:
     return unicodedata.category(ch) == "Mn"
 
@@ -71,7 +76,8 @@ def _fold_table() -> tuple[str, str]:
 def fold_accents(text: Column) -> Column:
     """Lower-case text without accents; missing becomes empty."""
     source, target = _fold_table()
-    return F.lower(F.translate(or_empty(text), source, target))
+    text = or_empty(text)
+    return F.lower(F.when(is_ascii(text), text).otherwise(F.translate(text, source, target)))
 
 
 def fold_literal(text: str) -> str:
@@ -101,12 +107,14 @@ def render_prompt(template: str, text: Column, max_chars: int = MAX_INPUT_CHARS)
 
 def _dashed(text: Column) -> Column:
     slug = F.trim(F.regexp_replace(text, "[^a-z0-9]+", "-"), F.lit("-"))
-    return F.when(slug == "", F.lit(NO_EVENT_SLUG)).otherwise(slug)
+    return F.coalesce(F.nullif(slug, F.lit("")), F.lit(NO_EVENT_SLUG))
 
 
 def slug_classifier(text: Column) -> Column:
     """Slug of the classification stage: twelve known accents, the rest becomes a dash."""
-    return _dashed(F.translate(F.lower(or_empty(text)), SLUG_ACCENTS, SLUG_PLAIN))
+    text = F.lower(or_empty(text))
+    plain = F.translate(text, SLUG_ACCENTS, SLUG_PLAIN)
+    return _dashed(F.when(is_ascii(text), text).otherwise(plain))
 
 
 @lru_cache(maxsize=1)
@@ -137,10 +145,12 @@ def slug_ranker(text: Column) -> Column:
         F.lit("\x01"),
         F.lit("\x02"),
     )
-    text = F.translate(or_empty(text), source, target)
-    others = F.array_distinct(F.regexp_extract_all(text, F.lit(r"[^\x00-\x7F]"), F.lit(0)))
+    text = or_empty(text)
+    single = F.translate(text, source, target)
+    others = F.array_distinct(F.regexp_extract_all(single, F.lit(r"[^\x00-\x7F]"), F.lit(0)))
     kinds = F.filter(others, lambda ch: F.try_element_at(spelled, ch).isNotNull())
-    text = F.aggregate(
-        kinds, text, lambda out, ch: F.replace(out, ch, F.try_element_at(spelled, ch))
+    spelled_out = F.aggregate(
+        kinds, single, lambda out, ch: F.replace(out, ch, F.try_element_at(spelled, ch))
     )
-    return _dashed(F.lower(F.regexp_replace(text, r"[^\x00-\x7F]+", "")))
+    plain = F.regexp_replace(spelled_out, r"[^\x00-\x7F]+", "")
+    return _dashed(F.lower(F.when(is_ascii(text), text).otherwise(plain)))

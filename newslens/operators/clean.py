@@ -40,6 +40,20 @@ def _is_text(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, T.StringType)
 
 
+def _article_id(df: DataFrame) -> Column:
+    if isinstance(df.schema["articleId"].dataType, T.IntegralType):
+        return F.col("articleId").cast("bigint")
+    return to_article_id(F.col("articleId"))
+
+
+def _score(df: DataFrame) -> Column:
+    if "sentiment_score" not in df.columns:
+        return F.lit(None).cast("double")
+    if isinstance(df.schema["sentiment_score"].dataType, T.NumericType):
+        return F.col("sentiment_score").cast("double")
+    return to_number(F.col("sentiment_score"))
+
+
 def _timestamp(df: DataFrame, name: str, formats: Sequence[str]) -> Column:
     if name not in df.columns:
         return F.lit(None).cast("timestamp")
@@ -83,14 +97,12 @@ def clean_labels(rows: DataFrame, timestamp_formats: Sequence[str] = ()) -> Data
         }
     ).withColumn("month", month_of(F.col("publishedAt")))
     if "sentiment_score" in rows.columns:
-        rows = rows.withColumn("sentiment_score", to_number(F.col("sentiment_score")))
+        rows = rows.withColumn("sentiment_score", _score(rows))
     if "articleId" not in rows.columns:
         return rows
     require_columns(rows, ["recordKey"])
     return dedupe_articles(
-        rows.withColumn("articleId", to_article_id(F.col("articleId"))).where(
-            F.col("articleId").isNotNull()
-        )
+        rows.withColumn("articleId", _article_id(rows)).where(F.col("articleId").isNotNull())
     )
 
 
@@ -101,32 +113,33 @@ def clean_event_rows(rows: DataFrame, timestamp_formats: Sequence[str] = ()) ->
     for name in EVENT_OPTIONAL:
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(""))
-    score = F.col("sentiment_score") if "sentiment_score" in rows.columns else F.lit(None)
+    article_id, score = _article_id(rows), _score(rows)
     published = _timestamp(rows, "publishedAt", timestamp_formats)
     texts = [f.name for f in rows.schema.fields if isinstance(f.dataType, T.StringType)]
     rows = rows.withColumns(
         {
-            **{c: or_empty(F.col(c)) for c in texts if c != "publishedAt"},
-            "articleId": to_article_id(F.col("articleId")),
+            **{c: or_empty(F.col(c)) for c in texts if c not in ("publishedAt", "sentiment_score")},
+            "articleId": article_id,
             "publishedAt": published,
             "label": label_strict(F.col("label")),
+            "sentiment_score": score,
         }
     ).where(F.col("articleId").isNotNull())
     rows = rows.withColumns(
         {
-            "sentiment_score": score_repair(score, F.col("label")),
-            "evento": event_name(F.col("evento"), F.col("evento_chave")),
-            "evento_id": event_id(F.col("evento_id"), F.col("evento_chave")),
+            "sentiment_score": score_repair(F.col("sentiment_score"), F.col("label")),
+            "evento": stored_event_name(F.col("evento"), F.col("evento_chave")),
+            "evento_id": stored_event_id(F.col("evento_id"), F.col("evento_chave")),
         }
     )
     return dedupe_articles(rows)
 
 
-def event_name(name: Column, key: Column) -> Column:
+def stored_event_name(name: Column, key: Column) -> Column:
     """Stored event name, else its key."""
     return F.when(F.length(name) > 0, name).otherwise(key)
 
 
-def event_id(stored: Column, key: Column) -> Column:
+def stored_event_id(stored: Column, key: Column) -> Column:
     """Stored event id, else the ranking slug of the key."""
     return F.when(F.length(stored) > 0, stored).otherwise(slug_ranker(key))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from newslens.functions.labels import label_fuzzy, label_score
 from newslens.functions.text import first_filled, or_empty, slug_classifier, strip
-from newslens.schema import FIELD_CAPS, LABEL_COLUMNS, NO_LABEL
+from newslens.schema import FIELD_CAPS, LABEL_COLUMNS
 
 ANSWER_FIELDS = [
     "label", "reason_sentimento", "reason", "evento", "evento_chave",
@@ -33,26 +33,35 @@ def parse_answers(rows: DataFrame, content: str = "content") -> DataFrame:
     """
     body = F.regexp_extract(F.col(content), r"(?s)\{.*\}", 0)
     items = F.from_json(F.concat(F.lit("["), body, F.lit("]")), _ANSWER_TYPE, _JSON_OPTIONS)
-    rows = rows.withColumn("_items", items)
-    answer = F.get(F.col("_items"), F.lit(0))
-    label = answer["label"]
-    text = label.cast("string")
-    is_text = F.schema_of_variant(label) == "STRING"
-    counts_as_empty = label.isNull() | text.isNull() | (~is_text & text.isin(_FALSY_JSON))
-    usable = (body != "") & (F.size("_items") == 1) & (counts_as_empty | is_text)
-    fields = [F.when(is_text, text).alias("label")] + [
-        answer[f].alias(f) for f in ANSWER_FIELDS if f != "label"
+    # one column per step, so that each is computed once per row
+    rows = (
+        rows.withColumn("_items", items)
+        .withColumn("_answer", F.when(F.size("_items") == 1, F.get("_items", F.lit(0))))
+        .withColumns(
+            {
+                "_label": F.col("_answer.label").cast("string"),
+                "_is_text": F.schema_of_variant("_answer.label") == "STRING",
+            }
+        )
+    )
+    is_text, label = F.coalesce("_is_text", F.lit(False)), F.col("_label")
+    usable = F.col("_answer").isNotNull() & (is_text | label.isNull() | label.isin(_FALSY_JSON))
+    fields = [F.when(is_text, label).alias("label")] + [
+        F.col(f"_answer.{f}").alias(f) for f in ANSWER_FIELDS if f != "label"
     ]
-    return rows.withColumns(
-        {"answered": F.coalesce(usable, F.lit(False)), "parsed": F.struct(*fields)}
-    ).drop("_items")
+    return rows.withColumns({"answered": usable, "parsed": F.struct(*fields)}).drop(
+        "_items", "_answer", "_label", "_is_text"
+    )
+
 
+def event_name(event: Column, key: Column) -> Column:
+    """Event name, else the event key."""
+    return strip(first_filled(event, key))
 
-def event_fields(event: Column, key: Column) -> tuple[Column, Column, Column]:
-    """Event name, key and id; name and key stand in for each other."""
-    name = strip(first_filled(event, key))
-    key = strip(first_filled(key, name))
-    return name, key, slug_classifier(key)
+
+def event_key(key: Column, name: Column) -> Column:
+    """Event key, else the event name. Its classifier slug is the event id."""
+    return strip(first_filled(key, name))
 
 
 def reason_text(answer: Column) -> Column:
@@ -73,23 +82,28 @@ def answer_fields(responses: DataFrame) -> DataFrame:
         responses = responses.withColumn("error", F.lit(None).cast("string"))
     rows = parse_answers(responses.withColumn("content", strip(or_empty(F.col("content")))))
     ok = F.col("answered") & F.col("error").isNull()
-    fallback = F.when(
-        F.col("error").isNotNull(), F.concat(F.lit("API error: "), F.col("error"))
-    ).otherwise(F.col("content"))
-    answer = F.col("parsed")
-    name, key, slug = event_fields(F.when(ok, answer["evento"]), F.when(ok, answer["evento_chave"]))
-    label = F.when(ok, label_fuzzy(answer["label"])).otherwise(F.lit(NO_LABEL))
-    optional = [
-        F.when(ok, cap(f, answer[f])).alias(f) for f in FIELD_CAPS if f != "reason"
-    ]
+    answer = F.col("answer")
+    failure = F.coalesce(F.concat(F.lit("API error: "), F.col("error")), F.col("content"))
+    rows = (
+        rows.withColumn("answer", F.when(ok, F.col("parsed")))
+        .withColumns(
+            {
+                "label": label_fuzzy(answer["label"]),
+                "reason": cap("reason", F.when(answer.isNull(), failure).otherwise(reason_text(answer))),
+                "evento": event_name(answer["evento"], answer["evento_chave"]),
+            }
+        )
+        .withColumns(
+            {
+                "sentiment_score": label_score(F.col("label")),
+                "evento_chave": event_key(answer["evento_chave"], F.col("evento")),
+            }
+        )
+        .withColumn("evento_id", slug_classifier(F.col("evento_chave")))
+    )
+    optional = [cap(f, answer[f]).alias(f) for f in FIELD_CAPS if f != "reason"]
     return rows.select(
-        "recordKey",
-        label.alias("label"),
-        label_score(label).alias("sentiment_score"),
-        cap("reason", F.when(ok, reason_text(answer)).otherwise(fallback)).alias("reason"),
-        name.alias("evento"),
-        key.alias("evento_chave"),
-        slug.alias("evento_id"),
+        "recordKey", "label", "sentiment_score", "reason", "evento", "evento_chave", "evento_id",
         *optional,
     )
 

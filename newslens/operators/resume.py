@@ -38,8 +38,13 @@ def completed(labels: DataFrame) -> DataFrame:
 
 
 def pending_articles(articles: DataFrame, labels: DataFrame) -> DataFrame:
-    """Articles without a completed label row; failed calls are pending again."""
-    return articles.join(completed(labels).select("recordKey"), "recordKey", "left_anti")
+    """Articles without a completed label row; failed calls are pending again.
+
+    A key may have many stored rows, so the keys are made distinct before they
+    are shuffled.
+    """
+    done = completed(labels).select("recordKey").distinct()
+    return articles.join(done, "recordKey", "left_anti")
 
 
 def upsert_labels(existing: DataFrame, new: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -102,9 +102,6 @@ INDEXED_ARTICLE_SCHEMA = T.StructType(
 
 CORPUS_SCHEMA = T.StructType([T.StructField("articles", T.ArrayType(ARTICLE_SCHEMA))])
 
-#: label files are text; typed columns are derived when they are cleaned
-LABEL_TEXT_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in LABEL_COLUMNS])
-
 #: label rows as this package produces them
 LABEL_SCHEMA = T.StructType(
     [

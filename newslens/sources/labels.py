@@ -4,24 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newslens.schema import LABEL_TEXT_SCHEMA, RESPONSE_SCHEMA
+from newslens.schema import RESPONSE_SCHEMA
 
 
 def read_labels(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """Label rows as stored; cleaning decides what counts as missing.
 
-    CSV files carry a header and are matched to columns by name, so a file may
-    have fewer columns or another order; every column is read as text. Empty
-    text stays empty. A byte-order mark is skipped.
+    CSV files have a header, and every column is text: types are never guessed,
+    because a month would turn into a timestamp. A byte-order mark is skipped and
+    an empty cell is NULL. A quoted cell may hold line breaks, so one CSV file is
+    one task; keep large label tables in Parquet.
     """
-    if fmt != "csv":
-        return spark.read.format(fmt).load(path)
-    options = dict(header=True, multiLine=True, escape='"', encoding="UTF-8", emptyValue="", nullValue="\0")
-    header = spark.read.options(**options).csv(path).columns
-    known = {f.name: f for f in LABEL_TEXT_SCHEMA.fields}
-    schema = ", ".join(f"`{name}` STRING" for name in header)
-    rows = spark.read.options(**options).schema(schema).csv(path)
-    return rows.select(*[f"`{name}`" for name in header if name in known or name == "month"])
+    reader = spark.read.format(fmt)
+    if fmt == "csv":
+        reader = reader.options(header=True, inferSchema=False, multiLine=True, escape='"')
+    return reader.load(path)
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:

@@ -1,0 +1,93 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from newslens.operators import clean as C
+from newslens.sources.labels import read_labels
+
+HEADER = "recordKey,id,articleId,publishedAt,title,label,sentiment_score,evento,evento_chave,evento_id,tipo_evento,local,sourceHost"
+CSV = "﻿" + HEADER + """
+r2,i,1,2024-02-01,Segundo,positivo,1,,obra,,n/a,None,h
+r1,i,1,2024-01-01T10:00:00Z,"Primeiro, com ""aspas""
+e linha", Muito Positivo ,,Nome,obra,oid,outro,Rio,
+r9,i,2,,Sem data,n/a,1,N/A,É o quê,,NA,null,n/a
+r8,i,2,x,Sem data,,abc,,,,,,
+r0,i,x,2024-01-01,Id ruim,neutro,0,,,,,,
+r3,i,3.0,2024-03-01,,negativo,,,,,,,h
+"""
+
+
+@pytest.fixture
+def stored(spark, tmp_path):
+    path = tmp_path / "labels.csv"
+    path.write_text(CSV, encoding="utf-8")
+    return read_labels(spark, str(path))
+
+
+def test_reader_keeps_text_as_it_is(stored):
+    assert stored.columns == HEADER.split(",")
+    row = stored.where("recordKey = 'r1'").first()
+    assert row.title == 'Primeiro, com "aspas"\ne linha' and row.sentiment_score is None
+    assert stored.where("recordKey = 'r9'").first().local == "null"
+
+
+def test_sentiment_stage_rules(stored):
+    got = {r.articleId: r for r in C.clean_labels(stored).collect()}
+    assert set(got) == {1, 2, 3}
+    assert (got[1].recordKey, got[1].label, got[1].month, got[1].sourceHost) == ("r1", "muito positivo", "2024-01", None)
+    assert (got[2].recordKey, got[2].label, got[2].month) == ("r8", "n/a", None)
+    assert (got[2].local, got[2].tipo_evento, got[2].sentiment_score) == (None, None, None)
+    assert (got[3].title, got[3].evento) == (None, None)
+
+
+def test_event_stage_rules(stored):
+    got = {r.articleId: r for r in C.clean_event_rows(stored).collect()}
+    assert (got[1].label, got[1].sentiment_score, got[1].evento, got[1].evento_id) == ("muito positivo", 2.0, "Nome", "oid")
+    assert (got[2].recordKey, got[2].sentiment_score, got[2].evento_id) == ("r8", None, "evento-sem-chave")
+    assert (got[3].title, got[3].sentiment_score, got[3].tipo_evento) == ("", -1.0, "")
+
+
+def test_event_stage_keeps_sentinels_and_scores_beside_na(stored):
+    row = C.clean_event_rows(stored.where("recordKey = 'r9'")).first()
+    assert (row.label, row.sentiment_score, row.evento, row.local, row.evento_id) == ("n/a", 1.0, "N/A", "null", "e-o-que")
+
+
+def test_missing_columns_are_named(stored):
+    with pytest.raises(ValueError, match="id, label"):
+        C.clean_labels(stored.drop("id", "label"))
+    with pytest.raises(ValueError, match="title, evento_chave"):
+        C.clean_event_rows(stored.drop("title", "evento_chave"))
+
+
+def test_without_article_id_nothing_is_deduplicated(stored):
+    assert C.clean_labels(stored.drop("articleId")).count() == 6
+
+
+def test_optional_columns_may_be_absent(stored):
+    slim = stored.drop("publishedAt", "sentiment_score", "evento", "evento_id", "tipo_evento", "local")
+    row = C.clean_event_rows(slim).where("articleId = 1").first()
+    # without dates the smallest record key comes first
+    assert (row.recordKey, row.evento, row.evento_id, row.sentiment_score) == ("r1", "obra", "obra", 2.0)
+
+
+def test_other_time_zone_is_refused(spark, stored):
+    spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
+    try:
+        with pytest.raises(ValueError, match="UTC"):
+            C.clean_labels(stored)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_dedupe_does_not_depend_on_input_order(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([1, 1, 1, 2, 3]), rng.choice([None, "2024-01-01", "2024-01-02"]), f"r{i:03}") for i in range(300)]
+    expected = {}
+    for aid, day, key in sorted(rows, key=lambda r: (r[0], r[1] is None, r[1] or "", r[2])):
+        expected.setdefault(aid, key)
+    for seed in (1, 2):
+        rng.shuffle(rows)
+        df = spark.createDataFrame(rows, "articleId long, day string, recordKey string").repartition(7, F.rand(seed))
+        out = C.dedupe_articles(df.withColumn("publishedAt", F.to_timestamp("day")))
+        assert {r.articleId: r.recordKey for r in out.collect()} == expected

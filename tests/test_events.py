@@ -1,0 +1,196 @@
+import random
+from collections import Counter, defaultdict
+from datetime import datetime, timedelta
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from newslens.operators import events as E
+from newslens.schema import EVENT_SUMMARY_COLUMNS, LABELS, SCORES
+
+SCHEMA = ("evento_id string, evento_chave string, evento string, tipo_evento string, local string, title string, "
+          "label string, sentiment_score double, publishedAt timestamp, articleId long")
+
+
+def row(event="e", key="k", name="n", kind="t", place="p", title="a", label="neutro", score=None, day=None, aid=1):
+    score = SCORES.get(label) if score is None else score
+    at = None if day is None else datetime(2024, 1, 1) + timedelta(days=day)
+    return (event, key, name, kind, place, title, label, None if score is None else float(score), at, aid)
+
+
+def summary(spark, rows, **options):
+    return E.event_summary(spark.createDataFrame(rows, SCHEMA), **options)
+
+
+def test_counts_shares_and_weights(spark):
+    labels = ["muito negativo", "negativo", "neutro", "positivo", "positivo", "muito positivo", "n/a"]
+    got = summary(spark, [row(label=l, aid=i) for i, l in enumerate(labels)])
+    assert got.columns == EVENT_SUMMARY_COLUMNS
+    r = got.first()
+    assert (r.n_artigos, r.n_classificados, r.score_medio, r.media_sentimento) == (7, 6, 0.1667, 0.1667)
+    assert (r.n_positivas, r.n_negativas, r.n_muito_positivas, r.n_muito_negativas) == (3, 2, 1, 1)
+    assert (r.share_positivo, r.share_negativo) == (0.4286, 0.2857)
+    assert (r.share_muito_positivo, r.share_muito_negativo) == (0.1667, 0.1667)
+    assert (r.peso_positivo, r.peso_negativo, r["n/a"]) == (4, 3, 1)
+
+
+def test_event_without_scores(spark):
+    r = summary(spark, [row(label="n/a", aid=i) for i in range(3)]).first()
+    assert (r.n_artigos, r.n_classificados, r.score_medio, r.share_muito_positivo) == (3, 0, None, 0.0)
+
+
+def test_modes_prefer_the_smallest_text_on_ties_and_count_empty_text(spark):
+    rows = [row(key="b", name="", kind="x", place="z", aid=1), row(key="a", name="", kind="y", place="y", aid=2),
+            row(key="b", name="n", kind="y", place="x", aid=3), row(key="a", name="m", kind="x", place="w", aid=4)]
+    r = summary(spark, rows).first()
+    assert (r.evento, r.evento_exemplo, r.tipo_evento, r.local) == ("a", "", "x", "w")
+
+
+def test_type_and_place_may_be_absent(spark):
+    df = spark.createDataFrame([row()], SCHEMA).drop("tipo_evento", "local")
+    r = E.event_summary(df).first()
+    assert (r.tipo_evento, r.local) == ("", "")
+
+
+def test_titles_are_the_first_five_distinct_ones(spark):
+    rows = [row(title="late", aid=1), row(title="c", day=2, aid=2), row(title="a", day=1, aid=9),
+            row(title="b", day=1, aid=3), row(title="c", day=0, aid=8), row(title="d", day=5, aid=4),
+            row(title="late", day=None, aid=5), row(title="e", day=6, aid=6), row(title="f", day=7, aid=7)]
+    assert summary(spark, rows).first().titulos_exemplo == "c | b | a | d | e"
+    few = [row(title="late", aid=2), row(title="a", day=3, aid=5), row(title="", aid=1)]
+    assert summary(spark, few).first().titulos_exemplo == "a |  | late"
+    titles = E.event_titles(spark.createDataFrame(rows, SCHEMA), 2).first()
+    assert titles.titulos_exemplo == "c | b"
+    assert summary(spark, rows, n_titles=8).first().titulos_exemplo == "c | b | a | d | e | f | late"
+
+
+def brute_force(rows):
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r[0]].append(r)
+
+    def mode(values):
+        top = max(Counter(values).values())
+        return min(v for v, n in Counter(values).items() if n == top)
+
+    out = {}
+    for event, g in groups.items():
+        g.sort(key=lambda r: (r[8] is None, r[8] or datetime.min, r[9]))
+        c, scores = Counter(r[6] for r in g), [r[7] for r in g if r[7] is not None]
+        good, bad = c["positivo"] + c["muito positivo"], c["negativo"] + c["muito negativo"]
+        mean = float(np.round(np.mean(scores), 4)) if scores else None
+        base = len(scores) or len(g)
+        out[event] = (
+            mode([r[1] for r in g]), mode([r[2] for r in g]), mode([r[3] for r in g]), mode([r[4] for r in g]),
+            len(g), len(scores), mean, mean, *[c[l] for l in LABELS], good, bad, c["muito positivo"], c["muito negativo"],
+            round(good / len(g), 4), round(bad / len(g), 4), round(c["muito positivo"] / base, 4),
+            round(c["muito negativo"] / base, 4), good + c["muito positivo"], bad + c["muito negativo"],
+            " | ".join(list(dict.fromkeys(r[5] for r in g))[:5]),
+        )
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_summary_equals_brute_force_with_one_hot_event(spark, parts):
+    rng = random.Random(11)
+    rows = [
+        row(event=rng.choice(["evento-sem-chave", f"e{rng.randrange(40)}"]), key=rng.choice("abcd"),
+            name=rng.choice(["", "x", "y"]), kind=rng.choice("tu"), place=rng.choice(["", "Rio", "Búzios"]),
+            title=f"t{rng.randrange(60)}", label=rng.choice(LABELS), day=rng.choice([None, *range(9)]), aid=i)
+        for i in range(900)
+    ]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(parts, F.rand(5))
+    got = {r[0]: tuple(r[1:]) for r in E.event_summary(df).collect()}
+    assert got == brute_force(rows)
+
+
+def test_minimum_number_of_articles(spark):
+    rows = [row(event="a", aid=1), row(event="a", aid=2), row(event="b", aid=3)]
+    assert [r.evento_id for r in summary(spark, rows, min_articles=2).collect()] == ["a"]
+    assert summary(spark, rows).count() == 2
+
+
+def test_empty_input_gives_empty_tables(spark):
+    empty = summary(spark, [])
+    assert empty.count() == 0 and E.top_positive(empty).count() == 0
+
+
+def events(spark, *rows):
+    columns = ["evento_id", "score_medio", "share_positivo", "share_muito_positivo", "peso_positivo", "n_artigos",
+               "n_positivas", "n_negativas"]
+    df = spark.createDataFrame(rows, "evento_id string, score_medio double, share_positivo double, "
+                               "share_muito_positivo double, peso_positivo long, n_artigos long, "
+                               "n_positivas long, n_negativas long").select(*columns)
+    return df.withColumns({
+        "n_classificados": F.col("n_artigos"),
+        "share_negativo": F.col("share_positivo"), "share_muito_negativo": F.col("share_muito_positivo"),
+        "peso_negativo": F.col("peso_positivo"),
+    })
+
+
+RANKED = [
+    ("a", 2.0, 1.0, 1.0, 2, 1, 1, 0),
+    ("b", 1.0, 1.0, 0.5, 3, 2, 2, 0),
+    ("c", 1.0, 1.0, 0.0, 4, 4, 4, 0),
+    ("d", 1.0, 1.0, 0.0, 3, 3, 3, 0),
+    ("e", 1.0, 1.0, 0.0, 3, 2, 2, 0),
+    ("f", 1.0, 1.0, 0.0, 3, 2, 2, 0),
+    ("g", 1.0, 0.5, 1.0, 9, 9, 9, 0),
+]
+UNRANKED = [("zero", 0.0, 1.0, 1.0, 9, 9, 9, 0), ("even", 0.5, 0.5, 0.5, 2, 2, 1, 1), ("none", None, 1.0, 0.0, 1, 1, 1, 0)]
+
+
+def test_positive_ranking_uses_each_key_in_turn(spark):
+    df = events(spark, *RANKED[::-1], *UNRANKED)
+    assert [r.evento_id for r in E.rank_positive(df).collect()] == list("abcdefg")
+    assert [r.evento_id for r in E.rank_positive(df, min_articles=3).collect()] == list("cdg")
+    assert [r.evento_id for r in E.rank_positive(df, 1, 4).collect()] == list("cg")
+
+
+def test_negative_ranking_mirrors_it(spark):
+    flip = [(e, None if s is None else -s, *rest[:-2], rest[-1], rest[-2]) for e, s, *rest in [*RANKED, *UNRANKED]]
+    df = events(spark, *flip)
+    assert [r.evento_id for r in E.rank_negative(df).collect()] == list("abcdefg")
+    assert E.rank_positive(df).count() == 0
+
+
+def test_top_is_numbered_and_cut(spark):
+    got = E.top_positive(events(spark, *RANKED), n=3).orderBy("rank").collect()
+    assert [(r["rank"], r.evento_id) for r in got] == [(1, "a"), (2, "b"), (3, "c")]
+
+
+def test_summary_order(spark):
+    df = spark.createDataFrame(
+        [("a", None, 5), ("b", -1.0, 5), ("d", 1.0, 5), ("c", 1.0, 5), ("e", None, 9)],
+        "evento_id string, score_medio double, n_artigos long")
+    assert [r.evento_id for r in E.in_summary_order(df).collect()] == ["e", "c", "d", "b", "a"]
+
+
+def test_report_lines(spark):
+    rows = [row(event="a", name="Festa %", title="T1", label="muito positivo", aid=1),
+            row(event="b", name="Obra", title="T2", label="positivo", aid=2),
+            row(event="b", name="Obra", title="T3", label="n/a", aid=3),
+            row(event="c", name="Crise", title="T4", label="muito negativo", aid=4)]
+    table = summary(spark, rows)
+    good = E.ranking_lines(E.top_positive(table), True).orderBy("rank").collect()
+    assert [r.line for r in good] == [
+        "1. **Festa %** - score medio 2.0; 1 noticia(s); positivos=1; muito positivos=1; negativos=0. Exemplos: T1",
+        "2. **Obra** - score medio 1.0; 2 noticia(s); positivos=1; muito positivos=0; negativos=0. Exemplos: T2 | T3",
+    ]
+    bad = E.ranking_lines(E.top_negative(table), False).collect()
+    assert [r.line for r in bad] == [
+        "1. **Crise** - score medio -2.0; 1 noticia(s); negativos=1; muito negativos=1; positivos=0. Exemplos: T4",
+    ]
+
+
+def test_score_text(evaluate):
+    values = [2.0, -0.3333, 0.0005, -0.0001, 0.001, 0.0]
+    assert evaluate(E.score_text, values, "x double") == [repr(v) for v in values]
+
+
+def test_header_and_event_count(spark):
+    df = spark.createDataFrame([row(event=e, aid=i) for i, e in enumerate("aab")], SCHEMA)
+    assert tuple(E.ranking_header(df, 2).first()) == (3, 2, 2, 2)
+    assert tuple(E.ranking_header(df, 2, 1).first()) == (3, 2, 2, 1)
+    assert E.event_count(df).first()[0] == 2

@@ -1,0 +1,85 @@
+from datetime import datetime
+
+from newslens.functions import labels as L
+from newslens.schema import LABELS, NA_SENTINELS
+
+
+def test_fuzzy_label(evaluate):
+    samples = {
+        " Muito Positivo ": "muito positivo",
+        "sentimento negativo": "negativo",
+        "negativa": "n/a",
+        "não aplicável": "n/a",
+        "nao se aplica": "n/a",
+        None: "n/a",
+        "": "n/a",
+        "n/a": "n/a",
+        "positivo, quase muito negativo": "muito negativo",
+        "neutro/positivo": "positivo",
+        "NEUTRO.": "neutro",
+        "3": "n/a",
+    }
+    assert evaluate(L.label_fuzzy, list(samples)) == list(samples.values())
+
+
+def test_strict_label(evaluate):
+    samples = {" Muito Positivo ": "muito positivo", "sentimento negativo": "n/a", None: "n/a", "N/A": "n/a"}
+    assert evaluate(L.label_strict, list(samples)) == list(samples.values())
+
+
+def test_scores(evaluate):
+    assert evaluate(L.label_score, LABELS) == [-2, -1, 0, 1, 2, None]
+
+
+def test_score_repair(evaluate):
+    samples = [("", "positivo"), ("1", "n/a"), ("abc", "negativo"), (" -0.5 ", "neutro"), (None, "n/a"),
+               ("1d", "neutro"), ("0x10", "neutro"), ("1e1", "neutro"), ("2.", "neutro")]
+    repair = lambda s, l: L.score_repair(L.to_number(s), l)
+    got = evaluate(repair, samples, "s string, l string")
+    assert got == [1.0, 1.0, -1.0, -0.5, None, 0.0, 0.0, 10.0, 2.0]
+
+
+def test_article_ids(evaluate):
+    samples = {"12": 12, " 12 ": 12, "x": None, "": None, None: None, "0": 0, "12.7": 12, "nan": None, "-3": -3,
+               "9007199254740993": 9007199254740993}
+    assert evaluate(L.to_article_id, list(samples)) == list(samples.values())
+
+
+def test_na_sentinels(evaluate):
+    assert evaluate(L.na_to_null, NA_SENTINELS) == [None] * len(NA_SENTINELS)
+    assert evaluate(L.na_to_null, ["none", "Na", " ", "x", None]) == ["none", "Na", " ", "x", None]
+
+
+DATES = {
+    "2024-05-01T10:00:00Z": datetime(2024, 5, 1, 10),
+    "2024-05-01T10:00:00-03:00": datetime(2024, 5, 1, 13),
+    "2024-05-01 10:00:00.25": datetime(2024, 5, 1, 10, 0, 0, 250000),
+    "2024-05-01": datetime(2024, 5, 1),
+    " 2024-05-01 ": datetime(2024, 5, 1),
+    "01/05/2024": datetime(2024, 5, 1),
+    "2024-02-30": None,
+    "T10:00": None,
+    "10:00": None,
+    "ontem": None,
+    "": None,
+    None: None,
+    "0001-01-01T00:00:00": None,
+    "9999-12-31": None,
+}
+
+
+def test_dates(evaluate):
+    got = evaluate(lambda t: L.parse_timestamp(t, ["dd/MM/yyyy"]).cast("string"), list(DATES))
+    assert got == [d and (str(d).rstrip("0") if d.microsecond else str(d)) for d in DATES.values()]
+
+
+def test_month_is_utc(evaluate):
+    edges = ["2024-04-30T23:59:59Z", "2024-05-01T00:00:00Z", "2024-04-30T22:00:00-03:00", "x"]
+    got = evaluate(lambda t: L.month_of(L.parse_timestamp(t)), edges)
+    assert got == ["2024-04", "2024-05", "2024-05", None]
+
+
+def test_presentation_score(evaluate):
+    assert evaluate(L.presentation_score, [-2.0, 0.0, 0.6667, 2.0, None], "x double") == [
+        0.0, 0.5, 0.666675, 1.0, None,
+    ]
