@@ -14,7 +14,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.fixtures import PHRASE, table, view, with_views
+from checks.fixtures import PHRASE, SCHEMAS, table, view, with_views
 from newslens.functions import labels as L
 from newslens.functions import text as X
 from newslens.operators import events, sentiment
@@ -40,7 +40,7 @@ from newslens.plans.stages import label_articles
 from newslens.schema import FIELD_CAPS, LABEL_COLUMNS, LABELS
 from newslens.session import shared_path
 from newslens.sources.articles import normalize_articles, read_articles, sorted_keys, with_record_keys
-from newslens.sources.sinks import article_event_columns, classified_columns
+from newslens.sources.sinks import article_event_columns, classified_columns, landed
 from newslens.streaming.incremental import classify_stream, stored_labels
 
 # the stand-in classifiers below travel to the executors with the job
@@ -217,8 +217,13 @@ def _event_rows(spark, sf):
     return clean_event_rows(_labels(spark, sf).drop("shipped", "lineNumber", "flag", "status"))
 
 
+def _stored_event_rows(spark, sf):
+    """The article-event relation as a written table, the way the whole run hands it over."""
+    return landed(article_event_columns(_event_rows(spark, sf)), shared_path(spark, "event-rows"))
+
+
 def _summary(spark, sf):
-    return events.event_summary(_event_rows(spark, sf))
+    return events.event_summary(_stored_event_rows(spark, sf))
 
 
 def _raw_articles(spark, sf):
@@ -650,9 +655,10 @@ _STREAM_KEY = "concat('doc-', doc_id)"
 def classify_arrivals(spark, sf):
     """The document table as a stream of articles, classified incrementally."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
     arriving = (
-        spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+        spark.readStream.schema(SCHEMAS["documents"])
+        .option("pathGlobFilter", "documents.parquet")
+        .parquet(sf)
     )
     raw = arriving.select(
         (F.col("doc_id") + 1).alias("articleId"),
@@ -825,7 +831,7 @@ def event_summary(spark, sf):
 
 @check(f"{_EVENTS} SELECT evento_id, n_artigos, score_medio FROM summary WHERE n_artigos >= 5")
 def event_min_articles(spark, sf):
-    summary = events.event_summary(_event_rows(spark, sf), min_articles=5)
+    summary = events.event_summary(_stored_event_rows(spark, sf), min_articles=5)
     return summary.select("evento_id", "n_artigos", "score_medio")
 
 
@@ -877,7 +883,7 @@ _BAD_LINE = _LINE.format(
 @check(f"""{_RANKS} SELECT 'positive' AS side, rank, {_GOOD_LINE} AS line FROM top_good
        UNION ALL SELECT 'negative', rank, {_BAD_LINE} FROM top_bad""")
 def ranking_lines(spark, sf):
-    summary = _summary(spark, sf)
+    summary = landed(_summary(spark, sf), shared_path(spark, "summary"))
     good = events.ranking_lines(events.top_positive(summary), True).withColumn("side", F.lit("positive"))
     bad = events.ranking_lines(events.top_negative(summary), False).withColumn("side", F.lit("negative"))
     return good.unionByName(bad).select("side", "rank", "line")

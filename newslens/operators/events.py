@@ -1,10 +1,10 @@
 """Event summary and rankings.
 
 A single event can hold a large part of the corpus: every article without an
-event key shares one. So nothing collects an event's articles. They are first
-counted per distinct value of each field (label, key, name, type, place, title),
-which spreads a large event over all tasks; only the few values that can matter
-per field go on to the event's own row.
+event key shares one. So nothing gathers an event's articles. Counts are plain
+partial sums. Modes and titles are first reduced to one row per event and
+distinct value, which spreads a large event over all tasks, and each task then
+keeps only the values that can win before it hands them to the event's task.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newslens.functions.rounding import round4, share4
+from newslens.operators.sentiment import label_counts
 from newslens.schema import EVENT_SUMMARY_COLUMNS, LABELS
 
 # Titles shown per event, their separator, and events listed.
@@ -20,95 +21,82 @@ EXAMPLE_TITLES = 5
 TITLE_SEPARATOR = " | "
 LISTED_EVENTS = 25
 
-_FIELDS = ["label", "evento_chave", "evento", "tipo_evento", "local", "title"]
+_MODES = {
+    # summary column: article column
+    "evento": "evento_chave",
+    "evento_exemplo": "evento",
+    "tipo_evento": "tipo_evento",
+    "local": "local",
+}
+
+
+def event_counts(rows: DataFrame) -> DataFrame:
+    """Per event: articles per label, all articles, scored articles, sum of scores."""
+    return rows.groupBy("evento_id").agg(
+        *label_counts(),
+        F.count("*").alias("n_artigos"),
+        F.count("sentiment_score").alias("n_classificados"),
+        F.sum(F.col("sentiment_score").cast("double")).alias("_scores"),
+    )
 
 
-def _value_counts(rows: DataFrame, fields: list[str]) -> DataFrame:
-    """Per event, field and distinct value: articles, scores and first appearance."""
-    score = F.col("sentiment_score").cast("double")
-    seen = F.struct(
-        F.col("publishedAt").isNull().alias("undated"),
-        F.col("publishedAt").alias("publishedAt"),
-        F.col("articleId").alias("articleId"),
-    )
-    # scores ride on the label values, first appearances on the titles
+def event_modes(rows: DataFrame) -> DataFrame:
+    """Per event: the most frequent key, name, type and place, ties to the smallest text.
+
+    A field the rows lack is empty.
+    """
     values = [
         F.struct(
             F.lit(field).alias("field"),
             (F.col(field) if field in rows.columns else F.lit("")).alias("value"),
-            (score if field == "label" else F.lit(None).cast("double")).alias("score"),
-            F.when(F.lit(field == "title"), seen).alias("seen"),
         )
-        for field in fields
+        for field in _MODES.values()
     ]
-    return (
+    counted = (
         rows.select("evento_id", F.inline(F.array(*values)))
         .groupBy("evento_id", "field", "value")
-        .agg(
-            F.count("*").alias("n"),
-            F.count("score").alias("n_scores"),
-            F.sum("score").alias("sum_scores"),
-            F.min("seen").alias("seen"),
-        )
-    )
-
-
-def _leading_values(counts: DataFrame, keep: int) -> DataFrame:
-    """The first ``keep`` values per event and field, numbered.
-
-    Titles come by first appearance, other values by count and then by text.
-    Tasks cut their own values before the shuffle.
-    """
-    is_title = F.col("field") == "title"
-    leading = Window.partitionBy("evento_id", "field").orderBy(
-        F.when(~is_title, -F.col("n")).asc(), F.col("seen").asc(), F.col("value").asc()
+        .agg(F.count("*").alias("n"))
+        .where(F.col("value").isNotNull())
+        .withColumn("candidate", F.struct(-F.col("n"), F.col("value")))
     )
-    return counts.withColumn("nth", F.row_number().over(leading)).where(F.col("nth") <= keep)
 
+    def mode_of(field: str) -> Column:
+        return F.min(F.when(F.col("field") == field, F.col("candidate")))["value"]
 
-def _example_titles(n: int) -> Column:
-    titles = F.array_sort(
-        F.collect_list(
-            F.when((F.col("field") == "title") & (F.col("nth") <= n), F.struct("nth", "value"))
-        )
+    return counted.groupBy("evento_id").agg(
+        *[mode_of(field).alias(name) for name, field in _MODES.items()]
     )
-    return F.array_join(F.transform(titles, lambda t: t["value"]), TITLE_SEPARATOR)
 
 
 def event_titles(rows: DataFrame, n: int = EXAMPLE_TITLES) -> DataFrame:
     """First ``n`` distinct titles per event, in date and article order, undated last."""
-    return (
-        _leading_values(_value_counts(rows, ["title"]), n)
-        .groupBy("evento_id")
-        .agg(_example_titles(n).alias("titulos_exemplo"))
+    seen = F.struct(
+        F.col("publishedAt").isNull().alias("undated"),
+        F.col("publishedAt").alias("publishedAt"),
+        F.col("articleId").alias("articleId"),
+    )
+    titles = rows.groupBy("evento_id", "title").agg(F.min(seen).alias("seen"))
+    earliest = Window.partitionBy("evento_id").orderBy("seen")
+    leading = titles.withColumn("nth", F.row_number().over(earliest)).where(F.col("nth") <= n)
+    in_order = [F.max(F.when(F.col("nth") == i, F.col("title"))) for i in range(1, n + 1)]
+    return leading.groupBy("evento_id").agg(
+        F.concat_ws(TITLE_SEPARATOR, *in_order).alias("titulos_exemplo")
     )
 
 
 def event_summary(
     rows: DataFrame, min_articles: int = 1, n_titles: int = EXAMPLE_TITLES
 ) -> DataFrame:
-    """One row of 26 columns per event: counts, mean score, shares, weights, examples."""
-    # every label is among the leading values, because there are only six
-    leading = _leading_values(_value_counts(rows, _FIELDS), max(len(LABELS), n_titles))
-    on_label = F.col("field") == "label"
+    """One row of 26 columns per event: counts, mean score, shares, weights, examples.
 
-    def count_of(label: str) -> Column:
-        n = F.when(on_label & (F.col("value") == label), F.col("n"))
-        return F.coalesce(F.sum(n), F.lit(0)).alias(label)
-
-    def mode_of(field: str) -> Column:
-        return F.max(F.when((F.col("field") == field) & (F.col("nth") == 1), F.col("value")))
-
-    events = leading.groupBy("evento_id").agg(
-        *[count_of(label) for label in LABELS],
-        F.sum(F.when(on_label, F.col("n"))).alias("n_artigos"),
-        F.sum(F.when(on_label, F.col("n_scores"))).alias("n_classificados"),
-        F.sum(F.when(on_label, F.col("sum_scores"))).alias("_scores"),
-        mode_of("evento_chave").alias("evento"),
-        mode_of("evento").alias("evento_exemplo"),
-        mode_of("tipo_evento").alias("tipo_evento"),
-        mode_of("local").alias("local"),
-        _example_titles(n_titles).alias("titulos_exemplo"),
+    The three parts are partitioned by event already, so joining them shuffles
+    nothing. Each reads its own columns of ``rows``; pass rows that are stored
+    rather than the end of a long plan.
+    """
+    events = (
+        event_counts(rows)
+        .join(event_modes(rows), "evento_id", "left")
+        .join(event_titles(rows, n_titles), "evento_id", "left")
     )
     if min_articles > 1:
         events = at_least(events, min_articles)
