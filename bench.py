@@ -18,16 +18,16 @@ from checks import catalog
 from newslens.session import build_session
 
 HEADLINE = [
-    "normalize_article_rows",
+    "normalize_articles",
     "fold_accents",
     "phrase_filter",
     "record_keys",
     "parse_responses",
     "responses_to_labels",
-    "pending_article_rows",
-    "upsert_label_rows",
+    "pending_articles",
+    "upsert_labels",
     "labels_end_to_end",
-    "dedupe_article_rows",
+    "dedupe_articles",
     "load_event_rows",
     "sentiment_counts",
     "monthly_sentiment_counts",

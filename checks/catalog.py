@@ -1,6 +1,6 @@
 """Every operator as a query over the driver tables, with the SQL it must equal.
 
-``@check(sql)`` registers a function under its name. The SQL is written for
+``@check(sql, name)`` registers a function, by default under its own name. The SQL is written for
 DuckDB and independently of the Spark code; ``None`` means rows-only.
 """
 
@@ -39,8 +39,16 @@ from newslens.operators.resume import latest_labels, pending_articles, upsert_la
 from newslens.plans.stages import label_articles
 from newslens.schema import FIELD_CAPS, LABEL_COLUMNS, LABELS
 from newslens.session import shared_path
+from newslens.sources.articles import article_quality as quality_counts
 from newslens.sources.articles import normalize_articles, read_articles, sorted_keys, with_record_keys
-from newslens.sources.sinks import article_event_columns, classified_columns, landed
+from newslens.sources.labels import read_labels as read_label_files
+from newslens.sources.sinks import (
+    article_event_columns,
+    classified_columns,
+    landed,
+    write_classified,
+    write_labels,
+)
 from newslens.streaming.incremental import classify_stream, stored_labels
 
 # the stand-in classifiers below travel to the executors with the job
@@ -50,11 +58,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def check(sql: str | None):
+def check(sql: str | None, name: str | None = None):
     def register(fn):
-        QUERIES[fn.__name__] = fn
+        key = name or fn.__name__
+        QUERIES[key] = fn
         if sql is not None:
-            ORACLES[fn.__name__] = sql
+            ORACLES[key] = sql
         return fn
 
     return register
@@ -162,9 +171,9 @@ _RANKS = _EVENTS + f""", good AS (SELECT * FROM summary
     WHERE n_classificados >= 1 AND score_medio > 0 AND n_positivas > n_negativas),
   bad AS (SELECT * FROM summary
     WHERE n_classificados >= 1 AND score_medio < 0 AND n_negativas > n_positivas),
-  top_good AS (SELECT *, row_number() OVER (ORDER BY {_POSITIVE_ORDER}) AS rank FROM good
+  top_good AS (SELECT *, CAST(row_number() OVER (ORDER BY {_POSITIVE_ORDER}) AS INTEGER) AS rank FROM good
     ORDER BY {_POSITIVE_ORDER} LIMIT 25),
-  top_bad AS (SELECT *, row_number() OVER (ORDER BY {_NEGATIVE_ORDER}) AS rank FROM bad
+  top_bad AS (SELECT *, CAST(row_number() OVER (ORDER BY {_NEGATIVE_ORDER}) AS INTEGER) AS rank FROM bad
     ORDER BY {_NEGATIVE_ORDER} LIMIT 25)"""
 
 _FOLD = "lower(strip_accents({}))"
@@ -272,12 +281,12 @@ _ARTICLE_SELECT = f"""SELECT recordKey, jsonIndex, id, articleId, title,
   lang AS storyTitle, CAST(NULL AS VARCHAR) AS storyId FROM keyed"""
 
 
-@check(f"{_KEYED} {_ARTICLE_SELECT}")
+@check(f"{_KEYED} {_ARTICLE_SELECT}", "normalize_articles")
 def normalize_article_rows(spark, sf):
     return _articles(spark, sf).withColumn("targetKeys", F.array_join("targetKeys", "; "))
 
 
-@check(f"{_KEYED} {_ARTICLE_SELECT}")
+@check(f"{_KEYED} {_ARTICLE_SELECT}", "read_articles")
 def read_article_files(spark, sf):
     """The corpus as JSON Lines in the shared folder, read back and normalised."""
     path = shared_path(spark, "corpus")
@@ -301,7 +310,7 @@ def target_keys(spark, sf):
 
 
 @check(f"""{with_views('fx_articles')} SELECT articleId, {_TEXT} AS full_text,
-       substring({_TEXT}, 1, 10000) AS model_text FROM fx_articles""")
+       substring({_TEXT}, 1, 10000) AS model_text FROM fx_articles""", "compose_text")
 def compose_texts(spark, sf):
     return view(spark, sf, "fx_articles").select(
         "articleId",
@@ -311,7 +320,7 @@ def compose_texts(spark, sf):
 
 
 @check(f"""{with_views('fx_articles')} SELECT articleId,
-       'Texto: ' || substring({_TEXT}, 1, 10000) || ' -- fim' AS prompt FROM fx_articles""")
+       'Texto: ' || substring({_TEXT}, 1, 10000) || ' -- fim' AS prompt FROM fx_articles""", "render_prompt")
 def render_prompts(spark, sf):
     return view(spark, sf, "fx_articles").select(
         "articleId", X.render_prompt("Texto: {noticia} -- fim", article_text()).alias("prompt")
@@ -381,16 +390,34 @@ def score_repair(spark, sf):
     )
 
 
-@check(f"""{with_views('fx_text_labels')} SELECT recordKey, nullif(nullif(nullif(label, 'n/a'), 'N/A'), 'null') AS label,
-       nullif(nullif(sentiment_score, ''), 'n/a') AS sentiment_score,
-       CASE WHEN tipo_evento NOT IN ('n/a', 'None') THEN tipo_evento END AS tipo_evento,
-       nullif(local, 'NaN') AS local, nullif(evento_id, '') AS evento_id FROM fx_text_labels""")
+_NO_SENTINELS = f"""{with_views('fx_text_labels')} SELECT recordKey,
+  nullif(nullif(nullif(label, 'n/a'), 'N/A'), 'null') AS label,
+  nullif(nullif(sentiment_score, ''), 'n/a') AS sentiment_score,
+  CASE WHEN tipo_evento NOT IN ('n/a', 'None') THEN tipo_evento END AS tipo_evento,
+  nullif(local, 'NaN') AS local, nullif(evento_id, '') AS evento_id FROM fx_text_labels"""
+_SENTINEL_COLUMNS = ["recordKey", "label", "sentiment_score", "tipo_evento", "local", "evento_id"]
+
+
+@check(_NO_SENTINELS)
 def na_sentinels(spark, sf):
-    return sentinels_to_null(
-        _text_labels(spark, sf).select(
-            "recordKey", "label", "sentiment_score", "tipo_evento", "local", "evento_id"
-        )
-    )
+    return sentinels_to_null(_text_labels(spark, sf).select(*_SENTINEL_COLUMNS))
+
+
+@check(_NO_SENTINELS)
+def read_labels(spark, sf):
+    """The messy label rows as CSV files in the shared folder, read back under the same rule."""
+    path = shared_path(spark, "label-files")
+    write_labels(_text_labels(spark, sf), path, "csv")
+    return sentinels_to_null(read_label_files(spark, path).select(*_SENTINEL_COLUMNS))
+
+
+@check(f"""{with_views('fx_text_labels')}, ids AS (SELECT articleId AS given, try_cast(articleId AS BIGINT) AS id
+         FROM fx_text_labels)
+       SELECT count(*) AS n_raw, count(*) FILTER (given = '' OR given IS NULL OR id = 0) AS n_without_id,
+         count(*) FILTER (given <> '' AND id IS NULL) AS n_not_numeric, count(*) FILTER (id <> 0) AS n_usable
+       FROM ids""")
+def article_quality(spark, sf):
+    return quality_counts(_text_labels(spark, sf))
 
 
 @check(f"""{with_views('fx_labels')}, texts AS (SELECT recordKey, CASE lineNumber
@@ -439,7 +466,7 @@ def event_backfill(spark, sf):
        named AS (SELECT recordKey, trim(CASE WHEN e <> '' THEN e ELSE coalesce(k, '') END, chr(10) || ' ') AS evento,
          k FROM given),
        keyed AS (SELECT recordKey, evento, trim(coalesce(k, evento), chr(10) || ' ') AS evento_chave FROM named)
-       SELECT recordKey, evento, evento_chave, {_slug_sql('evento_chave')} AS evento_id FROM keyed""")
+       SELECT recordKey, evento, evento_chave, {_slug_sql('evento_chave')} AS evento_id FROM keyed""", "event_fields")
 def event_field_rules(spark, sf):
     event = F.when(F.col("sentiment_score") == "", F.lit("")).otherwise(
         F.concat(F.lit("  "), "evento", F.lit(" "))
@@ -554,7 +581,7 @@ _STUB_ROWS = f"""SELECT recordKey, jsonIndex, id, articleId, {_PUBLISHED_SQL} AS
   'stub' AS model FROM keyed"""
 
 
-@check(f"{_KEYED} {_STUB_ROWS}")
+@check(f"{_KEYED} {_STUB_ROWS}", "label_rows")
 def label_row_table(spark, sf):
     articles = _articles(spark, sf)
     return label_rows(articles, classify(articles, stub_answer, parallelism=8), "stub")
@@ -571,14 +598,14 @@ _VERSIONED = """SELECT CASE flag WHEN 'A' THEN '' ELSE concat('k-', articleId) E
          FROM stored)
        SELECT recordKey, id, version, label, evento_chave FROM (
          SELECT *, row_number() OVER (PARTITION BY recordKey ORDER BY version DESC) AS nth FROM keyed
-         WHERE recordKey IS NOT NULL) r WHERE nth = 1""")
+         WHERE recordKey IS NOT NULL) r WHERE nth = 1""", "latest_labels")
 def latest_label_rows(spark, sf):
     view(spark, sf, "fx_labels").createOrReplaceTempView("fx_labels")
     return latest_labels(spark.sql(_VERSIONED), "version")
 
 
 @check(f"""{with_views('fx_existing')} SELECT recordKey, articleId FROM fx_labels c WHERE NOT EXISTS (
-       SELECT 1 FROM fx_existing e WHERE e.recordKey = c.recordKey AND e.label <> '' AND e.evento_chave <> '')""")
+       SELECT 1 FROM fx_existing e WHERE e.recordKey = c.recordKey AND e.label <> '' AND e.evento_chave <> '')""", "pending_articles")
 def pending_article_rows(spark, sf):
     candidates = view(spark, sf, "fx_labels").select("recordKey", "articleId")
     return pending_articles(candidates, view(spark, sf, "fx_existing"))
@@ -592,7 +619,7 @@ _NEW_LABELS = """SELECT recordKey, 'neutro' AS label, evento_chave, 'new' AS mod
        current AS (SELECT recordKey FROM fx_labels WHERE sourceHost <> (SELECT min(sourceHost) FROM fx_labels))
        SELECT * FROM fresh WHERE recordKey IN (SELECT recordKey FROM current)
        UNION ALL SELECT * FROM fx_existing WHERE recordKey NOT IN (SELECT recordKey FROM fresh)
-       AND recordKey IN (SELECT recordKey FROM current)""")
+       AND recordKey IN (SELECT recordKey FROM current)""", "upsert_labels")
 def upsert_label_rows(spark, sf):
     """New rows replace old ones; the articles of one source have left the corpus."""
     rows = view(spark, sf, "fx_labels")
@@ -651,7 +678,7 @@ _STREAM_KEY = "concat('doc-', doc_id)"
 @check(f"""SELECT {_STREAM_KEY} AS recordKey, doc_id + 1 AS articleId,
          [{_LABELS_SQL}][CAST(length(substring(chr(10) || chr(10) || chr(10) || chr(10) || text, 1, 10000)) % 6
          AS INTEGER) + 1] AS label, 'stub' AS model
-       FROM documents WHERE regexp_matches(lower(strip_accents(text)), '\\b{PHRASE}\\b')""")
+       FROM documents WHERE regexp_matches(lower(strip_accents(text)), '\\b{PHRASE}\\b')""", "stream_classify")
 def classify_arrivals(spark, sf):
     """The document table as a stream of articles, classified incrementally."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -680,18 +707,29 @@ def classify_arrivals(spark, sf):
 # --------------------------------------------------------------------------
 
 
-@check(f"{_CLEAN} SELECT articleId, recordKey, strftime(publishedAt, '{_DAY}') AS publishedAt, label FROM clean")
+@check(f"{_CLEAN} SELECT articleId, recordKey, strftime(publishedAt, '{_DAY}') AS publishedAt, label FROM clean", "dedupe_articles")
 def dedupe_article_rows(spark, sf):
     return _clean(spark, sf).select("articleId", "recordKey", _day("publishedAt"), "label")
 
 
-@check(f"""{_CLEAN} SELECT recordKey, recordKey AS id, articleId, strftime(publishedAt, '{_DAY}') AS publishedAt,
+_CLASSIFIED = f"""{_CLEAN} SELECT recordKey, recordKey AS id, articleId, strftime(publishedAt, '{_DAY}') AS publishedAt,
        sourceHost, title, nullif(label, '') AS label, CAST(sentiment_score AS DOUBLE) AS sentiment_score,
-       evento, evento_chave, evento_id, tipo_evento, local, month FROM clean""")
+       evento, evento_chave, evento_id, tipo_evento, local, month FROM clean"""
+
+
+@check(_CLASSIFIED)
 def classified_articles(spark, sf):
     return classified_columns(_clean(spark, sf)).withColumn("publishedAt", _day("publishedAt"))
 
 
+@check(_CLASSIFIED)
+def classified_by_month(spark, sf):
+    """Classified articles written as one folder per month and read back."""
+    path = shared_path(spark, "classified")
+    write_classified(_clean(spark, sf), path)
+    return spark.read.parquet(path).withColumn("publishedAt", _day("publishedAt"))
+
+
 @check(f"""{_CLEAN} SELECT articleId, recordKey, strftime(publishedAt, '{_DAY}') AS publishedAt, sourceHost, title,
        label, CAST(sentiment_score AS DOUBLE) AS sentiment_score, evento, evento_chave, evento_id,
        tipo_evento, local FROM clean""")
@@ -728,7 +766,7 @@ def sentiment_counts(spark, sf):
 
 @check(f"""{_CLEAN}, total AS (SELECT label, count(*) AS n FROM clean GROUP BY label)
        SELECT ord, dim.label, display, score, coalesce(n, 0) AS n_articles
-       FROM {_DIMENSION_SQL} LEFT JOIN total ON total.label = dim.label""")
+       FROM {_DIMENSION_SQL} LEFT JOIN total ON total.label = dim.label""", "label_dimension")
 def label_bars(spark, sf):
     return sentiment.label_bars(_clean(spark, sf))
 

@@ -37,8 +37,11 @@ def _rows(columns, rows):
     return sorted((tuple(_cell(r[i]) for i in order) for r in rows), key=repr)
 
 
+_SQL_TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
 def difference(spark, con, sf_dir: str, name: str) -> str | None:
-    """None if Spark and SQL agree in columns and rows, else what differs."""
+    """None if Spark and SQL agree in columns, types and rows, else what differs."""
     df = catalog.QUERIES[name](spark, sf_dir)
     mine = _rows(df.columns, [tuple(r) for r in df.collect()])
     if name not in catalog.ORACLES:
@@ -48,6 +51,10 @@ def difference(spark, con, sf_dir: str, name: str) -> str | None:
     theirs = _rows(columns, result.fetchall())
     if sorted(columns) != sorted(df.columns):
         return f"columns {sorted(df.columns)} != {sorted(columns)}"
+    types = {d[0]: str(d[1]) for d in result.description}
+    unlike = [(c, t, types[c]) for c, t in df.dtypes if _SQL_TYPES.get(t) != types[c]]
+    if unlike:
+        return f"types {unlike}"
     if mine == theirs:
         return None if mine else "no rows"
     pairs = [(a, b) for a, b in zip(mine, theirs) if a != b]

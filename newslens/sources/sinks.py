@@ -20,7 +20,15 @@ def _write(df: DataFrame, path: str, fmt: str, partition_by: Sequence[str] = ())
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if fmt == "csv":
-        writer = writer.options(header=True, escape='"', emptyValue="", nullValue="")
+        # by default the CSV writer trims every cell
+        writer = writer.options(
+            header=True,
+            escape='"',
+            emptyValue="",
+            nullValue="",
+            ignoreLeadingWhiteSpace=False,
+            ignoreTrailingWhiteSpace=False,
+        )
     writer.save(path)
 
 

@@ -7,9 +7,9 @@ import pytest
 from checks import catalog
 
 SF = "/root/testdata/sf0.001"
-PYTHON_ALLOWED = {"classify_stub", "classify_errors", "label_row_table"}
+PYTHON_ALLOWED = {"classify_stub", "classify_errors", "label_rows"}
 TOP_EVENTS = {"top_positive", "top_negative", "ranking_lines"}
-WRITES = {"read_article_files", "labels_end_to_end", "classify_arrivals"}
+WRITES = {"read_articles", "read_labels", "classified_by_month", "labels_end_to_end", "stream_classify"}
 
 
 def plan(spark, name):
@@ -33,7 +33,7 @@ def test_top_lists_are_cut_while_sorting(spark, name):
     assert "TakeOrderedAndProject" in plan(spark, name)
 
 
-@pytest.mark.parametrize("name", ["dedupe_article_rows", "latest_label_rows", "upsert_label_rows"])
+@pytest.mark.parametrize("name", ["dedupe_articles", "latest_labels", "upsert_labels"])
 def test_first_row_per_key_is_cut_before_the_shuffle(spark, name):
     text = plan(spark, name)
     partial = re.search(r"Exchange hashpartitioning(?!.*Exchange hashpartitioning.*WindowGroupLimit).*?WindowGroupLimit .*?Partial", text, re.S)

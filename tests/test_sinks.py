@@ -9,7 +9,7 @@ from newslens.sources.labels import read_labels
 
 @pytest.fixture
 def labels(spark):
-    rows = [(f"k{i}", i, i, f"2024-0{i % 3 + 1}-01", 'um "título"\nem duas, linhas', "positivo", 1, "é") for i in range(30)]
+    rows = [(f"k{i}", i, i, f"2024-0{i % 3 + 1}-01", 'um "título"\nem duas, linhas', "positivo", 1, "  é ") for i in range(30)]
     rows.append(("k99", 99, 99, None, None, "n/a", None, ""))
     return spark.createDataFrame(
         rows, "recordKey string, jsonIndex long, articleId long, publishedAt string, title string, label string, "
@@ -25,7 +25,7 @@ def test_labels_round_trip(spark, labels, tmp_path, fmt):
     assert back.columns == LABEL_COLUMNS
     assert back.count() == 31
     row = back.where("recordKey = 'k3'").first()
-    assert (row.title, row.evento, row.reason) == ('um "título"\nem duas, linhas', "é", None)
+    assert (row.title, row.evento, row.reason) == ('um "título"\nem duas, linhas', "  é ", None)
 
 
 def test_ordered_labels(spark, labels, tmp_path):
