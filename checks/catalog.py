@@ -659,16 +659,10 @@ def _stub_existing(articles: DataFrame) -> DataFrame:
        FROM keyed WHERE {_MATCH}""")
 def labels_end_to_end(spark, sf):
     """Articles, phrase filter, pending ones, classifier, upsert."""
-    articles = _articles(spark, sf)
-    labels = label_articles(
-        articles,
-        _stub_existing(articles),
-        PHRASE,
-        stub_answer,
-        "stub",
-        shared_path(spark, "labels"),
-        parallelism=8,
-    )
+    folder = shared_path(spark, "labels")
+    articles = landed(_articles(spark, sf), f"{folder}/articles")
+    existing = landed(_stub_existing(articles), f"{folder}/existing")
+    labels = label_articles(articles, existing, PHRASE, stub_answer, "stub", folder, parallelism=8)
     return labels.select("recordKey", "articleId", "label", "evento_id", "model")
 
 

@@ -54,35 +54,54 @@ def _code_points():
 
 
 @lru_cache(maxsize=1)
-def _fold_table() -> tuple[str, str]:
-    """``translate`` arguments: base letter for accented ones, nothing for marks.
+def _base_letters() -> dict[str, str]:
+    """Accented characters by their base.
 
-    ``translate`` deletes characters without a counterpart, so the marks come
-    last. Characters whose decomposition has more than one base character
-    (Hangul syllables, some two-part vowels) stay as they are.
+    Characters whose decomposition has more than one base character (Hangul
+    syllables, some two-part vowels) are not in it and stay as they are.
     """
-    accented, base, marks = [], [], []
+    bases = {}
     for ch in _code_points():
-        if _is_mark(ch):
-            marks.append(ch)
-        elif unicodedata.decomposition(ch):
+        if unicodedata.decomposition(ch) and not _is_mark(ch):
             kept = [c for c in unicodedata.normalize("NFD", ch) if not _is_mark(c)]
             if len(kept) == 1 and kept[0] != ch:
-                accented.append(ch)
-                base.append(kept[0])
-    return "".join(accented + marks), "".join(base)
+                bases[ch] = kept[0]
+    return bases
 
 
-def fold_accents(text: Column) -> Column:
-    """Lower-case text without accents; missing becomes empty."""
-    source, target = _fold_table()
+@lru_cache(maxsize=1)
+def _caseless_letters() -> dict[str, str]:
+    """As above, and small letters that share a capital (``ſ`` and ``s``) become one.
+
+    Capital sigma is included because its small form depends on its place in the word.
+    """
+    twins = {ch: ch.upper().lower() for ch in _code_points() if unicodedata.category(ch) == "Ll"}
+    twins = {ch: twin for ch, twin in twins.items() if len(twin) == 1 and twin != ch}
+    twins["Σ"] = "σ"
+    return {**twins, **{ch: twins.get(base, base) for ch, base in _base_letters().items()}}
+
+
+@lru_cache(maxsize=2)
+def _translation(caseless: bool) -> tuple[str, str]:
+    """``translate`` arguments. It deletes what has no counterpart: the marks come last."""
+    letters = _caseless_letters() if caseless else _base_letters()
+    marks = [ch for ch in _code_points() if _is_mark(ch)]
+    return "".join([*letters, *marks]), "".join(letters.values())
+
+
+def fold_accents(text: Column, caseless: bool = False) -> Column:
+    """Lower-case text without accents; missing becomes empty.
+
+    ``caseless`` also merges letters that only a case-blind comparison equates.
+    """
     text = or_empty(text)
-    return F.lower(F.when(is_ascii(text), text).otherwise(F.translate(text, source, target)))
+    plain = F.translate(text, *_translation(caseless))
+    return F.lower(F.when(is_ascii(text), text).otherwise(plain))
 
 
-def fold_literal(text: str) -> str:
+def fold_literal(text: str, caseless: bool = False) -> str:
     """The driver-side twin of :func:`fold_accents`, for one constant."""
-    source, target = _fold_table()
+    source, target = _translation(caseless)
     table = {ord(ch): target[i] if i < len(target) else None for i, ch in enumerate(source)}
     return text.translate(table).lower()
 
@@ -90,9 +109,12 @@ def fold_literal(text: str) -> str:
 def contains_phrase(text: Column, phrase: str) -> Column:
     """Whole-phrase match that ignores accents and case.
 
-    ``U`` keeps word boundaries Unicode-aware on every Java version.
+    The pattern starts with the phrase itself, so the search can skip ahead
+    through a long text, and looks back for the word boundary before it. ``U``
+    keeps boundaries Unicode-aware on every Java version.
     """
-    return F.rlike(fold_accents(text), F.lit(rf"(?iU)\b{re.escape(fold_literal(phrase))}\b"))
+    words = re.escape(fold_literal(phrase, caseless=True))
+    return F.rlike(fold_accents(text, caseless=True), F.lit(rf"(?U){words}\b(?<=\b{words})"))
 
 
 def compose_text(title: Column, summary: Column, body: Column) -> Column:

@@ -1,3 +1,4 @@
+import re
 import unicodedata
 
 import pytest
@@ -56,6 +57,22 @@ def test_phrase_is_whole_words_without_accents_or_case(evaluate):
     assert evaluate(phrase, list(samples)) == list(samples.values())
 
 
+def test_case_variants_match_as_in_a_case_blind_search(evaluate):
+    found = lambda t: X.contains_phrase(t, "rios σ")
+    assert evaluate(found, ["RIOS Σ", "rıoſ ς", "RİOS σ́", "ríos Σ.", "rioss σ"]) == [True] * 4 + [False]
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.text(alphabet="aàÀ bB._-\nſ", max_size=14), min_size=20, max_size=60), st.text(alphabet="aàb _", min_size=1, max_size=3))
+def test_phrase_equals_a_plain_search(spark, texts, words):
+    def plain(text):
+        return "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn").lower()
+
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    got = [r[0] for r in df.select(X.contains_phrase(df.x, words)).collect()]
+    assert got == [bool(re.search(rf"\b{re.escape(plain(words))}\b", plain(t), re.IGNORECASE)) for t in texts]
+
+
 def test_phrase_with_pattern_characters(evaluate):
     found = evaluate(lambda t: X.contains_phrase(t, "a.b (c"), ["x a.b (c y", "x aXb (c y"])
     assert found == [True, False]
