@@ -1,0 +1,91 @@
+"""One key with most of the rows must not send them to one task."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from newslens.operators import events as E
+from newslens.operators.clean import dedupe_articles
+from newslens.operators.resume import latest_labels, pending_articles
+from newslens.sources.articles import with_record_keys
+
+ROWS = 40_000
+TASKS = 8
+
+
+def shuffled_rows(df):
+    """Rows written by each shuffle of the executed plan, in plan order from the result down."""
+    df.collect()
+    found = []
+
+    def children(seq):
+        return [seq.apply(i) for i in range(seq.size())]
+
+    def walk(node):
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return walk(node.executedPlan())
+        if name.endswith("QueryStage"):
+            return walk(node.plan())
+        if name == "Exchange":
+            found.append(node.metrics().apply("shuffleRecordsWritten").value())
+        for child in children(node.children()):
+            walk(child)
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return found
+
+
+@pytest.fixture
+def rows(spark, tmp_path):
+    """Two thirds of the rows belong to article 0 and to the event without a key."""
+    df = spark.range(0, ROWS, 1, TASKS).select(
+        F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id")).alias("articleId"),
+        F.when(F.col("id") % 3 > 0, "evento-sem-chave").otherwise(F.concat(F.lit("e"), (F.col("id") % 50))).alias("evento_id"),
+        F.format_string("k%05d", "id").alias("recordKey"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.hash("id") % 1000).alias("publishedAt"),
+        F.concat(F.lit("t"), "id").alias("title"),
+        F.concat(F.lit("chave "), "id").alias("evento_chave"),
+        F.lit("nome").alias("evento"),
+        F.lit("positivo").alias("label"),
+        F.lit(1.0).alias("sentiment_score"),
+    )
+    df.write.parquet(str(tmp_path / "rows"))
+    return spark.read.parquet(str(tmp_path / "rows"))
+
+
+def test_copies_of_one_article(rows):
+    distinct = rows.select("articleId").distinct().count()
+    (sent,) = shuffled_rows(dedupe_articles(rows))
+    assert sent < distinct + 2 * TASKS
+
+
+def test_versions_of_one_label_row(rows):
+    stored = rows.withColumns({"version": F.col("recordKey"), "recordKey": F.col("articleId").cast("string")})
+    distinct = stored.select("recordKey").distinct().count()
+    (sent,) = shuffled_rows(latest_labels(stored, "version"))
+    assert sent < distinct + 2 * TASKS
+    articles = stored.select("recordKey").distinct()
+    assert pending_articles(articles, stored).count() == 0
+
+
+def test_titles_of_one_event(rows):
+    final, first = shuffled_rows(E.event_titles(rows))
+    # the first shuffle spreads distinct titles; five per task reach the event
+    assert first >= ROWS and final <= 51 * 5 * 4
+
+
+def test_values_of_one_event(rows):
+    final, first = shuffled_rows(E.event_modes(rows))
+    assert first >= ROWS and final <= 51 * 4
+    summary = {r.evento_id: r for r in E.event_summary(rows).collect()}
+    hot = summary["evento-sem-chave"]
+    assert hot.n_artigos == rows.where("articleId = 0 and evento_id = 'evento-sem-chave'").count()
+    assert hot.evento == rows.where("evento_id = 'evento-sem-chave'").agg(F.min("evento_chave")).first()[0]
+
+
+def test_articles_of_one_id(spark):
+    df = spark.range(1, ROWS, 1, TASKS).select(F.col("id").alias("jsonIndex"), F.lit("same").alias("id"))
+    keyed = with_record_keys(df, block=1000)
+    assert keyed.agg(F.countDistinct("recordKey")).first()[0] == ROWS - 1
+    last = keyed.where(F.col("jsonIndex") == ROWS - 1).first()
+    assert last.recordKey == f"same__dup{ROWS - 1}"
