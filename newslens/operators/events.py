@@ -16,10 +16,19 @@ from newslens.functions.rounding import round4, share4
 from newslens.operators.sentiment import label_counts
 from newslens.schema import EVENT_SUMMARY_COLUMNS, LABELS
 
-# Titles shown per event, their separator, and events listed.
+# Titles shown per event, their separator, events listed, and the
+# report sentences of a listed event.
 EXAMPLE_TITLES = 5
 TITLE_SEPARATOR = " | "
 LISTED_EVENTS = 25
+POSITIVE_LINE = (
+    "%d. **%s** - score medio %s; %d noticia(s); positivos=%d; "
+    "muito positivos=%d; negativos=%d. Exemplos: %s"
+)
+NEGATIVE_LINE = (
+    "%d. **%s** - score medio %s; %d noticia(s); negativos=%d; "
+    "muito negativos=%d; positivos=%d. Exemplos: %s"
+)
 
 _MODES = {
     # summary column: article column
@@ -211,25 +220,16 @@ def score_text(score: Column) -> Column:
 
 def ranking_lines(top: DataFrame, positive: bool) -> DataFrame:
     """The report sentence of each listed event."""
-    sides = [
-        ("positivos", "n_positivas"),
-        ("muito positivos", "n_muito_positivas"),
-        ("negativos", "n_negativas"),
-    ]
+    counts = ["n_positivas", "n_muito_positivas", "n_negativas"]
     if not positive:
-        sides = [
-            ("negativos", "n_negativas"),
-            ("muito negativos", "n_muito_negativas"),
-            ("positivos", "n_positivas"),
-        ]
-    counts = "; ".join(f"{name}=%d" for name, _ in sides)
+        counts = ["n_negativas", "n_muito_negativas", "n_positivas"]
     line = F.format_string(
-        f"%d. **%s** - score medio %s; %d noticia(s); {counts}. Exemplos: %s",
+        POSITIVE_LINE if positive else NEGATIVE_LINE,
         "rank",
         "evento_exemplo",
         score_text(F.col("score_medio")),
         "n_artigos",
-        *[column for _, column in sides],
+        *counts,
         "titulos_exemplo",
     )
     return top.select("rank", line.alias("line"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from newslens.functions.labels import label_fuzzy, label_score
 from newslens.functions.text import first_filled, or_empty, slug_classifier, strip
-from newslens.schema import FIELD_CAPS, LABEL_COLUMNS
+from newslens.schema import ERROR_PREFIX, FIELD_CAPS, KEY_SEPARATOR, LABEL_COLUMNS
 
 ANSWER_FIELDS = [
     "label", "reason_sentimento", "reason", "evento", "evento_chave",
@@ -83,7 +83,7 @@ def answer_fields(responses: DataFrame) -> DataFrame:
     rows = parse_answers(responses.withColumn("content", strip(or_empty(F.col("content")))))
     ok = F.col("answered") & F.col("error").isNull()
     answer = F.col("answer")
-    failure = F.coalesce(F.concat(F.lit("API error: "), F.col("error")), F.col("content"))
+    failure = F.coalesce(F.concat(F.lit(ERROR_PREFIX), F.col("error")), F.col("content"))
     rows = (
         rows.withColumn("answer", F.when(ok, F.col("parsed")))
         .withColumns(
@@ -113,7 +113,7 @@ def label_rows(articles: DataFrame, responses: DataFrame, model: str) -> DataFra
     about = articles.select(
         "recordKey", "jsonIndex", "id", "articleId", "publishedAt", "publishedDisplay",
         "sourceName", "sourceHost", "title", "storyId", "storyTitle",
-        F.array_join("targetKeys", "; ").alias("targetKeys"),
+        F.array_join("targetKeys", KEY_SEPARATOR).alias("targetKeys"),
     )
     return (
         about.join(answer_fields(responses), "recordKey")

@@ -21,6 +21,9 @@ LABEL_DIMENSION = [
 
 NO_EVENT_SLUG = "evento-sem-chave"
 
+ERROR_PREFIX = "API error: "
+KEY_SEPARATOR = "; "
+
 TEXT_SLOT = "{noticia}"
 MAX_INPUT_CHARS = 10_000
 

@@ -14,9 +14,9 @@ def test_strip_removes_all_unicode_whitespace(evaluate):
 
 
 def test_fold_composed_and_decomposed(evaluate):
-    samples = ["SEGURANÇA", "segurança", "Ünïcödé ÀÈ", "", None, "açãó", "が", "plain"]
+    samples = ["EDUCAÇÃO", "educac\u0327a\u0303o", "Ünïcödé ÀÈ", "", None, "açãó", "が", "plain"]
     assert evaluate(X.fold_accents, samples) == [
-        "seguranca", "seguranca", "unicode ae", "", "", "acao", "か", "plain",
+        "educacao", "educacao", "unicode ae", "", "", "acao", "か", "plain",
     ]
 
 
@@ -32,7 +32,7 @@ def test_fold_equals_unicode_rule_on_every_two_byte_character(evaluate):
 
 
 def test_fold_literal_is_the_same_rule(evaluate):
-    samples = ["Segurança Presente", "ÁÉÍ", "x́y", "MÜLLER ñ"]
+    samples = ["Educação Nova", "ÁÉÍ", "x́y", "MÜLLER ñ"]
     assert evaluate(X.fold_accents, samples) == [X.fold_literal(s) for s in samples]
 
 
