@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -33,12 +32,9 @@ def require_utc(spark: SparkSession) -> None:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new, unused path every executor can reach.
 
-    It lies in the folder the cluster names in ``spark.checkpoint.dir``. Only a
-    local session without that setting gets a folder on this machine.
+    It lies in the folder the cluster names in ``spark.checkpoint.dir``, else
+    below the warehouse, which executors share too. Never a machine's own
+    temporary folder.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-        base = tempfile.mkdtemp(prefix="newslens-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/newslens-{name}-{uuid.uuid4().hex}"
