@@ -98,3 +98,11 @@ def window_minima(values: np.ndarray, width: int) -> np.ndarray:
         low = np.where(take, here, low)
         best = np.where(take, np.arange(j, j + n), best)
     return np.unique(best)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or the first lengthening of it that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -129,8 +129,9 @@ def quality_verdicts(
     threshold: float = THRESHOLD,
     buckets: int = BUCKETS,
     trusted_limit: int = TRUSTED_LIMIT,
+    into: str = "quality_verdict",
 ) -> DataFrame:
-    """``docs`` with a struct column ``quality_verdict`` (fields: ``VERDICT``)."""
+    """``docs`` with a struct column ``into`` (fields: ``VERDICT``)."""
     ratios = log_ratios(gram_counts(docs, trusted_ids(labels, trusted_limit), buckets), buckets)
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
     kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
@@ -149,7 +150,7 @@ def quality_verdicts(
         columns = list(zip(*rows)) if rows else [[] for _ in names]
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
-    return docs.withColumn("quality_verdict", judge("text"))
+    return docs.withColumn(into, judge("text"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from newslens.llm.decontaminate import op6_decontamination
+from newslens.llm.linededup import OP7_SQL, op7_line_dedup
+from newslens.llm.mixing import OP4_SQL, op4_mixing
 from newslens.llm.quality import op8_quality_rules
 from newslens.llm.simhash import op1_simhash
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op4_mixing": op4_mixing,
     "op6_decontamination": op6_decontamination,
+    "op7_line_dedup": op7_line_dedup,
     "op8_quality_rules": op8_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_mixing": OP4_SQL, "op7_line_dedup": OP7_SQL}
