@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from newslens.llm.chat import OP10_SQL, op10_chat_format
 from newslens.llm.decontaminate import op6_decontamination
 from newslens.llm.linededup import OP7_SQL, op7_line_dedup
 from newslens.llm.mixing import OP4_SQL, op4_mixing
@@ -14,6 +15,7 @@ QUERIES = {
     "op6_decontamination": op6_decontamination,
     "op7_line_dedup": op7_line_dedup,
     "op8_quality_rules": op8_quality_rules,
+    "op10_chat_format": op10_chat_format,
 }
 
-ORACLES: dict[str, str] = {"op4_mixing": OP4_SQL, "op7_line_dedup": OP7_SQL}
+ORACLES: dict[str, str] = {"op4_mixing": OP4_SQL, "op7_line_dedup": OP7_SQL, "op10_chat_format": OP10_SQL}
