@@ -106,3 +106,43 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+#: Bits of a Bloom filter sent to all tasks (4 MB), and probes per hash.
+FILTER_BITS = 1 << 25
+PROBES = 3
+
+
+def _probes(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Bit numbers of each hash, one row per probe."""
+    with np.errstate(over="ignore"):
+        return np.stack([mixed(hashes.view(np.uint64) + np.uint64(i)) % np.uint64(bits) for i in range(PROBES)])
+
+
+def bloom_filter(hashes: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """Bytes of a filter over the only column, a bigint.
+
+    Its size is fixed, whatever the number of rows: more rows let more others pass, so
+    it only ever stands before an exact join. Tasks' set bytes are merged by
+    Spark, and the driver gets each byte once.
+    """
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field = np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            at = _probes(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), bits).ravel()
+            np.bitwise_or.at(field, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        used = np.flatnonzero(field)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(field[used].astype(np.int32))], names=["at", "bits"])
+
+    rows = hashes.mapInArrow(mark, "at int, bits int").groupBy("at").agg(F.bit_or("bits").alias("bits"))
+    field = np.zeros(bits // 8, np.uint8)
+    for batch in rows.toArrow().to_batches():
+        field[batch.column(0).to_numpy()] = batch.column(1).to_numpy().astype(np.uint8)
+    return field
+
+
+def passes(field: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes may be in the filter."""
+    at = _probes(hashes, len(field) * 8)
+    return ((field[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=0)

@@ -38,8 +38,9 @@ from pyspark.sql import functions as F
 
 from newslens.llm.common import (
     as_bytes,
+    bloom_filter,
     gram_hashes,
-    mixed,
+    passes,
     slices,
     stored,
     table,
@@ -50,10 +51,6 @@ from newslens.llm.common import (
 
 WINDOW = 10
 GRAM = 6
-#: Bits of the Bloom filter (2 MB) and probes per hash.
-FILTER_BITS = 1 << 24
-PROBES = 3
-
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -65,12 +62,6 @@ def _digest(words: list[bytes]) -> bytes:
     return xxhash.xxh3_128_digest(b" ".join(words))
 
 
-def _probes(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """Bit numbers of each hash, one row per probe."""
-    with np.errstate(over="ignore"):
-        return np.stack([mixed(hashes + np.uint64(i)) % np.uint64(bits) for i in range(PROBES)])
-
-
 def fingerprints(words: list[bytes], gram: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions kept by winnowing, and all gram hashes."""
     hashes = gram_hashes(word_hashes(words), gram)
@@ -105,25 +96,6 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -
     )
 
 
-def bloom_filter(windows: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """Bytes of the filter over all kept hashes. Tasks send set bytes, which are merged before the driver sees them."""
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field = np.zeros(bits // 8, np.uint8)
-        for batch in batches:
-            hashes = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.uint64)
-            at = _probes(hashes, bits).ravel()
-            np.bitwise_or.at(field, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-        used = np.flatnonzero(field)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(field[used].astype(np.int32))], names=["at", "bits"])
-
-    rows = windows.select("kept").mapInArrow(mark, "at long, bits int").groupBy("at").agg(F.bit_or("bits").alias("bits"))
-    field = np.zeros(bits // 8, np.uint8)
-    for batch in rows.toArrow().to_batches():
-        field[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
-    return field
-
-
 def document_windows(
     docs: DataFrame, field: np.ndarray, short: list[int], window: int = WINDOW, gram: int = GRAM
 ) -> DataFrame:
@@ -134,7 +106,6 @@ def document_windows(
 
     @F.arrow_udf("struct<n_words:bigint,windows:array<struct<start:int,length:int,window:binary>>>")
     def scan(texts: pa.Array) -> pa.Array:
-        bits, field_ = len(shared.value) * 8, shared.value
         counts, offsets, starts, lengths, digests = [], [0], [], [], []
         for begin in range(0, len(texts), 512):
             for data in as_bytes(texts.slice(begin, 512)):
@@ -146,8 +117,7 @@ def document_windows(
                         continue
                     hashes = gram_hashes(one, k)
                     at = window_minima(hashes, width)
-                    probes = _probes(hashes[at], bits)
-                    hit = ((field_[(probes >> np.uint64(3)).astype(np.int64)] >> (probes & np.uint64(7)).astype(np.uint8)) & 1).all(axis=0)
+                    hit = passes(shared.value, hashes[at])
                     around = {
                         s
                         for p in at[hit].tolist()
@@ -177,9 +147,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
         raise ValueError("a gram has at least one word and at most as many as a window")
     items = stored(item_windows(benchmark, window, gram), "item-windows")
     short = [r[0] for r in items.where(F.col("length") < window).select("length").distinct().collect()]
-    scanned = stored(
-        document_windows(docs.select("doc_id", "text"), bloom_filter(items), short, window, gram), "document-windows"
-    )
+    field = bloom_filter(items.select(F.explode("kept").alias("kept")))
+    scanned = stored(document_windows(docs.select("doc_id", "text"), field, short, window, gram), "document-windows")
     row = ["doc_id", "digest"]
     seeds = (
         scanned.where(F.size("windows") > 0)

@@ -6,15 +6,19 @@ from newslens.llm.chat import OP10_SQL, op10_chat_format
 from newslens.llm.decontaminate import op6_decontamination
 from newslens.llm.linededup import OP7_SQL, op7_line_dedup
 from newslens.llm.mixing import OP4_SQL, op4_mixing
+from newslens.llm.paragraphs import op9_paragraph_dedup
 from newslens.llm.quality import op8_quality_rules
 from newslens.llm.simhash import op1_simhash
+from newslens.llm.suffixes import op5_suffix_dedup
 
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op4_mixing": op4_mixing,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_line_dedup": op7_line_dedup,
     "op8_quality_rules": op8_quality_rules,
+    "op9_paragraph_dedup": op9_paragraph_dedup,
     "op10_chat_format": op10_chat_format,
 }
 
