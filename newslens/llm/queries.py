@@ -10,9 +10,11 @@ from newslens.llm.paragraphs import op9_paragraph_dedup
 from newslens.llm.quality import op8_quality_rules
 from newslens.llm.simhash import op1_simhash
 from newslens.llm.suffixes import op5_suffix_dedup
+from newslens.llm.toxicity import op2_toxicity
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_toxicity": op2_toxicity,
     "op4_mixing": op4_mixing,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_decontamination": op6_decontamination,
