@@ -5,6 +5,7 @@ from __future__ import annotations
 from newslens.llm.chat import OP10_SQL, op10_chat_format
 from newslens.llm.decontaminate import op6_decontamination
 from newslens.llm.linededup import OP7_SQL, op7_line_dedup
+from newslens.llm.lm import op3_lm_scoring
 from newslens.llm.mixing import OP4_SQL, op4_mixing
 from newslens.llm.paragraphs import op9_paragraph_dedup
 from newslens.llm.quality import op8_quality_rules
@@ -15,6 +16,7 @@ from newslens.llm.toxicity import op2_toxicity
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_toxicity": op2_toxicity,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_mixing": op4_mixing,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_decontamination": op6_decontamination,
