@@ -11,10 +11,10 @@ import sys
 from collections.abc import Callable
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from checks.fixtures import PHRASE, SCHEMAS, table, view, with_views
+from checks.fixtures import PHRASE, table, view, with_views
 from newslens.functions import labels as L
 from newslens.functions import text as X
 from newslens.operators import events, sentiment
@@ -36,18 +36,27 @@ from newslens.operators.responses import (
     reason_text,
 )
 from newslens.operators.resume import latest_labels, pending_articles, upsert_labels
-from newslens.plans.stages import label_articles
-from newslens.schema import FIELD_CAPS, LABEL_COLUMNS, LABELS
+from newslens.plans.stages import label_articles, run_all
+from newslens.schema import FIELD_CAPS, LABEL_COLUMNS, LABELS, MAX_INPUT_CHARS, NA_SENTINELS
 from newslens.session import shared_path
 from newslens.sources.articles import article_quality as quality_counts
-from newslens.sources.articles import normalize_articles, read_articles, sorted_keys, with_record_keys
+from newslens.sources.articles import (
+    corpus_to_parquet,
+    normalize_articles,
+    read_articles,
+    sorted_keys,
+    with_record_keys,
+)
+from newslens.sources.labels import read_existing
 from newslens.sources.labels import read_labels as read_label_files
 from newslens.sources.sinks import (
     article_event_columns,
     classified_columns,
     landed,
+    write_article_events,
     write_classified,
     write_labels,
+    write_tables,
 )
 from newslens.streaming.incremental import classify_stream, stored_labels
 
@@ -300,6 +309,41 @@ def record_keys(spark, sf):
     return with_record_keys(view(spark, sf, "fx_articles").select("id", "jsonIndex"))
 
 
+@check(f"""{with_views('fx_articles')}, placed AS (SELECT *, row_number() OVER (ORDER BY jsonIndex) AS pos FROM fx_articles),
+       keyed AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS nth FROM placed)
+       SELECT CASE WHEN nth = 1 THEN id ELSE concat(id, '__dup', nth) END AS recordKey, pos AS jsonIndex,
+         articleId, rawText FROM keyed""", "read_corpus")
+def read_corpus_files(spark, sf):
+    """The corpus as three one-object files, read back, converted to Parquet and normalised."""
+    path = shared_path(spark, "corpus-files")
+    rows = view(spark, sf, "fx_articles").withColumn("part", F.ntile(3).over(Window.orderBy("jsonIndex")))
+    article = F.struct("jsonIndex", F.col("articleId").cast("string").alias("articleId"), "id", "title", "rawText")
+    files = rows.groupBy("part").agg(F.sort_array(F.collect_list(article)).alias("articles"))
+    for part in range(1, 4):
+        files.where(F.col("part") == part).select("articles").coalesce(1).write.json(f"{path}/{part}")
+    articles = normalize_articles(corpus_to_parquet(spark, f"{path}/[123]", f"{path}/table"))
+    return articles.select("recordKey", "jsonIndex", "articleId", "rawText")
+
+
+@check(f"""{_KEYED} SELECT recordKey, CAST(row_number() OVER (ORDER BY {_PUBLISHED_SQL}, articleId, jsonIndex) AS INTEGER) AS place
+       FROM keyed""")
+def article_order(spark, sf):
+    """The place of each article's row in a label table written in order."""
+    path = shared_path(spark, "ordered-labels")
+    articles = _articles(spark, sf).withColumn("targetKeys", F.array_join("targetKeys", "; "))
+    write_labels(articles, path, ordered=True)
+    return _places(spark, path, "recordKey")
+
+
+def _places(spark, path: str, key: str) -> DataFrame:
+    """(key, place): the order in which the files of a table, by name, hold its rows."""
+    rows = spark.read.parquet(path).select(
+        key, F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("at")
+    )
+    # row ids rise within a file; files are numbered by name
+    return rows.select(key, F.row_number().over(Window.orderBy("file", "at")).alias("place"))
+
+
 @check(f"""{with_views('fx_articles')} SELECT articleId, array_to_string({_KEYS_SQL}, '; ') AS keys,
        CAST(len({_KEYS_SQL}) AS INTEGER) AS n_keys FROM fx_articles""")
 def target_keys(spark, sf):
@@ -315,12 +359,12 @@ def compose_texts(spark, sf):
     return view(spark, sf, "fx_articles").select(
         "articleId",
         article_text().alias("full_text"),
-        X.render_prompt("{noticia}", article_text()).alias("model_text"),
+        X.render_prompt("{noticia}", article_text(), MAX_INPUT_CHARS).alias("model_text"),
     )
 
 
 @check(f"""{with_views('fx_articles')} SELECT articleId,
-       'Texto: ' || substring({_TEXT}, 1, 10000) || ' -- fim' AS prompt FROM fx_articles""", "render_prompt")
+       'Texto: ' || {_TEXT} || ' -- fim' AS prompt FROM fx_articles""", "render_prompt")
 def render_prompts(spark, sf):
     return view(spark, sf, "fx_articles").select(
         "articleId", X.render_prompt("Texto: {noticia} -- fim", article_text()).alias("prompt")
@@ -403,6 +447,18 @@ def na_sentinels(spark, sf):
     return sentinels_to_null(_text_labels(spark, sf).select(*_SENTINEL_COLUMNS))
 
 
+_SPELLINGS = [*NA_SENTINELS, "nAn", "n/a "]
+
+
+@check(f"""{with_views('fx_labels')}, given AS (SELECT recordKey,
+         [{', '.join(f"'{x}'" for x in _SPELLINGS)}][CAST(articleId % {len(_SPELLINGS)} AS INTEGER) + 1] AS label FROM fx_labels)
+       SELECT recordKey, CASE WHEN label IN ('nAn', 'n/a ') THEN label END AS label FROM given""")
+def na_spellings(spark, sf):
+    """Every spelling of a missing value, and two that are none."""
+    given = F.element_at(F.array(*map(F.lit, _SPELLINGS)), (F.col("articleId") % len(_SPELLINGS) + 1).cast("int"))
+    return sentinels_to_null(view(spark, sf, "fx_labels").select("recordKey", given.alias("label")))
+
+
 @check(_NO_SENTINELS)
 def read_labels(spark, sf):
     """The messy label rows as CSV files in the shared folder, read back under the same rule."""
@@ -491,7 +547,7 @@ def cap_fields(spark, sf):
         F.col("source").alias("reason"),
     )
     return docs.select(
-        "doc_id", *[cap(f, F.col("text")).alias(f) for f in FIELD_CAPS], reason_text(answer).alias("why")
+        "doc_id", *[cap(f, F.col("text"), FIELD_CAPS).alias(f) for f in FIELD_CAPS], reason_text(answer).alias("why")
     )
 
 
@@ -539,17 +595,41 @@ def stub_answer(prompt: str) -> str:
 
 
 def failing_answer(prompt: str) -> str:
-    """As the stub, but refuses prompts without a common word."""
-    if " la " not in prompt:
+    """As the stub where the text has a common word; else an error, a non-text answer, a text no file can
+    hold, or an error that quotes JSON followed by an empty answer, by the text's length."""
+    if " la " in prompt:
+        return stub_answer(prompt)
+    kind = len(prompt) % 4
+    if kind == 0:
         raise RuntimeError("no answer for this text")
+    if kind == 1:
+        return {"label": "positivo"}
+    if kind == 2:
+        return "\ud800"
+    asked = globals().setdefault("_asked", set())
+    if hash(prompt) not in asked:
+        asked.add(hash(prompt))
+        raise RuntimeError('{"label": "positivo", "evento": "E"}')
+    asked.discard(hash(prompt))
+    return ""
+
+
+def short_answer(prompt: str) -> str:
+    """As the stub, for short texts only: longer ones must have been answered before."""
+    if len(prompt) > 2200:
+        raise RuntimeError("asked again")
     return stub_answer(prompt)
 
 
+def no_answer(prompt: str) -> str:
+    raise RuntimeError("asked again")
+
+
 def no_wait(attempt: int, error: Exception) -> float:
     return 0.0
 
 
-_STUB_N = f"length(substring({_TEXT}, 1, 10000))"
+_STUB_N = f"length({_TEXT})"
 _STUB_LABEL = f"[{_LABELS_SQL}][CAST({_STUB_N} % 6 AS INTEGER) + 1]"
 _STUB_KEY = f"concat('evento-', {_STUB_N} % 97)"
 
@@ -561,15 +641,42 @@ def classify_stub(spark, sf):
     return answer_fields(answers).select("recordKey", "label", "evento", "evento_id")
 
 
-@check(f"""{_KEYED}, asked AS (SELECT *, contains(substring({_TEXT}, 1, 10000), ' la ') AS ok FROM keyed)
+_REASONS = f"""CASE {_STUB_N} % 4 WHEN 0 THEN 'API error: no answer for this text'
+  WHEN 1 THEN 'API error: the answer is of type dict, not text'
+  WHEN 2 THEN 'API error: the answer cannot be stored as UTF-8'
+  ELSE '{{"label": "positivo", "evento": "E"}}' END"""
+
+
+@check(f"""{_KEYED}, asked AS (SELECT *, contains({_TEXT}, ' la ') AS ok FROM keyed)
        SELECT recordKey, CASE WHEN ok THEN {_STUB_LABEL} ELSE 'n/a' END AS label,
-       CASE WHEN ok THEN '' ELSE 'API error: no answer for this text' END AS reason,
+       CASE WHEN ok THEN '' ELSE {_REASONS} END AS reason,
        CASE WHEN ok THEN {_STUB_KEY} ELSE 'evento-sem-chave' END AS evento_id FROM asked""")
 def classify_errors(spark, sf):
     answers = classify(_articles(spark, sf), failing_answer, parallelism=8, wait=no_wait)
     return answer_fields(answers).select("recordKey", "label", "reason", "evento_id")
 
 
+def patient_answer(prompt: str) -> str:
+    """The number of the attempt that succeeds, by the text's length: 1, 2 or never."""
+    tried = globals().setdefault("_tried", {})
+    n = tried[prompt] = tried.get(prompt, 0) + 1
+    if n == 3 or n <= len(prompt) % 3 * 2 - 1:
+        if n == 3:
+            tried.pop(prompt)
+        raise RuntimeError(f"busy {n}")
+    tried.pop(prompt)
+    return str(n)
+
+
+@check(f"""{_KEYED}, n AS (SELECT recordKey, {_STUB_N} % 3 AS k FROM keyed)
+       SELECT recordKey, CASE k WHEN 0 THEN '1' WHEN 1 THEN '2' END AS content,
+         CASE WHEN k = 2 THEN 'busy 3' END AS error, CASE WHEN k = 1 THEN 'busy 1' END AS earlier,
+         CAST(CASE k WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS INTEGER) AS attempts FROM n""")
+def retries(spark, sf):
+    """Some texts are answered at once, some at the second attempt, some never."""
+    return classify(_articles(spark, sf), patient_answer, parallelism=8, wait=no_wait)
+
+
 _STUB_ROWS = f"""SELECT recordKey, jsonIndex, id, articleId, {_PUBLISHED_SQL} AS publishedAt,
   '' AS publishedDisplay, '' AS sourceName, sourceHost, title, CAST(NULL AS VARCHAR) AS storyId,
   lang AS storyTitle, array_to_string({_KEYS_SQL}, '; ') AS targetKeys, {_STUB_LABEL} AS label,
@@ -626,7 +733,28 @@ def upsert_label_rows(spark, sf):
     rows.createOrReplaceTempView("fx_labels")
     gone = rows.agg(F.min("sourceHost").alias("sourceHost"))
     current = rows.join(F.broadcast(gone), "sourceHost", "left_anti")  # one row
-    return upsert_labels(view(spark, sf, "fx_existing"), spark.sql(_NEW_LABELS), current)
+    rows = upsert_labels(view(spark, sf, "fx_existing"), spark.sql(_NEW_LABELS), current)
+    return rows.select("recordKey", "label", "evento_chave", "model")
+
+
+@check(f"""{with_views('fx_existing')}, fresh AS (
+         SELECT recordKey, 'neutro' AS label, evento_chave, 'new' AS model, articleId AS jsonIndex, title FROM fx_labels
+         WHERE shipped >= TIMESTAMP '1998-01-01 00:00:00')
+       SELECT recordKey, label, nullif(evento_chave, '') AS evento_chave, model, jsonIndex, title FROM fresh
+       UNION ALL SELECT recordKey, label, nullif(evento_chave, ''), model, NULL, NULL FROM fx_existing
+       WHERE recordKey NOT IN (SELECT recordKey FROM fresh)""")
+def upsert_from_csv(spark, sf):
+    """The store is a CSV file with four columns and two rows per key, of which the later counts."""
+    path = shared_path(spark, "store-csv")
+    old = view(spark, sf, "fx_existing")
+    both = old.withColumn("label", F.lit("negativo")).withColumn("turn", F.lit(0)).unionByName(old.withColumn("turn", F.lit(1)))
+    both.coalesce(1).sortWithinPartitions("turn").drop("turn").write.csv(path, header=True, escape='"')
+    rows = view(spark, sf, "fx_labels")
+    fresh = rows.where("shipped >= TIMESTAMP '1998-01-01 00:00:00'").select(
+        "recordKey", F.lit("neutro").alias("label"), "evento_chave", F.lit("new").alias("model"),
+        F.col("articleId").alias("jsonIndex"), "title")
+    merged = upsert_labels(read_existing(spark, path), fresh, rows)
+    return merged.select("recordKey", "label", F.nullif("evento_chave", F.lit("")).alias("evento_chave"), "model", "jsonIndex", "title")
 
 
 def _stub_existing(articles: DataFrame) -> DataFrame:
@@ -662,37 +790,87 @@ def labels_end_to_end(spark, sf):
     folder = shared_path(spark, "labels")
     articles = landed(_articles(spark, sf), f"{folder}/articles")
     existing = landed(_stub_existing(articles), f"{folder}/existing")
-    labels = label_articles(articles, existing, PHRASE, stub_answer, "stub", folder, parallelism=8)
+    # a run that broke off after the long texts; asking for one of them again would fail it
+    pending = pending_articles(phrase_articles(articles, PHRASE), existing)
+    classify(pending.where("length(rawText) > 2000"), stub_answer).write.parquet(f"{folder}/answers")
+    labels = label_articles(
+        articles, existing, PHRASE, short_answer, "stub", folder, parallelism=4, rows_per_task=50, attempts=1)
     return labels.select("recordKey", "articleId", "label", "evento_id", "model")
 
 
-_STREAM_KEY = "concat('doc-', doc_id)"
+_WHOLE = f"""{_KEYED}, stored AS (SELECT recordKey FROM keyed
+    WHERE lang = 'en' AND len(string_split(title, ' ')) < 12),
+  labels AS (SELECT recordKey, articleId, published,
+    CASE WHEN recordKey IN (FROM stored) THEN 'neutro' ELSE {_STUB_LABEL} END AS label,
+    CASE WHEN recordKey IN (FROM stored) THEN 'antigo' ELSE {_STUB_KEY} END AS evento_id
+  FROM keyed WHERE {_MATCH})"""
 
 
-@check(f"""SELECT {_STREAM_KEY} AS recordKey, doc_id + 1 AS articleId,
-         [{_LABELS_SQL}][CAST(length(substring(chr(10) || chr(10) || chr(10) || chr(10) || text, 1, 10000)) % 6
-         AS INTEGER) + 1] AS label, 'stub' AS model
-       FROM documents WHERE regexp_matches(lower(strip_accents(text)), '\\b{PHRASE}\\b')""", "stream_classify")
+@check(f"""{_WHOLE} SELECT 'counts' AS part, label AS key, CAST(count(*) AS DOUBLE) AS n FROM labels GROUP BY label
+       UNION ALL SELECT 'months', strftime(published, '%Y-%m'), count(*) FROM labels WHERE published IS NOT NULL GROUP BY 2
+       UNION ALL SELECT 'events', evento_id, count(*) FROM labels GROUP BY evento_id
+       UNION ALL SELECT 'events in order', evento_id, row_number() OVER (ORDER BY count(*) DESC,
+         {_round4_sql(f"avg({_score_sql('label')})")} DESC NULLS LAST, evento_id) FROM labels GROUP BY evento_id
+       UNION ALL SELECT 'scores', evento_id, {_round4_sql(f"avg({_score_sql('label')})")} FROM labels GROUP BY evento_id""")
+def whole_run(spark, sf):
+    """All stages twice in one folder; the second resumes from the first's labels and must ask nothing."""
+    folder = shared_path(spark, "whole-run")
+    articles = landed(_articles(spark, sf), f"{folder}/articles")
+    existing = landed(_stub_existing(articles), f"{folder}/existing")
+    run_all(spark, articles, existing, PHRASE, stub_answer, "stub", folder, parallelism=4, ordered=True)
+    run_all(spark, articles, None, PHRASE, no_answer, "stub", folder, attempts=1)
+    labels = spark.read.parquet(f"{folder}/labels")
+    months = spark.read.csv(f"{folder}/monthly_sentiment_counts", header=True)
+    counts = spark.read.csv(f"{folder}/sentiment_counts", header=True)
+    summary = spark.read.parquet(f"{folder}/eventos_resumo")
+    total = sum((F.col(f"`{label}`").cast("double") for label in LABELS), F.lit(0.0))
+    parts = [
+        counts.where("n_articles <> '0'").select(
+            F.lit("counts").alias("part"), F.col("label").alias("key"), F.col("n_articles").cast("double").alias("n")),
+        months.select(F.lit("months"), "month", total),
+        labels.groupBy("evento_id").count().select(F.lit("events"), "evento_id", F.col("count").cast("double")),
+        _places(spark, f"{folder}/eventos_resumo", "evento_id").select(
+            F.lit("events in order"), "evento_id", F.col("place").cast("double")),
+        summary.select(F.lit("scores"), "evento_id", "score_medio"),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
+
+
+
+_LATER = "jsonIndex > 0.3 * (SELECT max(jsonIndex) FROM keyed)"
+
+
+@check(f"""{_KEYED} SELECT recordKey, articleId,
+         CASE WHEN {_LATER} THEN {_STUB_LABEL} ELSE 'neutro' END AS label,
+         CASE WHEN {_LATER} THEN 'stub' ELSE 'old' END AS model
+       FROM keyed WHERE {_MATCH} OR NOT ({_LATER})""", "stream_classify")
 def classify_arrivals(spark, sf):
-    """The document table as a stream of articles, classified incrementally."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    arriving = (
-        spark.readStream.schema(SCHEMAS["documents"])
-        .option("pathGlobFilter", "documents.parquet")
-        .parquet(sf)
-    )
-    raw = arriving.select(
-        (F.col("doc_id") + 1).alias("articleId"),
-        (F.col("doc_id") + 1).alias("jsonIndex"),
-        F.concat(F.lit("doc-"), "doc_id").alias("id"),
-        F.col("text").alias("rawText"),
-        F.col("source").alias("sourceHost"),
+    """Articles that arrive in three parts, with repeated ids, on a store with an earlier run's rows.
+
+    The first part is that run's and must not be asked again. Calls of the second part fail for texts without a
+    common word; the third holds the rest and the second part's other texts again, and the failed calls are
+    repeated with it. The result is the batch result.
+    """
+    raw = view(spark, sf, "fx_articles").select(
+        "articleId", "jsonIndex", "id", "title", "summaryPreview", "rawText", "sourceHost"
     )
+    last, place = F.lit(raw.agg(F.max("jsonIndex")).first()[0] or 0), F.col("jsonIndex")
+    old, middle = place <= 0.3 * last, (place > 0.3 * last) & (place <= 0.6 * last)
+    again = middle & F.contains("rawText", F.lit(" la "))
+    existing = normalize_articles(raw).where(old).select(
+        "recordKey", "jsonIndex", "id", "articleId", F.lit("neutro").alias("label"),
+        F.lit("e").alias("evento_chave"), F.lit("old").alias("model"))
     store = shared_path(spark, "store")
-    query = classify_stream(
-        raw, store, f"{store}/checkpoint", stub_answer, "stub", PHRASE, normalize_articles, parallelism=8
-    )
-    query.awaitTermination()
+    for part, fn in ((old, no_answer), (middle, failing_answer), ((place > 0.6 * last) | again, stub_answer)):
+        raw.where(part).write.mode("append").parquet(f"{store}/in")
+        arriving = spark.readStream.schema(raw.schema).parquet(f"{store}/in")
+        query = classify_stream(
+            arriving, store, f"{store}/checkpoint", fn, "stub", PHRASE, normalize_articles, existing,
+            attempts=1, rows_per_task=50)
+        query.awaitTermination()
     return stored_labels(spark, store).select("recordKey", "articleId", "label", "model")
 
 
@@ -818,19 +996,23 @@ def source_volume(spark, sf):
     return sentiment.source_volume(_clean(spark, sf))
 
 
-@check(f"""{_CLEAN}, bins AS (SELECT * FROM (VALUES (-2.5), (-1.5), (-0.5), (0.5), (1.5)) AS b(f))
+@check(f"""{with_views('fx_labels')}, scored AS (SELECT lineNumber * 0.5 - CASE WHEN flag = 'A' THEN 1.0 ELSE 3.0 END AS s FROM fx_labels),
+       bins AS (SELECT * FROM (VALUES (-2.5), (-1.5), (-0.5), (0.5), (1.5)) AS b(f))
        SELECT CAST(f AS DOUBLE) AS bin_from, CAST(f + 1 AS DOUBLE) AS bin_to,
-       (SELECT count(*) FROM clean WHERE floor(sentiment_score + 0.5) - 0.5 = f) AS n_articles FROM bins""")
+       (SELECT count(*) FROM scored WHERE s >= f AND (s < f + 1 OR f = 1.5 AND s = 2.5)) AS n_articles FROM bins""")
 def score_histogram(spark, sf):
-    return sentiment.score_histogram(_clean(spark, sf))
+    """Scores on every edge of a bin, and beyond the first."""
+    score = F.col("lineNumber") * 0.5 - F.when(F.col("flag") == "A", 1.0).otherwise(3.0)
+    return sentiment.score_histogram(view(spark, sf, "fx_labels").select(score.alias("sentiment_score")))
 
 
 @check(f"""{with_views('fx_articles')} SELECT count(*) AS n_raw, count(*) FILTER ({_MATCH}) AS n_matched,
-       count(DISTINCT articleId) FILTER ({_MATCH}) AS n_unique,
-       count(DISTINCT articleId) FILTER ({_MATCH} AND published IS NOT NULL) AS n_dated FROM fx_articles""")
+       count(DISTINCT id) FILTER ({_MATCH}) AS n_unique,
+       count(DISTINCT id) FILTER ({_MATCH} AND published IS NOT NULL) AS n_dated FROM fx_articles""")
 def corpus_funnel(spark, sf):
+    """Articles here are one where their ids are equal, so that some repeat."""
     return sentiment.corpus_funnel(
-        view(spark, sf, "fx_articles"),
+        view(spark, sf, "fx_articles").withColumn("articleId", F.col("id")),
         X.contains_phrase(article_text(), PHRASE),
         F.col("published").isNotNull(),
     )
@@ -861,6 +1043,24 @@ def event_summary(spark, sf):
     return _summary(spark, sf)
 
 
+@check(f"""{_EVENTS} SELECT evento_id, CAST(row_number() OVER (
+       ORDER BY n_artigos DESC, score_medio DESC NULLS LAST, evento_id) AS INTEGER) AS place FROM summary""")
+def summary_order(spark, sf):
+    """The place of each event in the written summary."""
+    folder = shared_path(spark, "tables")
+    write_tables({"summary": events.in_summary_order(_summary(spark, sf))}, folder)
+    return _places(spark, f"{folder}/summary", "evento_id")
+
+
+@check(f"""{_CLEAN} SELECT articleId, CAST(row_number() OVER (ORDER BY publishedAt NULLS LAST, articleId) AS INTEGER) AS place
+       FROM clean""")
+def event_row_order(spark, sf):
+    """The place of each article in the article-event relation written in order."""
+    path = shared_path(spark, "ordered-rows")
+    write_article_events(_event_rows(spark, sf), path, ordered=True)
+    return _places(spark, path, "articleId")
+
+
 @check(f"{_EVENTS} SELECT evento_id, n_artigos, score_medio FROM summary WHERE n_artigos >= 5")
 def event_min_articles(spark, sf):
     summary = events.event_summary(_stored_event_rows(spark, sf), min_articles=5)

@@ -24,9 +24,6 @@ SCHEMAS = {
 _LABEL_TABLES = ("nation", "supplier", "part", "lineitem")
 _ARTICLE_TABLES = ("documents", "labels", "orders")
 
-#: large tables and the column they are spread by
-SPREAD = {"lineitem": "l_extendedprice", "documents": "doc_id"}
-
 PHRASE = "re"
 
 #: label rows, several per article, undated articles, every label
@@ -123,16 +120,8 @@ def with_views(*names: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table; the large ones spread over the cores if they come as too few files.
-
-    The test tables are one file with one row group each, which is a single task
-    whatever its size. A table of many files is read as it is.
-    """
-    df = spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in SPREAD and len(df.inputFiles()) < cores:
-        df = df.repartition(cores, SPREAD[name])
-    return df
+    """A driver table."""
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

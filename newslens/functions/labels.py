@@ -16,10 +16,6 @@ CONTAINED_LABELS = ["muito negativo", "muito positivo", "negativo", "positivo",
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 _ISO_DATE = r"^\d{4}(-\d{1,2}(-\d{1,2}([T ].+)?)?)?$"
 
-# dates outside the range of a 64-bit nanosecond clock count as invalid
-_FIRST_DATE = "1677-09-21 00:12:43.145225"
-_LAST_DATE = "2262-04-11 23:47:16.854775"
-
 
 def na_to_null(text: Column) -> Column:
     """Missing-value spellings become NULL (the sentiment stage's reading rule)."""
@@ -72,11 +68,7 @@ def parse_timestamp(text: Column, formats: Sequence[str] = ()) -> Column:
     """ISO 8601 text, or any of ``formats``, to TIMESTAMP; invalid text to NULL."""
     text = strip(text)
     ts = F.when(F.rlike(text, F.lit(_ISO_DATE)), text.try_cast("timestamp"))
-    if formats:
-        ts = F.coalesce(ts, *[F.try_to_timestamp(text, F.lit(f)) for f in formats])
-    return F.when(
-        ts.between(F.lit(_FIRST_DATE).cast("timestamp"), F.lit(_LAST_DATE).cast("timestamp")), ts
-    )
+    return F.coalesce(ts, *[F.try_to_timestamp(text, F.lit(f)) for f in formats])
 
 
 def month_of(ts: Column) -> Column:

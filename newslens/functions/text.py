@@ -14,7 +14,7 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from newslens.schema import MAX_INPUT_CHARS, NO_EVENT_SLUG, TEXT_SLOT
+from newslens.schema import NO_EVENT_SLUG, TEXT_SLOT
 
 # The accented letters that the classifier's slug knows.
 SLUG_ACCENTS = "áàãâéêíóôõúç"
@@ -122,9 +122,10 @@ def compose_text(title: Column, summary: Column, body: Column) -> Column:
     return F.concat_ws("\n\n", or_empty(title), or_empty(summary), or_empty(body))
 
 
-def render_prompt(template: str, text: Column, max_chars: int = MAX_INPUT_CHARS) -> Column:
-    """Put the first ``max_chars`` characters of the text into the template's slot."""
-    return F.replace(F.lit(template), F.lit(TEXT_SLOT), F.substring(text, 1, max_chars))
+def render_prompt(template: str, text: Column, max_chars: int | None = None) -> Column:
+    """Put the text, or its first ``max_chars`` characters, into the template's slot."""
+    shown = text if max_chars is None else F.substring(text, 1, max_chars)
+    return F.replace(F.lit(template), F.lit(TEXT_SLOT), shown)
 
 
 def _dashed(text: Column) -> Column:

@@ -41,12 +41,16 @@ _MODES = {
 
 def event_counts(rows: DataFrame) -> DataFrame:
     """Per event: articles per label, all articles, scored articles, sum of scores."""
-    return rows.groupBy("evento_id").agg(
-        *label_counts(),
+    return rows.groupBy("evento_id").agg(*_sums(label_counts()))
+
+
+def _sums(per_label: list[Column]) -> list[Column]:
+    return [
+        *per_label,
         F.count("*").alias("n_artigos"),
         F.count("sentiment_score").alias("n_classificados"),
         F.sum(F.col("sentiment_score").cast("double")).alias("_scores"),
-    )
+    ]
 
 
 def event_modes(rows: DataFrame) -> DataFrame:
@@ -54,26 +58,34 @@ def event_modes(rows: DataFrame) -> DataFrame:
 
     A field the rows lack is empty.
     """
-    values = [
-        F.struct(
-            F.lit(field).alias("field"),
-            (F.col(field) if field in rows.columns else F.lit("")).alias("value"),
-        )
-        for field in _MODES.values()
-    ]
-    counted = (
-        rows.select("evento_id", F.inline(F.array(*values)))
+    return event_counts_and_modes(rows).select("evento_id", *_MODES)
+
+
+def event_counts_and_modes(rows: DataFrame) -> DataFrame:
+    """``event_counts`` and ``event_modes`` from one pass over the rows.
+
+    Rows are first summed per distinct combination of the four fields. Only those
+    sums are taken apart by field; the counts are carried by the first field alone.
+    """
+    fields = list(_MODES.values())
+    for absent in [f for f in fields if f not in rows.columns]:
+        rows = rows.withColumn(absent, F.lit(""))
+    combined = rows.groupBy("evento_id", *fields).agg(*_sums(label_counts()))
+    sums = [c for c in combined.columns if c not in ("evento_id", *fields)]
+    values = [F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields]
+    per_value = (
+        combined.select("evento_id", *sums, F.inline(F.array(*values)))
         .groupBy("evento_id", "field", "value")
-        .agg(F.count("*").alias("n"))
-        .where(F.col("value").isNotNull())
-        .withColumn("candidate", F.struct(-F.col("n"), F.col("value")))
+        .agg(*[F.sum(f"`{c}`").alias(c) for c in sums])
     )
+    candidate = F.when(F.col("value").isNotNull(), F.struct(-F.col("n_artigos"), F.col("value")))
 
     def mode_of(field: str) -> Column:
-        return F.min(F.when(F.col("field") == field, F.col("candidate")))["value"]
+        return F.min(F.when(F.col("field") == field, candidate))["value"]
 
-    return counted.groupBy("evento_id").agg(
-        *[mode_of(field).alias(name) for name, field in _MODES.items()]
+    return per_value.groupBy("evento_id").agg(
+        *[F.sum(F.when(F.col("field") == fields[0], F.col(f"`{c}`"))).alias(c) for c in sums],
+        *[mode_of(field).alias(name) for name, field in _MODES.items()],
     )
 
 
@@ -98,15 +110,11 @@ def event_summary(
 ) -> DataFrame:
     """One row of 26 columns per event: counts, mean score, shares, weights, examples.
 
-    The three parts are partitioned by event already, so joining them shuffles
+    Both parts are partitioned by event already, so joining them shuffles
     nothing. Each reads its own columns of ``rows``; pass rows that are stored
     rather than the end of a long plan.
     """
-    events = (
-        event_counts(rows)
-        .join(event_modes(rows), "evento_id", "left")
-        .join(event_titles(rows, n_titles), "evento_id", "left")
-    )
+    events = event_counts_and_modes(rows).join(event_titles(rows, n_titles), "evento_id", "left")
     if min_articles > 1:
         events = at_least(events, min_articles)
     very_bad, bad, _, good, very_good, _ = [F.col(label) for label in LABELS]

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newslens.functions.labels import label_fuzzy, label_score
 from newslens.functions.text import first_filled, or_empty, slug_classifier, strip
-from newslens.schema import ERROR_PREFIX, FIELD_CAPS, KEY_SEPARATOR, LABEL_COLUMNS
-
-ANSWER_FIELDS = [
-    "label", "reason_sentimento", "reason", "evento", "evento_chave",
-    "tipo_evento", "local", "data_evento", "descricao_curta",
-    "evidencia_sentimento", "evidencia_evento",
-]
+from newslens.schema import (
+    ANSWER_FIELDS,
+    ERROR_PREFIX,
+    FIELD_CAPS,
+    KEY_SEPARATOR,
+    LABEL_COLUMNS,
+)
 
 # The label keeps its JSON type: an answer whose label is a number or an object
 # is unusable as a whole.
@@ -68,28 +70,34 @@ def reason_text(answer: Column) -> Column:
     return first_filled(answer["reason_sentimento"], answer["reason"])
 
 
-def cap(name: str, text: Column) -> Column:
-    return F.substring(text, 1, FIELD_CAPS[name])
+def cap(name: str, text: Column, caps: Mapping[str, int]) -> Column:
+    """The field's text, cut if ``caps`` names a length for it."""
+    return F.substring(text, 1, caps[name]) if name in caps else text
 
 
-def answer_fields(responses: DataFrame) -> DataFrame:
+def answer_fields(responses: DataFrame, caps: Mapping[str, int] | None = None) -> DataFrame:
     """``recordKey`` and the 12 answer-derived label columns.
 
     A failed call or an unreadable answer gives label n/a with the error or the
-    raw answer as its reason, and no event.
+    raw answer as its reason, and no event. An empty answer has the failure before it
+    (``earlier``) as its reason; no error text is ever read as an answer. Fields are whole unless ``caps`` (for
+    instance ``FIELD_CAPS``) cuts them.
     """
-    if "error" not in responses.columns:
-        responses = responses.withColumn("error", F.lit(None).cast("string"))
+    caps = caps or {}
+    for absent in {"error", "earlier"} - set(responses.columns):
+        responses = responses.withColumn(absent, F.lit(None).cast("string"))
     rows = parse_answers(responses.withColumn("content", strip(or_empty(F.col("content")))))
     ok = F.col("answered") & F.col("error").isNull()
     answer = F.col("answer")
-    failure = F.coalesce(F.concat(F.lit(ERROR_PREFIX), F.col("error")), F.col("content"))
+    failure = F.coalesce(
+        F.concat(F.lit(ERROR_PREFIX), F.col("error")), first_filled(F.col("content"), F.col("earlier"))
+    )
     rows = (
         rows.withColumn("answer", F.when(ok, F.col("parsed")))
         .withColumns(
             {
                 "label": label_fuzzy(answer["label"]),
-                "reason": cap("reason", F.when(answer.isNull(), failure).otherwise(reason_text(answer))),
+                "reason": cap("reason", F.when(answer.isNull(), failure).otherwise(reason_text(answer)), caps),
                 "evento": event_name(answer["evento"], answer["evento_chave"]),
             }
         )
@@ -101,22 +109,18 @@ def answer_fields(responses: DataFrame) -> DataFrame:
         )
         .withColumn("evento_id", slug_classifier(F.col("evento_chave")))
     )
-    optional = [cap(f, answer[f]).alias(f) for f in FIELD_CAPS if f != "reason"]
+    optional = [cap(f, answer[f], caps).alias(f) for f in FIELD_CAPS if f != "reason"]
     return rows.select(
         "recordKey", "label", "sentiment_score", "reason", "evento", "evento_chave", "evento_id",
         *optional,
     )
 
 
-def label_rows(articles: DataFrame, responses: DataFrame, model: str) -> DataFrame:
+def label_rows(
+    articles: DataFrame, responses: DataFrame, model: str, caps: Mapping[str, int] | None = None
+) -> DataFrame:
     """The 25-column label rows of all articles that have an answer."""
-    about = articles.select(
-        "recordKey", "jsonIndex", "id", "articleId", "publishedAt", "publishedDisplay",
-        "sourceName", "sourceHost", "title", "storyId", "storyTitle",
-        F.array_join("targetKeys", KEY_SEPARATOR).alias("targetKeys"),
-    )
-    return (
-        about.join(answer_fields(responses), "recordKey")
-        .withColumn("model", F.lit(model))
-        .select(*LABEL_COLUMNS)
-    )
+    answers = answer_fields(responses, caps)
+    own = [c for c in LABEL_COLUMNS if c not in (*answers.columns[1:], "model", "targetKeys")]
+    about = articles.select(*own, F.array_join("targetKeys", KEY_SEPARATOR).alias("targetKeys"))
+    return about.join(answers, "recordKey").withColumn("model", F.lit(model)).select(*LABEL_COLUMNS)

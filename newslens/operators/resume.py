@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newslens.functions.text import first_filled
+from newslens.schema import LABEL_COLUMNS, LABEL_SCHEMA
 
 
 def row_key(rows: DataFrame) -> Column:
@@ -47,20 +48,30 @@ def pending_articles(articles: DataFrame, labels: DataFrame) -> DataFrame:
     return articles.join(done, "recordKey", "left_anti")
 
 
+def as_label_rows(rows: DataFrame) -> DataFrame:
+    """The 25 label columns in their types: absent ones NULL, unreadable numbers NULL."""
+    return rows.select(
+        *[
+            (F.col(f.name) if f.name in rows.columns else F.lit(None)).try_cast(f.dataType).alias(f.name)
+            for f in LABEL_SCHEMA.fields
+        ]
+    )
+
+
 def upsert_labels(existing: DataFrame, new: DataFrame, candidates: DataFrame) -> DataFrame:
     """Stored rows with the new ones in place of theirs, for current candidates only.
 
-    Both sides hold one row per key, so this is one shuffle of the label rows and
-    one of the candidates' keys.
+    Both sides are brought to the 25 label columns, so a store may be a CSV file (all
+    text) or lack columns. Each side should hold one row per key; of several, the greatest
+    by its columns in order counts. One shuffle of the label rows and one of the candidates' keys.
     """
-    columns = existing.columns
-    both = existing.withColumn("_new", F.lit(0)).unionByName(
-        new.select(*columns).withColumn("_new", F.lit(1))
+    both = as_label_rows(existing).withColumn("_new", F.lit(0)).unionByName(
+        as_label_rows(new).withColumn("_new", F.lit(1))
     )
-    newest = Window.partitionBy("recordKey").orderBy(F.col("_new").desc())
+    newest = Window.partitionBy("recordKey").orderBy(F.col("_new").desc(), F.struct(*LABEL_COLUMNS).desc())
     return (
         both.withColumn("_nth", F.row_number().over(newest))
         .where("_nth = 1")
         .join(candidates.select("recordKey"), "recordKey", "left_semi")
-        .select(*columns)
+        .select(*LABEL_COLUMNS)
     )

@@ -1,25 +1,29 @@
 """The three stages and the whole run, composed from the operators.
 
-Stages hand over written tables. That is what makes a long run restartable, and
-it keeps the external classifier from being called twice.
+Stages hand over written tables. The classifier's answers are kept as they come, so a broken
+run goes on where it stopped, and no answer is paid for twice.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from newslens.functions.text import render_prompt
 from newslens.operators import events, sentiment
-from newslens.operators.classify import classify, phrase_articles
+from newslens.operators.classify import answer_durably, article_text, latest_answers, phrase_articles
 from newslens.operators.clean import clean_event_rows, clean_labels
 from newslens.operators.responses import label_rows
 from newslens.operators.resume import pending_articles, upsert_labels
+from newslens.schema import LABEL_SCHEMA, RESPONSE_SCHEMA, TEXT_SLOT
+from newslens.sources.labels import read_existing
 from newslens.sources.sinks import (
+    label_table,
     landed,
+    replace_table,
     write_article_events,
     write_classified,
-    write_labels,
     write_small_tables,
     write_tables,
 )
@@ -33,18 +37,32 @@ def label_articles(
     model: str,
     work: str,
     resume: bool = True,
-    **classify_options,
+    template: str = TEXT_SLOT,
+    max_chars: int | None = None,
+    caps: Mapping[str, int] | None = None,
+    **ask_options,
 ) -> DataFrame:
     """Stage 1: label rows of all phrase articles, calling ``fn`` only for pending ones.
 
-    Matching articles and raw answers are written below the folder ``work``: the
-    texts are searched once and the classifier is called once per article.
-    ``existing`` holds one label row per key (see ``latest_labels``).
+    Matching articles, with their prompts in place of the texts, are written below the folder
+    ``work``, so texts are searched and stored once. Answers are added there as tasks
+    end. A broken run, started again with the same ``work``, keeps them and asks for the rest;
+    :func:`forget_answers` starts afresh. ``existing`` holds one label row per key (see ``read_existing``).
+    ``max_chars`` and ``caps`` cut the input text and the answer's fields; by default both are whole.
     """
-    candidates = landed(phrase_articles(articles, phrase), f"{work}/candidates")
-    pending = pending_articles(candidates, existing) if resume else candidates
-    answers = landed(classify(pending, fn, **classify_options), f"{work}/answers")
-    return upsert_labels(existing, label_rows(candidates, answers, model), candidates)
+    prompt = render_prompt(template, article_text(), max_chars)
+    matched = phrase_articles(articles, phrase).withColumn("prompt", prompt).drop("rawText", "summaryPreview")
+    candidates = landed(matched, f"{work}/candidates")
+    prompts = candidates.select("recordKey", "prompt")
+    pending = pending_articles(prompts, existing) if resume else prompts
+    answers = latest_answers(answer_durably(pending, fn, f"{work}/answers", **ask_options))
+    rows = label_rows(candidates.drop("prompt"), answers, model, caps)
+    return upsert_labels(existing, rows, candidates)
+
+
+def forget_answers(spark: SparkSession, work: str) -> None:
+    """Empty the answers below ``work``: the run they belong to has ended."""
+    spark.createDataFrame([], RESPONSE_SCHEMA).write.mode("overwrite").parquet(f"{work}/answers")
 
 
 def sentiment_tables(classified: DataFrame) -> dict[str, DataFrame]:
@@ -58,10 +76,16 @@ def sentiment_tables(classified: DataFrame) -> dict[str, DataFrame]:
 
 
 def event_tables(
-    rows: DataFrame, min_articles: int = 1, min_classified: int | None = None
+    rows: DataFrame,
+    min_articles: int = 1,
+    min_classified: int | None = None,
+    summary: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Stage 3 tables: all events, and both rankings in order."""
-    summary = events.event_summary(rows)
+    """Stage 3 tables: all events, and both rankings in order.
+
+    Pass a stored ``summary`` of ``rows``, or each table computes it.
+    """
+    summary = events.event_summary(rows) if summary is None else summary
     return {
         "eventos_resumo": events.in_summary_order(summary),
         "eventos_muito_positivos": events.rank_positive(summary, min_articles, min_classified),
@@ -75,30 +99,28 @@ def analyse_labels(
     min_articles: int = 1,
     min_classified: int | None = None,
     timestamp_formats: Sequence[str] = (),
+    ordered: bool = False,
 ) -> None:
     """Stages 2 and 3 over label rows; every table goes below ``folder``.
 
+    ``ordered`` writes the article tables sorted by date.
+
     The deduplicated articles and the event summary are each computed once and
     read back from their written tables.
     """
     spark = labels.sparkSession
     folder = folder.rstrip("/")
-    write_classified(clean_labels(labels, timestamp_formats), f"{folder}/noticias_classificadas")
+    write_classified(clean_labels(labels, timestamp_formats), f"{folder}/noticias_classificadas", ordered=ordered)
     classified = spark.read.parquet(f"{folder}/noticias_classificadas")
     write_small_tables(sentiment_tables(classified), folder)
 
-    write_article_events(clean_event_rows(classified), f"{folder}/eventos_por_noticia")
+    write_article_events(clean_event_rows(classified), f"{folder}/eventos_por_noticia", ordered=ordered)
     rows = spark.read.parquet(f"{folder}/eventos_por_noticia")
     write_tables({"eventos_resumo": events.in_summary_order(events.event_summary(rows))}, folder)
     summary = spark.read.parquet(f"{folder}/eventos_resumo")
     thresholds = (min_articles, min_classified)
-    write_tables(
-        {
-            "eventos_muito_positivos": events.rank_positive(summary, *thresholds),
-            "eventos_muito_negativos": events.rank_negative(summary, *thresholds),
-        },
-        folder,
-    )
+    rankings = event_tables(rows, *thresholds, summary=summary)
+    write_tables({k: v for k, v in rankings.items() if k != "eventos_resumo"}, folder)
     top_good = events.top_positive(summary, min_articles=min_articles, min_classified=min_classified)
     top_bad = events.top_negative(summary, min_articles=min_articles, min_classified=min_classified)
     write_small_tables(
@@ -114,21 +136,23 @@ def analyse_labels(
 def run_all(
     spark: SparkSession,
     articles: DataFrame,
-    existing: DataFrame,
+    existing: DataFrame | None,
     phrase: str,
     fn: Callable[[str], str],
     model: str,
     folder: str,
     min_articles: int = 1,
     min_classified: int | None = None,
-    **classify_options,
+    timestamp_formats: Sequence[str] = (),
+    ordered: bool = False,
+    **label_options,
 ) -> None:
-    """All three stages. ``existing`` must not be read from a table below ``folder``."""
+    """All three stages. Without ``existing`` the run resumes from the labels of an earlier one in ``folder``."""
     folder = folder.rstrip("/")
-    labels = label_articles(
-        articles, existing, phrase, fn, model, f"{folder}/work", **classify_options
-    )
-    write_labels(labels, f"{folder}/labels")
-    analyse_labels(
-        spark.read.parquet(f"{folder}/labels"), folder, min_articles, min_classified
-    )
+    if existing is None:
+        existing = read_existing(spark, f"{folder}/labels", "parquet")
+    labels = label_articles(articles, existing, phrase, fn, model, f"{folder}/work", **label_options)
+    replace_table(label_table(labels, ordered), f"{folder}/labels")
+    forget_answers(spark, f"{folder}/work")
+    labels = spark.read.schema(LABEL_SCHEMA).parquet(f"{folder}/labels")
+    analyse_labels(labels, folder, min_articles, min_classified, timestamp_formats, ordered)

@@ -73,6 +73,20 @@ EVENT_SUMMARY_COLUMNS = [
     "peso_negativo", "titulos_exemplo",
 ]
 
+#: text fields of an article that default to the empty string
+ARTICLE_TEXT_COLUMNS = [
+    "title", "url", "sourceName", "sourceHost", "publishedAt",
+    "publishedDisplay", "rawTextKey", "rawText", "summaryPreview",
+    "summaryLabel", "storyTitle",
+]
+
+#: fields of the classifier's answer
+ANSWER_FIELDS = [
+    "label", "reason_sentimento", "reason", "evento", "evento_chave",
+    "tipo_evento", "local", "data_evento", "descricao_curta",
+    "evidencia_sentimento", "evidencia_evento",
+]
+
 # ---------------------------------------------------------------------------
 
 LABELS = [label for label, _, _ in LABEL_DIMENSION]
@@ -81,13 +95,6 @@ NO_LABEL = "n/a"
 POSITIVE = ["positivo", "muito positivo"]
 NEGATIVE = ["negativo", "muito negativo"]
 
-#: text fields of an article that default to the empty string
-ARTICLE_TEXT_COLUMNS = [
-    "title", "url", "sourceName", "sourceHost", "publishedAt",
-    "publishedDisplay", "rawTextKey", "rawText", "summaryPreview",
-    "summaryLabel", "storyTitle",
-]
-
 #: one element of the corpus; ids are read as text so that one bad id cannot
 #: fail the whole file
 ARTICLE_SCHEMA = T.StructType(
@@ -126,6 +133,8 @@ RESPONSE_SCHEMA = T.StructType(
         T.StructField("recordKey", T.StringType()),
         T.StructField("content", T.StringType()),
         T.StructField("error", T.StringType()),
+        # the failure before a later answer, the reason if that answer is empty
+        T.StructField("earlier", T.StringType()),
         T.StructField("attempts", T.IntegerType()),
     ]
 )

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from newslens.schema import RESPONSE_SCHEMA
+from newslens.operators.resume import as_label_rows, latest_labels
+from newslens.schema import LABEL_SCHEMA, RESPONSE_SCHEMA
 
 
 def read_labels(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
@@ -21,6 +24,22 @@ def read_labels(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     return reader.load(path)
 
 
+def read_existing(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+    """An earlier run's label rows, one per key, for ``upsert_labels``; empty where ``path`` does not exist.
+
+    Where a key has several rows the last one counts: in the order of file names, and within
+    a file in that of its rows (a CSV file is read by one task, in order).
+    """
+    try:
+        rows = read_labels(spark, path, fmt)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return spark.createDataFrame([], LABEL_SCHEMA)
+    place = F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id())
+    return as_label_rows(latest_labels(rows.withColumn("_place", place), "_place"))
+
+
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
     """Raw classifier answers as landed by the classification stage."""
     return spark.read.schema(RESPONSE_SCHEMA).parquet(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
@@ -38,18 +39,36 @@ def landed(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def write_labels(labels: DataFrame, path: str, fmt: str = "parquet", ordered: bool = False) -> None:
-    """The 25 label columns; others are ignored and absent ones are written as NULL.
+def label_table(labels: DataFrame, ordered: bool = False) -> DataFrame:
+    """The 25 label columns; others are ignored and absent ones are NULL.
 
-    ``ordered`` sorts the files by date, article id and position.
+    ``ordered`` sorts by date, article id and position.
     """
     for column in LABEL_COLUMNS:
         if column not in labels.columns:
             labels = labels.withColumn(column, F.lit(None).cast(T.StringType()))
     labels = labels.select(*LABEL_COLUMNS)
-    if ordered:
-        labels = labels.orderBy("publishedAt", "articleId", "jsonIndex")
-    _write(labels, path, fmt)
+    return labels.orderBy("publishedAt", "articleId", "jsonIndex") if ordered else labels
+
+
+def write_labels(labels: DataFrame, path: str, fmt: str = "parquet", ordered: bool = False) -> None:
+    """``label_table`` written to ``path``, over what is there."""
+    _write(label_table(labels, ordered), path, fmt)
+
+
+def replace_table(
+    df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ()
+) -> None:
+    """Write ``df``, which may be read from ``path`` itself, beside that folder and then put it in its place."""
+    spark = df.sparkSession
+    path = path.rstrip("/")
+    beside = f"{path}-{uuid.uuid4().hex}"
+    _write(df, beside, fmt, partition_by)
+    to_path = spark._jvm.org.apache.hadoop.fs.Path
+    files = to_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(to_path(path), True)
+    if not files.rename(to_path(beside), to_path(path)):
+        raise OSError(f"cannot rename {beside} to {path}")
 
 
 def classified_columns(classified: DataFrame) -> DataFrame:
@@ -62,13 +81,19 @@ def article_event_columns(rows: DataFrame) -> DataFrame:
     return _present(rows, ARTICLE_EVENT_COLUMNS)
 
 
-def write_classified(classified: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Classified articles, one folder per month.
+def write_classified(
+    classified: DataFrame, path: str, fmt: str = "parquet", ordered: bool = False
+) -> None:
+    """Classified articles, one folder per month; ``ordered`` sorts by date (undated last) and article id.
 
     The rebalance hint lets adaptive execution split a month that is too large
     for one file and join small ones, instead of every task writing every month.
     """
-    out = classified_columns(classified).hint("rebalance", F.col("month"))
+    out = classified_columns(classified)
+    if ordered:
+        out = out.orderBy("month", F.col("publishedAt").asc_nulls_last(), "articleId")
+    else:
+        out = out.hint("rebalance", F.col("month"))
     _write(out, path, fmt, partition_by=["month"])
 
 

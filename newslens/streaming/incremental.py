@@ -1,36 +1,55 @@
 """Incremental classification of arriving articles.
 
-The label store is append-only: each micro-batch writes its own folder, and a
-reader takes the newest row per key. A repeated micro-batch overwrites its own
-folder, so every article ends up with exactly one stored label. Articles whose
-call failed have no event key and are asked again when they arrive again.
+The store is append-only, with one folder per micro-batch in each of its tables; a
+repeated micro-batch overwrites its own folders and reads only those before it:
+
+* ``keys``: every article that has arrived, with its number among those of its id;
+* ``candidates``: the articles to classify, with their prompts in place of the texts;
+* ``answers``: what the classifier said, kept as tasks end;
+* ``labels``: label rows; a reader takes the newest row per key.
+
+An article is known by id, ``articleId`` and position. One that arrives again is not
+classified again; a new one with a known id gets the next number of that id. Articles whose
+call failed are asked again with every later micro-batch, whether they arrive again or not.
+
+A micro-batch reads only the narrow columns of ``keys`` and ``labels``, and meets
+them by its own keys; :func:`compact_store` folds old folders into one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from newslens.operators.classify import classify, phrase_articles
+from newslens.functions.text import render_prompt
+from newslens.operators.classify import answer_durably, article_text, latest_answers, phrase_articles
 from newslens.operators.responses import label_rows
-from newslens.operators.resume import latest_labels, pending_articles
-from newslens.schema import LABEL_SCHEMA
-from newslens.sources.sinks import landed
+from newslens.operators.resume import as_label_rows, completed, latest_labels
+from newslens.schema import LABEL_COLUMNS, LABEL_SCHEMA, TEXT_SLOT
+from newslens.sources.sinks import landed, replace_table
 
-_STORED = T.StructType([*LABEL_SCHEMA.fields, T.StructField("batch", T.LongType())])
+_BATCH = T.StructField("batch", T.LongType())
+_KEYS = "id string, articleId bigint, jsonIndex bigint, nth bigint, recordKey string"
+_IDENTITY = ["id", "articleId", "jsonIndex"]
 
 
-def create_store(spark: SparkSession, store: str) -> None:
-    """An empty label store, so that readers find its folder."""
-    spark.createDataFrame([], LABEL_SCHEMA).write.mode("ignore").parquet(f"{store}/labels/batch=-1")
+def create_store(spark: SparkSession, store: str, existing: DataFrame | None = None) -> None:
+    """A label store, empty or with the label rows of an earlier run; left as it is if there is one."""
+    rows = as_label_rows(existing) if existing is not None else spark.createDataFrame([], LABEL_SCHEMA)
+    rows.write.mode("ignore").parquet(f"{store}/labels/batch=-1")
+    number = F.coalesce(F.regexp_extract("recordKey", r"__dup(\d+)$", 1).try_cast("bigint"), F.lit(1))
+    nth = F.when(F.col("recordKey") == F.col("id"), F.lit(1)).otherwise(number).cast("bigint").alias("nth")
+    spark.read.schema(LABEL_SCHEMA).parquet(f"{store}/labels/batch=-1").select(
+        *_IDENTITY, nth, "recordKey"
+    ).write.mode("ignore").parquet(f"{store}/keys/batch=-1")
 
 
 def stored_rows(spark: SparkSession, store: str) -> DataFrame:
-    return spark.read.schema(_STORED).parquet(f"{store}/labels")
+    return spark.read.schema(T.StructType([*LABEL_SCHEMA.fields, _BATCH])).parquet(f"{store}/labels")
 
 
 def stored_labels(spark: SparkSession, store: str) -> DataFrame:
@@ -38,6 +57,26 @@ def stored_labels(spark: SparkSession, store: str) -> DataFrame:
     return latest_labels(stored_rows(spark, store), "batch").drop("batch")
 
 
+def _stored_keys(spark: SparkSession, store: str) -> DataFrame:
+    return spark.read.schema(f"{_KEYS}, batch bigint").parquet(f"{store}/keys")
+
+
+def number_arrivals(arrived: DataFrame, known: DataFrame) -> DataFrame:
+    """Keys (``id, articleId, jsonIndex, nth, recordKey``) of the articles in ``arrived`` that ``known`` lacks.
+
+    Numbering goes on from the highest number ``known`` has for an id, in the order of positions.
+    """
+    mine = arrived.select(*_IDENTITY).distinct()
+    before = known.join(mine.select("id").distinct(), "id", "left_semi")
+    highest = before.groupBy("id").agg(F.max("nth").alias("_highest"))
+    new = mine.join(before.select(*_IDENTITY), _IDENTITY, "left_anti").join(highest, "id", "left")
+    in_order = Window.partitionBy("id").orderBy("jsonIndex", "articleId")
+    nth = F.row_number().over(in_order) + F.coalesce("_highest", F.lit(0))
+    return new.withColumn("nth", nth.cast("bigint")).select(
+        *_IDENTITY, "nth", F.when(F.col("nth") == 1, F.col("id")).otherwise(F.concat("id", F.lit("__dup"), F.col("nth").cast("string"))).alias("recordKey")
+    )
+
+
 def classify_batch(
     articles: DataFrame,
     batch: int,
@@ -45,22 +84,59 @@ def classify_batch(
     fn: Callable[[str], str],
     model: str,
     phrase: str | None = None,
-    **classify_options,
+    template: str = TEXT_SLOT,
+    max_chars: int | None = None,
+    caps: Mapping[str, int] | None = None,
+    **ask_options,
 ) -> None:
-    """Classify the articles of one micro-batch that have no completed label yet."""
+    """Classify a micro-batch's new articles, and stored ones whose call has failed so far.
+
+    ``articles`` is the normalised article table of the micro-batch; its record keys are
+    not used, because numbers go on from the store's.
+    """
+    spark = articles.sparkSession
+    keys = landed(
+        number_arrivals(articles, _stored_keys(spark, store).where(F.col("batch") < batch)),
+        f"{store}/keys/batch={batch}",
+    )
+    # an article may arrive twice in one batch: either copy will do
+    fresh = articles.drop("recordKey").dropDuplicates(_IDENTITY).join(keys.drop("nth"), _IDENTITY)
     if phrase is not None:
-        articles = phrase_articles(articles, phrase)
-    # an article may arrive twice in one batch
-    first = Window.partitionBy("recordKey").orderBy("jsonIndex")
-    once = articles.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
-    candidates = landed(once, f"{store}/candidates/batch={batch}")
-    earlier = stored_rows(articles.sparkSession, store).where(F.col("batch") < batch)
-    pending = pending_articles(candidates, earlier)
-    answers = landed(classify(pending, fn, **classify_options), f"{store}/answers/batch={batch}")
-    labels = label_rows(candidates, answers, model)
+        fresh = phrase_articles(fresh, phrase)
+    prompt = render_prompt(template, article_text(), max_chars)
+    added = landed(
+        fresh.withColumn("prompt", prompt).drop("rawText", "summaryPreview"), f"{store}/candidates/batch={batch}"
+    )
+    earlier = stored_rows(spark, store).where(F.col("batch") < batch).select("recordKey", "id", "label", "evento_chave", "batch")
+    latest = latest_labels(earlier, "batch")
+    failed = latest.join(completed(latest).select("recordKey"), "recordKey", "left_anti").select("recordKey")
+    stored = spark.read.schema(T.StructType([*added.schema.fields, _BATCH])).parquet(f"{store}/candidates")
+    again = stored.where(F.col("batch") < batch).drop("batch").join(failed, "recordKey", "left_semi")
+    candidates = added.unionByName(again.select(*added.columns))
+    answers = answer_durably(
+        candidates.select("recordKey", "prompt"), fn, f"{store}/answers/batch={batch}", **ask_options
+    )
+    labels = label_rows(candidates.drop("prompt"), latest_answers(answers), model, caps)
     labels.write.mode("overwrite").parquet(f"{store}/labels/batch={batch}")
 
 
+def compact_store(spark: SparkSession, store: str) -> None:
+    """Fold all label and key folders into ``batch=-1``, one row per article. Not while a stream runs.
+
+    The candidates of completed articles are not needed again and go.
+    """
+    current = stored_labels(spark, store).select(*LABEL_COLUMNS)
+    pending = current.join(completed(current).select("recordKey"), "recordKey", "left_anti").select("recordKey")
+    # the labels last: what is pending is read from them
+    tables = {
+        "candidates": spark.read.parquet(f"{store}/candidates").drop("batch").join(pending, "recordKey", "left_semi"),
+        "keys": _stored_keys(spark, store).drop("batch"),
+        "labels": current,
+    }
+    for name, rows in tables.items():
+        replace_table(rows.withColumn("batch", F.lit(-1).cast("bigint")), f"{store}/{name}", partition_by=["batch"])
+
+
 def classify_stream(
     articles: DataFrame,
     store: str,
@@ -69,18 +145,20 @@ def classify_stream(
     model: str,
     phrase: str | None = None,
     prepare: Callable[[DataFrame], DataFrame] = lambda df: df,
-    **classify_options,
+    existing: DataFrame | None = None,
+    **options,
 ) -> StreamingQuery:
-    """Start the incremental job over a stream of articles with their record keys.
+    """Start the incremental job over a stream of articles.
 
     ``prepare`` turns a micro-batch into the article table (joins, normalising).
+    ``existing`` are an earlier run's label rows, for a store that is not there yet.
     All input available now is processed, then the query stops; run it again
-    with the same ``checkpoint`` for what has arrived since.
+    with the same ``checkpoint`` for what has arrived since. ``options`` are those of :func:`classify_batch`.
     """
-    create_store(articles.sparkSession, store)
+    create_store(articles.sparkSession, store, existing)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        classify_batch(prepare(batch), batch_id, store, fn, model, phrase, **classify_options)
+        classify_batch(prepare(batch), batch_id, store, fn, model, phrase, **options)
 
     return (
         articles.writeStream.foreachBatch(run)

@@ -63,8 +63,8 @@ DATES = {
     "ontem": None,
     "": None,
     None: None,
-    "0001-01-01T00:00:00": None,
-    "9999-12-31": None,
+    "0001-01-01T00:00:00": datetime(1, 1, 1),
+    "9999-12-31": datetime(9999, 12, 31),
 }
 
 

@@ -7,9 +7,11 @@ import pytest
 from checks import catalog
 
 SF = "/root/testdata/sf0.001"
-PYTHON_ALLOWED = {"classify_stub", "classify_errors", "label_rows"}
+PYTHON_ALLOWED = {"classify_stub", "classify_errors", "label_rows", "retries"}
 TOP_EVENTS = {"top_positive", "top_negative", "ranking_lines"}
 WRITES = {"read_articles", "read_labels", "classified_by_month", "labels_end_to_end", "stream_classify"}
+# these number the rows of a written table to show its order
+WRITES |= {"read_corpus", "article_order", "event_row_order", "summary_order", "whole_run", "upsert_from_csv"}
 
 
 def plan(spark, name):
@@ -40,6 +42,16 @@ def test_first_row_per_key_is_cut_before_the_shuffle(spark, name):
     assert partial
 
 
+def test_summary_reads_its_rows_twice_and_never_explodes_them(spark):
+    text = plan(spark, "event_summary")
+    rows = re.findall(r"FileScan parquet", text)
+    assert len(rows) == 2
+    # sums per combination of values are taken apart, below them nothing is
+    assert text.count("Generate inline") == 1
+    below = text[text.index("Generate inline") :]
+    assert "HashAggregate" in below[: below.index("Exchange")]
+
+
 def test_scans_read_only_needed_columns(spark):
     text = plan(spark, "sentiment_counts")
     scan = re.search(r"ReadSchema: struct<([^>]*)>", text[text.index("lineitem.parquet"):]).group(1)

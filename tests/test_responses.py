@@ -1,6 +1,7 @@
 import pytest
 
 from newslens.operators import responses as R
+from newslens.schema import FIELD_CAPS
 from newslens.schema import LABEL_COLUMNS
 
 GOOD = '{"label":"Positivo","evento":" Obra ","evento_chave":"Obra Nova","local":null}'
@@ -59,9 +60,9 @@ def test_answer_without_fields(spark):
     assert (row.label, row.reason, row.evento_id) == ("n/a", "", "evento-sem-chave")
 
 
-def fields(spark, content, error=None):
+def fields(spark, content, error=None, caps=None):
     df = spark.createDataFrame([("k", content, error)], "recordKey string, content string, error string")
-    return R.answer_fields(df).first()
+    return R.answer_fields(df, caps).first()
 
 
 def test_event_name_and_key_stand_in_for_each_other(spark):
@@ -83,12 +84,13 @@ def test_score_comes_from_the_label(spark):
 
 def test_reason_fallback_and_caps(spark):
     long = "é" * 3000
-    row = fields(spark, f'{{"label":"neutro","reason_sentimento":"","reason":"{long}","tipo_evento":"{long}",'
-                        f'"local":"{long}","data_evento":"{long}","descricao_curta":"{long}",'
-                        f'"evidencia_evento":"{long}","evidencia_sentimento":"{long}"}}')
-    sizes = [len(row[c]) for c in ("reason", "tipo_evento", "local", "data_evento", "descricao_curta",
-                                   "evidencia_evento", "evidencia_sentimento")]
-    assert sizes == [1200, 200, 200, 100, 1200, 1200, 1200]
+    answer = (f'{{"label":"neutro","reason_sentimento":"","reason":"{long}","tipo_evento":"{long}",'
+              f'"local":"{long}","data_evento":"{long}","descricao_curta":"{long}",'
+              f'"evidencia_evento":"{long}","evidencia_sentimento":"{long}"}}')
+    columns = ("reason", "tipo_evento", "local", "data_evento", "descricao_curta", "evidencia_evento", "evidencia_sentimento")
+    for caps, expected in ((None, [3000] * 7), (FIELD_CAPS, [1200, 200, 200, 100, 1200, 1200, 1200])):
+        row = fields(spark, answer, caps=caps)
+        assert [len(row[c]) for c in columns] == expected
 
 
 def test_error_rows(spark):

@@ -75,8 +75,9 @@ def test_titles_of_one_event(rows):
 
 
 def test_values_of_one_event(rows):
-    final, first = shuffled_rows(E.event_modes(rows))
-    assert first >= ROWS and final <= 51 * 4
+    final, values, first = shuffled_rows(E.event_counts_and_modes(rows))
+    # combinations of values are spread over all tasks, as are values after that
+    assert first >= ROWS and values >= ROWS and final <= 51 * TASKS * 4
     summary = {r.evento_id: r for r in E.event_summary(rows).collect()}
     hot = summary["evento-sem-chave"]
     assert hot.n_artigos == rows.where("articleId = 0 and evento_id = 'evento-sem-chave'").count()

@@ -59,6 +59,40 @@ def test_failures_are_asked_again_and_done_ones_are_not(spark, tmp_path):
     assert got == {"a": ("neutro", ""), "b": before}
 
 
+def test_ids_go_on_over_batches(spark, tmp_path):
+    rows = [(1, 1, "x", "nova obra", "a"), (2, 2, "x", "nova obra", "bb"), (3, 3, "y", "nova obra", "c")]
+    df = spark.createDataFrame(rows, RAW)
+    for i in (1, 2, 2, 3):
+        df.where(F.col("jsonIndex") == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        got = run(spark, tmp_path / "in", tmp_path / "store")
+    assert sorted((r.recordKey, r.articleId) for r in got.collect()) == [("x", 1), ("x__dup2", 2), ("y", 3)]
+    batch = label_rows(normalize_articles(df), classify(normalize_articles(df), answer), "m")
+    assert as_set(got) == as_set(upsert_labels(batch.limit(0), batch, batch))
+
+
+def test_a_failed_call_is_repeated_without_arriving_again(spark, tmp_path):
+    first = spark.createDataFrame([(1, 1, "a", "nova obra", "fails")], RAW)
+    first.coalesce(1).write.parquet(str(tmp_path / "in"))
+    assert run(spark, tmp_path / "in", tmp_path / "s").first().label == "n/a"
+    spark.createDataFrame([(2, 2, "b", "nova obra", "x")], RAW).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    later = run(spark, tmp_path / "in", tmp_path / "s", lambda p: '{"label":"neutro","evento_chave":"k"}')
+    assert sorted((r.recordKey, r.label) for r in later.collect()) == [("a", "neutro"), ("b", "neutro")]
+
+
+def test_compacting_changes_no_label(spark, tmp_path):
+    store = str(tmp_path / "s")
+    I.create_store(spark, store)
+    df = arrivals(spark, 8).withColumn("rawText", F.when(F.col("jsonIndex") == 3, "fails").otherwise(F.col("rawText")))
+    for batch in (0, 1):
+        part = normalize_articles(df.where(F.col("jsonIndex") % 2 == batch))
+        I.classify_batch(part, batch, store, answer, "m", attempts=1)
+    before = as_set(I.stored_labels(spark, store))
+    I.compact_store(spark, store)
+    assert as_set(I.stored_labels(spark, store)) == before and I.stored_rows(spark, store).count() == 8
+    I.classify_batch(normalize_articles(df), 2, store, lambda p: '{"label":"neutro","evento_chave":"k"}', "n")
+    assert [(r.recordKey, r.label) for r in I.stored_labels(spark, store).where("model = 'n'").collect()] == [("d3", "neutro")]
+
+
 def test_a_repeated_batch_changes_nothing(spark, tmp_path):
     store = str(tmp_path / "s")
     I.create_store(spark, store)

@@ -86,7 +86,7 @@ def test_compose_keeps_separators_around_empty_parts(evaluate):
 
 def test_prompt_truncates_by_characters_and_fills_every_slot(evaluate):
     long = "é" * 9_999 + "ãx"
-    render = lambda t: X.render_prompt("[{noticia}|{noticia}]", t)
+    render = lambda t: X.render_prompt("[{noticia}|{noticia}]", t, 10_000)
     cut = long[:10_000]
     assert evaluate(render, [long, "a{noticia}b"]) == [
         f"[{cut}|{cut}]", "[a{noticia}b|a{noticia}b]",
