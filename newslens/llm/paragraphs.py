@@ -28,10 +28,10 @@ earliest. Empty tables give no rows. Other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,87 +48,130 @@ BLOCK = 2000
 _OWN = ["doc_id", "digest"]
 
 
-def _lines(data: bytes) -> Iterator[tuple[int, list[bytes]]]:
-    """(place of the first word, words) of each line with words."""
-    at = 0
-    for line in data.lower().split(b"\n"):
-        if words := line.split():
-            yield at, words
-            at += len(words)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _content(words: list[bytes]) -> int:
-    return xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63)
+@dataclass
+class Cut:
+    """Items of some documents as flat arrays; ``ends`` say where each document's items end."""
 
+    ends: np.ndarray
+    document: np.ndarray  # per item
+    at: np.ndarray  # place of the first word in the document
+    n: np.ndarray
+    content: np.ndarray
 
-def shingle_set(words: list[bytes]) -> np.ndarray:
-    return np.unique(gram_hashes(word_hashes(words), SHINGLE))
 
-
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """One key per band, from ``ROWS`` least permuted hashes each."""
-    keys = np.empty(BANDS, np.uint64)
+def _contents(words: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Hash of the words of each stretch; a word counts with its place in it."""
+    with np.errstate(over="ignore"):
+        place = np.arange(len(words), dtype=np.uint64) - np.repeat(begins, np.diff(begins, append=len(words))).astype(np.uint64)
+        sums = np.add.reduceat(mixed(words + (place + np.uint64(1)) * _STEP), begins) if len(begins) else np.empty(0, np.uint64)
+        return mixed(sums + lengths.astype(np.uint64)).view(np.int64)
+
+
+class Texts:
+    """Words of some documents, hashed in one go, and what is cut from them."""
+
+    def __init__(self, texts: list[bytes | None]):
+        words: list[bytes] = []
+        lengths, lines = [], []
+        for data in texts:
+            before = len(lengths)
+            for line in (data or b"").lower().split(b"\n"):
+                if found := line.split():
+                    words += found
+                    lengths.append(len(found))
+            lines.append(len(lengths) - before)
+        self.words = word_hashes(words)
+        self.line_length = np.array(lengths, np.int64)
+        self.line_begin = np.cumsum(self.line_length) - self.line_length
+        self.line_document = np.repeat(np.arange(len(texts)), lines)
+        # where each document's words begin, and end
+        size = np.bincount(self.line_document, self.line_length, len(texts)).astype(np.int64)
+        self.end = np.cumsum(size)
+        self.begin = self.end - size
+
+    def _cut(self, document, begin, length, content) -> Cut:
+        ends = np.cumsum(np.bincount(document, minlength=len(self.end)))
+        return Cut(ends, document, begin - self.begin[document], length, content)
+
+    def paragraphs(self) -> tuple[Cut, np.ndarray, np.ndarray]:
+        """Lines of ``SHINGLE`` words or more; their shingles, and where each line's shingles begin."""
+        content = _contents(self.words, self.line_begin, self.line_length)
+        long = self.line_length >= SHINGLE
+        begin, length = self.line_begin[long], self.line_length[long]
+        count = length - SHINGLE + 1
+        first = np.cumsum(count) - count
+        places = np.arange(count.sum()) + np.repeat(begin - first, count)
+        shingles = gram_hashes(self.words, SHINGLE)[places] if len(places) else np.empty(0, np.uint64)
+        return self._cut(self.line_document[long], begin, length, content[long]), shingles, first
+
+    def sections(self, reach: int = REACH) -> Cut:
+        """Stretches from one least word pair to the next of the same document.
+
+        A cut lies before a pair whose hash is below the ``reach`` following ones and not
+        above as many before it, all in its document.
+        """
+        pairs = gram_hashes(self.words, 2)
+        n = max(0, len(pairs) - 2 * reach)
+        mid = pairs[reach : reach + n]
+        least = np.ones(n, bool)
+        for j in range(1, reach + 1):
+            least &= (mid <= pairs[reach - j : reach - j + n]) & (mid < pairs[reach + j : reach + j + n])
+        at = np.flatnonzero(least) + reach
+        document = np.searchsorted(self.end, at, side="right")
+        inside = (at - reach >= self.begin[document]) & (at + reach + 2 <= self.end[document])
+        at, document = at[inside], document[inside]
+        length = np.diff(at, append=len(self.words))
+        whole = np.diff(document, append=-1) == 0
+        content = _contents(self.words[at[0] :], at - at[0], length) if len(at) else np.empty(0, np.int64)
+        return self._cut(document[whole], at[whole], length[whole], content[whole])
+
+
+def band_keys(shingles: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """One row of ``BANDS`` keys per paragraph, each from ``ROWS`` least permuted hashes."""
+    keys = np.zeros((len(first), BANDS), np.uint64)
+    if not len(first):
+        return keys
     with np.errstate(over="ignore"):
         for band in range(BANDS):
-            key = np.uint64(band)
+            key = np.full(len(first), band, np.uint64)
             for row in range(ROWS):
-                key = mixed(key * np.uint64(31) + mixed(shingles ^ mixed(np.uint64(band * ROWS + row + 1))).min())
-            keys[band] = key
+                seed = mixed(np.array([band * ROWS + row + 1], np.uint64))
+                key = mixed(key * np.uint64(31) + np.minimum.reduceat(mixed(shingles ^ seed), first))
+            keys[:, band] = key
     return keys
 
 
-def section_cuts(hashes: np.ndarray, reach: int = REACH) -> np.ndarray:
-    """Places before which a text is cut: its pair hash is below the ``reach`` following and not above the previous ones."""
-    pairs = gram_hashes(hashes, 2)
-    n = len(pairs) - 2 * reach
-    if n <= 0:
-        return np.empty(0, np.int64)
-    mid = pairs[reach : reach + n]
-    least = np.ones(n, bool)
-    for j in range(1, reach + 1):
-        least &= (mid <= pairs[reach - j : reach - j + n]) & (mid < pairs[reach + j : reach + j + n])
-    return np.flatnonzero(least) + reach
-
-
 def items(docs: DataFrame) -> DataFrame:
     """(doc_id, digest, paragraphs, sections): places, lengths, contents, and paragraphs' band keys, per document."""
     shape = "array<struct<at:int,n:int,content:bigint,keys:array<bigint>>>"
+    item = [("at", pa.int32()), ("n", pa.int32()), ("content", pa.int64())]
+    kind = pa.struct([("paragraphs", pa.list_(pa.struct([*item, ("keys", pa.list_(pa.int64()))]))), ("sections", pa.list_(pa.struct(item)))])
 
     @F.arrow_udf(f"struct<paragraphs:{shape},sections:array<struct<at:int,n:int,content:bigint>>>")
     def cut(texts: pa.Array) -> pa.Array:
-        p_off, p_at, p_n, p_content, p_keys = [0], [], [], [], []
-        s_off, s_at, s_n, s_content = [0], [], [], []
-        for start in range(0, len(texts), 512):
-            for data in as_bytes(texts.slice(start, 512)):
-                everything = []
-                for at, words in _lines(data or b""):
-                    everything += words
-                    if len(words) >= SHINGLE:
-                        p_at.append(at)
-                        p_n.append(len(words))
-                        p_content.append(_content(words))
-                        p_keys.append(band_keys(gram_hashes(word_hashes(words), SHINGLE)))
-                cuts = section_cuts(word_hashes(everything)).tolist()
-                for a, b in zip(cuts, cuts[1:]):
-                    s_at.append(a)
-                    s_n.append(b - a)
-                    s_content.append(_content(everything[a:b]))
-                p_off.append(len(p_at))
-                s_off.append(len(s_at))
-        keys = np.concatenate(p_keys).view(np.int64) if p_keys else np.empty(0, np.int64)
-        key_off = np.arange(len(p_at) + 1, dtype=np.int32) * BANDS
-        ints, longs = pa.int32(), pa.int64()
-        paragraphs = pa.StructArray.from_arrays(
-            [pa.array(p_at, ints), pa.array(p_n, ints), pa.array(p_content, longs), pa.ListArray.from_arrays(pa.array(key_off), pa.array(keys))],
-            ["at", "n", "content", "keys"],
-        )
-        sections = pa.StructArray.from_arrays([pa.array(s_at, ints), pa.array(s_n, ints), pa.array(s_content, longs)], ["at", "n", "content"])
-        return pa.StructArray.from_arrays(
-            [pa.ListArray.from_arrays(pa.array(p_off, ints), paragraphs), pa.ListArray.from_arrays(pa.array(s_off, ints), sections)],
-            ["paragraphs", "sections"],
-        )
-
-    return docs.select("doc_id", F.xxhash64("text").alias("digest"), cut("text").alias("i")).select(*_OWN, "i.*").dropDuplicates(_OWN)
+        parts = []
+        for start in range(0, len(texts), 256):
+            some = Texts(as_bytes(texts.slice(start, 256)))
+            paragraphs, shingles, first = some.paragraphs()
+            keys = band_keys(shingles, first).view(np.int64).ravel()
+            ends = np.arange(len(first) + 1, dtype=np.int32) * BANDS
+            parts.append(pa.StructArray.from_arrays(
+                [_listed(paragraphs, [pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))]), _listed(some.sections())],
+                ["paragraphs", "sections"],
+            ))
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+    return docs.select("doc_id", F.xxhash64("text").alias("digest"), cut("text").alias("i")).select(*_OWN, "i.*")
+
+
+def _listed(cut: Cut, more: list[pa.Array] = ()) -> pa.Array:
+    """One list of item structs per document."""
+    columns = [pa.array(cut.at, pa.int32()), pa.array(cut.n, pa.int32()), pa.array(cut.content, pa.int64()), *more]
+    rows = pa.StructArray.from_arrays(columns, ["at", "n", "content", "keys"][: len(columns)])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], cut.ends]), pa.int32()), rows)
 
 
 def _shingles_of(docs: DataFrame, contents: DataFrame) -> DataFrame:
@@ -136,16 +179,14 @@ def _shingles_of(docs: DataFrame, contents: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(bloom_filter(contents.select("content")))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            found = {}
-            for data in as_bytes(batch.column(0)):
-                lines = [w for _, w in _lines(data or b"") if len(w) >= SHINGLE]
-                names = np.array([_content(w) for w in lines], np.int64)
-                for i in np.flatnonzero(passes(shared.value, names)).tolist() if lines else ():
-                    if names[i] not in found:
-                        found[names[i]] = shingle_set(lines[i]).tobytes()
+        for batch in slices(batches, 256):
+            paragraphs, shingles, first = Texts(as_bytes(batch.column(0))).paragraphs()
+            _, once = np.unique(paragraphs.content, return_index=True)
+            wanted = once[passes(shared.value, paragraphs.content[once])]
+            last = np.append(first, len(shingles))
+            sets = [np.unique(shingles[last[i] : last[i + 1]]).tobytes() for i in wanted.tolist()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], names=["content", "shingles"]
+                [pa.array(paragraphs.content[wanted], pa.int64()), pa.array(sets, pa.binary())], names=["content", "shingles"]
             )
 
     rows = docs.select("text").mapInArrow(look, "content long, shingles binary")
@@ -231,8 +272,10 @@ def repeated_paragraphs(docs: DataFrame, min_run: int = MIN_RUN, block: int = BL
         *_OWN, "i.at", "i.n", F.lit(1).alias("kind"), F.col("i.content").alias("class")
     )
     rows = p.union(s)
-    counted = rows.groupBy("kind", "class").agg(F.count("*").alias("times")).where("times > 1").drop("times")
-    again = stored(rows.join(counted, ["kind", "class"], "left_semi"), "repeated-items")
+    # Two places, not two rows: a repeated row of the input is the same place.
+    where = F.xxhash64(*_OWN, "at")
+    counted = rows.groupBy("kind", "class").agg(F.min(where).alias("a"), F.max(where).alias("b")).where("a <> b").drop("a", "b")
+    again = stored(rows.join(counted, ["kind", "class"], "left_semi").distinct(), "repeated-items")
     place = F.struct(*_OWN, "at")
     firsts = again.groupBy("kind", "class").agg(F.min(place).alias("first"))
     marked = again.join(firsts, ["kind", "class"]).withColumn("later", ~place.eqNullSafe(F.col("first")))
