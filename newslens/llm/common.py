@@ -88,16 +88,43 @@ def window_minima(values: np.ndarray, width: int) -> np.ndarray:
     """
     if not len(values):
         return np.empty(0, np.int64)
-    width = min(width, len(values))
+    return np.unique(_rightmost_minima(values, min(width, len(values))))
+
+
+def _rightmost_minima(values: np.ndarray, width: int) -> np.ndarray:
+    """Position of the rightmost minimum of each window, by window."""
     n = len(values) - width + 1
-    best = np.arange(n)
+    best = np.zeros(n, np.int64)
     low = values[:n].copy()
     for j in range(1, width):
         here = values[j : j + n]
         take = here <= low
-        low = np.where(take, here, low)
-        best = np.where(take, np.arange(j, j + n), best)
-    return np.unique(best)
+        np.copyto(low, here, where=take)
+        best[take] = j
+    return best + np.arange(n)
+
+
+def hashed_texts(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the lower-case words of several texts in one array, and where each text begins and ends in it."""
+    words: list[bytes] = []
+    ends = []
+    for data in texts:
+        words += (data or b"").lower().split()
+        ends.append(len(words))
+    end = np.array(ends, np.int64)
+    return word_hashes(words), np.concatenate([[0], end[:-1]]).astype(np.int64), end
+
+
+def minima_within(values: np.ndarray, width: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """``window_minima`` over the stretches [begin, end) of ``values`` one by one; stretches below ``width`` have none."""
+    if len(values) < width:
+        return np.empty(0, np.int64)
+    best = _rightmost_minima(values, width)
+    inside = np.zeros(len(best) + 1, np.int64)
+    full = end - begin >= width
+    np.add.at(inside, begin[full], 1)
+    np.add.at(inside, end[full] - width + 1, -1)
+    return np.unique(best[np.cumsum(inside)[:-1] > 0])
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -11,12 +11,12 @@ consecutive ones. Equal passages choose equal places, so a passage of at least
 2. Kept places of a passage lie at most ``WIDTH`` words apart, less than ``HEAD``, so their
    matches touch and merge into runs. Only a run's first and last suffix have
    anything to gain from extension.
-3. Suffixes with the head of some run's end are sorted by what follows the head, and again
-   by what precedes it, backwards. The sorts are range partitionings with ties by
+3. Suffixes with the head of some run's last suffix are sorted by what follows the head, those
+   with the head of a first one by what precedes it, backwards. The sorts are range partitionings with ties by
    document and place, so a passage that very many documents hold is spread over
    tasks; each range also gets the nearest row of each adjoining range.
 4. Each suffix is compared with its two neighbours, which share the longest
-   beginning with it, and the match is extended right and left as far as the words agree.
+   stretch with it, and the match is extended to the right, or the left, as far as the words agree.
 5. Runs and extended matches merge; a span of ``MIN_WORDS`` words or more is reported.
 
 Texts are read twice, the second time for the words around run ends.
@@ -32,10 +32,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newslens.llm.common import as_bytes, gram_hashes, stored, table, window_minima, word_hashes
+from newslens.llm.common import as_bytes, gram_hashes, hashed_texts, minima_within, stored, table
 
 MIN_WORDS = 50
 WIDTH = 24
@@ -49,31 +50,35 @@ def _digest() -> Column:
 def kept_suffixes(docs: DataFrame, width: int, head: int) -> DataFrame:
     """(doc_id, digest, suffixes): per document the kept places and the hashes of their heads."""
 
+    kind = pa.list_(pa.struct([("at", pa.int32()), ("head", pa.int64())]))
+
     @F.arrow_udf("array<struct<at:int,head:bigint>>")
     def cut(texts: pa.Array) -> pa.Array:
-        offsets, places, heads = [0], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for start in range(0, len(texts), 512):
-            for data in as_bytes(texts.slice(start, 512)):
-                words = (data or b"").lower().split()
-                at = np.empty(0, np.int64)
-                if len(words) >= head:
-                    one = word_hashes(words)
-                    at = window_minima(gram_hashes(one, 2), width)
-                    at = at[at <= len(words) - head]
-                    places.append(at)
-                    heads.append(gram_hashes(one, head)[at].view(np.int64))
-                offsets.append(offsets[-1] + len(at))
-        rows = pa.StructArray.from_arrays([pa.array(np.concatenate(places), pa.int32()), pa.array(np.concatenate(heads))], ["at", "head"])
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)
-
-    return docs.select("doc_id", _digest(), cut("text").alias("suffixes")).where(F.size("suffixes") > 0).dropDuplicates(_OWN)
+        parts = []
+        for start in range(0, len(texts), 256):
+            words, begin, end = hashed_texts(as_bytes(texts.slice(start, 256)))
+            # a text's last word begins no pair of its own
+            at = minima_within(gram_hashes(words, 2), width, begin, np.maximum(end - 1, begin))
+            document = np.searchsorted(end, at, side="right")
+            whole = at + head <= end[document]
+            at, document = at[whole], document[whole]
+            rows = pa.StructArray.from_arrays(
+                [pa.array(at - begin[document], pa.int32()), pa.array(gram_hashes(words, head)[at].view(np.int64))], ["at", "head"]
+            )
+            ends = np.cumsum(np.bincount(document, minlength=len(end)))
+            parts.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), rows))
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+    return docs.select("doc_id", _digest(), cut("text").alias("suffixes")).where(F.size("suffixes") > 0)
 
 
 def repeated_suffixes(kept: DataFrame) -> DataFrame:
-    """(doc_id, digest, at, head) of the suffixes whose head occurs again."""
-    heads = kept.select(F.explode("suffixes.head").alias("head")).groupBy("head").agg(F.count("*").alias("times"))
+    """(doc_id, digest, at, head) of the suffixes whose head occurs at another place."""
     rows = kept.select(*_OWN, F.explode("suffixes").alias("s")).select(*_OWN, "s.*")
-    return rows.join(heads.where("times > 1").select("head"), "head", "left_semi").select(*_OWN, "at", "head")
+    # Two places, not two rows: a repeated row of the input is the same place.
+    place = F.xxhash64(*_OWN, "at")
+    heads = rows.groupBy("head").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("head")
+    return rows.join(heads, "head", "left_semi").select(*_OWN, "at", "head")
 
 
 def runs(repeated: DataFrame, head: int) -> DataFrame:
@@ -86,34 +91,47 @@ def runs(repeated: DataFrame, head: int) -> DataFrame:
 
 
 def with_surroundings(docs: DataFrame, places: DataFrame, width: int, head: int) -> DataFrame:
-    """(doc_id, digest, at, head, room, before, after): ``room`` words follow the head; ``before`` is nearest first."""
+    """(doc_id, digest, at, head, room, before, after) of ``places`` (doc_id, digest, at, first, last).
+
+    ``room`` words follow the head. ``before`` (nearest word first) is there for ``first`` places, ``after`` for ``last`` ones.
+    """
+    names = ["at", "head", "room", "before", "after"]
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+
+    def of_some(texts: list[bytes | None], wanted: pa.Array) -> pa.Array:
+        words, begin, end = hashed_texts(texts)
+        document = np.repeat(np.arange(len(end)), pc.list_value_length(wanted).to_numpy(zero_copy_only=False))
+        rows = wanted.flatten()
+        at, first, last = (rows.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+        place = at + begin[document]
+        # Places outside a text never agree with any word: they are cut off by ``room`` and ``at``.
+        small = np.concatenate([np.zeros(width, ">u4"), (words >> np.uint64(32)).astype(">u4"), np.zeros(width, ">u4")])
+        around = np.lib.stride_tricks.sliding_window_view(small, width)
+
+        def side(places: np.ndarray, chosen: np.ndarray, backwards: bool) -> pa.Array:
+            shown = iter([r.tobytes() for r in (around[places[chosen]][:, ::-1] if backwards else around[places[chosen]])])
+            return pa.array([next(shown) if c else None for c in chosen.tolist()], pa.binary())
+
+        columns = [
+            pa.array(at, pa.int32()),
+            pa.array(gram_hashes(words, head)[place].view(np.int64), pa.int64()),
+            pa.array(end[document] - place - head, pa.int32()),
+            side(place, first, True),
+            side(place + width + head, last, False),
+        ]
+        ends = np.cumsum(np.bincount(document, minlength=len(end)))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.StructArray.from_arrays(columns, names))
 
     @F.arrow_udf("array<struct<at:int,head:bigint,room:int,before:binary,after:binary>>")
     def look(texts: pa.Array, wanted: pa.Array) -> pa.Array:
-        offsets, at_, head_, room_, before_, after_ = [0], [], [], [], [], []
-        for data, at in zip(as_bytes(texts), wanted.to_pylist()):
-            words = (data or b"").lower().split()
-            at = np.array(at, np.int64)
-            one = word_hashes(words)
-            small = np.concatenate([np.zeros(width, ">u4"), (one >> np.uint64(32)).astype(">u4"), np.zeros(width, ">u4")])
-            around = np.lib.stride_tricks.sliding_window_view(small, width)
-            at_.extend(at.tolist())
-            head_.extend(gram_hashes(one, head)[at].view(np.int64).tolist())
-            room_.extend((len(words) - head - at).tolist())
-            before_.extend(row[::-1].tobytes() for row in around[at])
-            after_.extend(row.tobytes() for row in around[at + width + head])
-            offsets.append(len(at_))
-        rows = pa.StructArray.from_arrays(
-            [pa.array(at_, pa.int32()), pa.array(head_, pa.int64()), pa.array(room_, pa.int32()), pa.array(before_, pa.binary()), pa.array(after_, pa.binary())],
-            ["at", "head", "room", "before", "after"],
-        )
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)
-
-    by_document = places.groupBy(*_OWN).agg(F.sort_array(F.collect_list("at")).alias("wanted"))
+        parts = [of_some(as_bytes(texts.slice(i, 256)), wanted.slice(i, 256)) for i in range(0, len(texts), 256)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.struct(list(zip(names, kinds)))))
+
+    by_document = places.groupBy(*_OWN).agg(F.sort_array(F.collect_set(F.struct("at", "first", "last"))).alias("wanted"))
     by_document = by_document.withColumnsRenamed({"doc_id": "w_id", "digest": "w_digest"})
     texts = docs.select("doc_id", _digest(), "text")
     met = texts.join(by_document, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("digest") == F.col("w_digest")))
-    return met.select(*_OWN, F.explode(look("text", "wanted")).alias("s")).select(*_OWN, "s.*").distinct()
+    return met.select(*_OWN, F.explode(look("text", "wanted")).alias("s")).select(*_OWN, "s.*")
 
 
 def _agreeing(width: int):
@@ -127,10 +145,14 @@ def _agreeing(width: int):
 
 
 def neighbour_matches(suffixes: DataFrame, by: str, width: int, head: int) -> DataFrame:
-    """(doc_id, digest, begin, end, other_id): each suffix against its neighbours in the order of (head, ``by``)."""
+    """(doc_id, digest, begin, end, other_id): each suffix against its neighbours in the order of (head, ``by``).
+
+    ``by`` is the side on which the match is extended, ``before`` or ``after``.
+    """
     order = ["head", by, "doc_id", "digest", "at"]
-    row = F.struct(*order, "room", "after" if by == "before" else "before")
-    ranged = stored(suffixes.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), f"suffixes-by-{by}")
+    rows = suffixes.where(F.col(by).isNotNull()).select(*order, "room").distinct()
+    ranged = stored(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), f"suffixes-by-{by}")
+    row = F.struct(*order, "room")
     ends = ranged.groupBy("part").agg(F.min(row).alias("low"), F.max(row).alias("high"))
     # One row per range, however many suffixes there are.
     by_part = Window.partitionBy().orderBy("part")
@@ -138,15 +160,14 @@ def neighbour_matches(suffixes: DataFrame, by: str, width: int, head: int) -> Da
     guests = sides.select("part", F.explode("sides").alias("r")).where("r IS NOT NULL").select("r.*", "part", F.lit(True).alias("guest"))
     both = ranged.withColumn("guest", F.lit(False)).unionByName(guests)
     near = Window.partitionBy("part").orderBy(*order)
-    other = F.struct("head", "doc_id", "before", "after")
+    other = F.struct("head", "doc_id", by)
     pairs = both.select("*", F.array(F.lag(other).over(near), F.lead(other).over(near)).alias("others"))
     pairs = pairs.where("NOT guest").withColumn("o", F.explode("others")).where(F.col("head") == F.col("o.head"))
-    agreeing = _agreeing(width)
+    shared = _agreeing(width)(by, F.col(f"o.{by}"))
+    left = F.least(shared, "at") if by == "before" else F.lit(0)
+    right = F.least(shared, "room") if by == "after" else F.lit(0)
     return pairs.select(
-        *_OWN,
-        (F.col("at") - F.least(agreeing("before", F.col("o.before")), "at")).alias("begin"),
-        (F.col("at") + head + F.least(agreeing("after", F.col("o.after")), "room")).alias("end"),
-        F.col("o.doc_id").alias("other_id"),
+        *_OWN, (F.col("at") - left).alias("begin"), (F.col("at") + head + right).alias("end"), F.col("o.doc_id").alias("other_id")
     )
 
 
@@ -163,12 +184,14 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, width: int = WID
     kept = stored(kept_suffixes(docs, width, head), "suffixes")
     placed = stored(runs(repeated_suffixes(kept), head), "runs")
     run = placed.groupBy(*_OWN, "run").agg(F.min("at").alias("first"), F.max("at").alias("last"))
-    # Both ends of a run, as (document, place); then every suffix with one of their heads.
-    ends = run.select(*_OWN, F.explode(F.array_distinct(F.array("first", "last"))).alias("at"))
-    ends = ends.withColumnsRenamed({"doc_id": "e_id", "digest": "e_digest", "at": "e_at"})
-    same = F.col("doc_id").eqNullSafe(F.col("e_id")) & (F.col("digest") == F.col("e_digest")) & (F.col("at") == F.col("e_at"))
-    heads = placed.join(ends, same, "left_semi").select("head").distinct()
-    edge = placed.join(heads, "head", "left_semi").select(*_OWN, "at")
+    # A run's first suffix may reach further left, its last one further right; each needs all suffixes of its head.
+    own = {"doc_id": "r_id", "digest": "r_digest", "run": "r_run"}
+    same = F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest")) & (F.col("run") == F.col("r_run"))
+    in_run = placed.join(run.withColumnsRenamed(own), same).select(
+        "head", (F.col("at") == F.col("first")).alias("first"), (F.col("at") == F.col("last")).alias("last")
+    )
+    heads = in_run.where("first OR last").groupBy("head").agg(F.max("first").alias("first"), F.max("last").alias("last"))
+    edge = placed.join(heads, "head").select(*_OWN, "at", "first", "last")
     around = stored(with_surroundings(docs, edge, width, head), "run-ends")
     none = F.lit(None).cast(docs.schema["doc_id"].dataType)
     found = run.select(*_OWN, F.col("first").alias("begin"), (F.col("last") + head).alias("end"), none.alias("other_id"))
