@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from newslens.llm.common import as_bytes, stored, table
+from newslens.llm.common import as_bytes, stored, table, text_digest
 from newslens.llm.components import connected_components
 
 SHINGLE = 3
@@ -105,10 +105,10 @@ def thirds(mask: int) -> list[int]:
 
 def _dealt(rows: DataFrame, masks: dict[int, list[int]]) -> DataFrame:
     """``rows`` (fp, mask) once per mask that follows theirs, with the shared pattern."""
-    nexts = F.lit(None).cast("array<bigint>")
-    for mask, following in masks.items():
-        nexts = F.when(F.col("mask") == _signed(mask), F.array(*(F.lit(_signed(m)).cast("long") for m in following))).otherwise(nexts)
-    return rows.select("fp", F.explode(nexts).alias("mask")).withColumn("pattern", F.col("fp").bitwiseAND(F.col("mask")))
+    pairs = [(_signed(mask), _signed(after)) for mask, following in masks.items() for after in following]
+    # At most 3 ** 5 rows, whatever the data.
+    steps = rows.sparkSession.createDataFrame(pairs, "mask long, after long")
+    return rows.join(F.broadcast(steps), "mask").select("fp", F.col("after").alias("mask"), F.col("fp").bitwiseAND(F.col("after")).alias("pattern"))
 
 
 def _levels(codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -232,17 +232,24 @@ def fingerprint_links(codes: DataFrame, max_bits: int = MAX_BITS, leaf_rows: int
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, leaf_rows: int = LEAF_ROWS) -> DataFrame:
-    """(doc_id, fp, component_id) per row of ``docs``."""
-    printed = stored(docs.select("doc_id", fingerprint("text").alias("fp")), "fingerprints")
-    least = stored(printed.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    """(doc_id, digest, fp, component_id, representative) per row of ``docs``.
+
+    A class's representative has its least id and, of the rows with that id, the least text digest.
+    """
+    printed = stored(
+        docs.select("doc_id", text_digest(F.col("text")).alias("digest"), fingerprint("text").alias("fp")), "fingerprints"
+    )
+    member = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest")
+    least = stored(printed.groupBy("fp").agg(F.min(member).alias("least")), "distinct-fingerprints")
     classes = connected_components(fingerprint_links(least, max_bits, leaf_rows))
     members = stored(least.join(classes, least.fp == classes.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "members")
-    # Codes without links are their own class and need no second grouping.
-    named = members.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_code = members.select("fp", "root").join(named, "root").select("fp", "component_id")
-    return printed.join(by_code, "fp").select("doc_id", "fp", "component_id")
+    named = members.groupBy("root").agg(F.min("least").alias("first"))
+    by_code = members.select("fp", "root").join(named, "root").select("fp", "first")
+    return printed.join(by_code, "fp").select(
+        "doc_id", "digest", "fp", F.col("first.doc_id").alias("component_id"), (member == F.col("first")).alias("representative")
+    )
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates(table(spark, sf_dir, "documents"))
+    found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -7,13 +7,23 @@ of the input are those of the result, but for ``mixing``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newslens.llm import decontaminate, linededup, mixing as mixer, quality, simhash as near
 from newslens.llm.common import free_name, table, text_digest
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """Whole rows in one column, out of the way of other names."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+
+def _same(doc_id: str, digest: str) -> Column:
+    """A row of ``_rows`` is the document with this id and text digest."""
+    return F.col("row.doc_id").eqNullSafe(F.col(doc_id)) & (text_digest(F.col("row.text")) == F.col(digest))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep. Raw counts are of ``docs``, trusted ones of its labelled documents."""
     verdict = free_name(docs, "quality_verdict")
@@ -29,41 +39,31 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each class; of rows with that id, the one with the least text digest.
+    """One document of each class: the one with the least id, and of rows with that id the least text digest.
 
-    Rows without an id are classes of their own here: there is no telling which to keep.
+    Rows equal in id and text are one document and leave one row, whichever.
     """
-    ids = near.near_duplicates(docs.select("doc_id", "text"))
-    kept = ids.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    found = rows.join(kept, F.col("row.doc_id") == F.col("kept_id"), "left")
-    found = found.where("kept_id IS NOT NULL OR row.doc_id IS NULL")
-    repeats = (
-        docs.where("doc_id IS NOT NULL")
-        .groupBy("doc_id")
-        .agg(F.count("*").alias("times"), F.min(text_digest(F.col("text"))).alias("least"))
-        .where("times > 1")
-    )
-    once = found.join(repeats.select(F.col("doc_id").alias("r"), "least"), F.col("kept_id") == F.col("r"), "left")
-    once = once.where("least IS NULL").unionByName(
-        once.where((F.col("least") == text_digest(F.col("row.text")))).dropDuplicates(["kept_id"])
-    )
-    return once.select("row.*")
+    kept = near.near_duplicates(docs.select("doc_id", "text")).where("representative").select(
+        F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest")
+    ).distinct()
+    found = _rows(docs).join(kept, _same("kept_id", "kept_digest"))
+    return found.dropDuplicates(["kept_id", "kept_digest"]).select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark window."""
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
     hit = found.where("n_hit > 0").select(F.col("doc_id").alias("hit_id"), F.col("digest").alias("hit_digest")).distinct()
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    same = F.col("row.doc_id").eqNullSafe(F.col("hit_id")) & (text_digest(F.col("row.text")) == F.col("hit_digest"))
-    return rows.join(hit, same, "left_anti").select("row.*")
+    return _rows(docs).join(hit, _same("hit_id", "hit_digest"), "left_anti").select("row.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with ``size``, ``source_size``, ``target`` and ``taken``."""
+    """The documents that the mix takes, with ``size``, ``source_size``, ``target`` and ``taken``.
+
+    Where ``docs`` has a column of such a name, the added one's name is lengthened.
+    """
+    added = ["size", "source_size", "target", "taken"]
     plan = mixer.mix(docs, table(spark, sf_dir, "labels")).where("taken > 0").dropDuplicates(["doc_id", "digest"])
-    plan = plan.select(F.struct("size", "source_size", "target", "taken").alias("mix"), F.col("doc_id").alias("m_id"), F.col("digest").alias("m_digest"))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    same = F.col("row.doc_id").eqNullSafe(F.col("m_id")) & (text_digest(F.col("row.text")) == F.col("m_digest"))
-    return rows.join(plan, same).select("row.*", "mix.*")
+    plan = plan.select(F.struct(*added).alias("mix"), F.col("doc_id").alias("m_id"), F.col("digest").alias("m_digest"))
+    found = _rows(docs).join(plan, _same("m_id", "m_digest"))
+    return found.select("row.*", *(F.col(f"mix.{c}").alias(free_name(docs, c)) for c in added))
