@@ -1,0 +1,137 @@
+"""The pipeline's stages on hard rows, and the whole of it against brute force."""
+
+import math
+from collections import defaultdict
+from hashlib import md5
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry_point
+import corpus_pipeline
+from newslens.llm import quality as Q
+from newslens.llm import stages
+from newslens.llm.common import table
+from tests.llm import hard
+from tests.llm.test_rules_and_lines import brute_base, brute_hits, poured
+from tests.llm.test_simhash import brute_components, brute_fingerprint
+
+STAGES = dict(corpus_pipeline.STAGES)
+
+
+@pytest.mark.parametrize("name", list(STAGES))
+def test_hard_rows(spark, tmp_path, name):
+    sf = hard.folder(spark, tmp_path)
+    docs = hard.documents(spark)
+    got = STAGES[name](spark, docs, sf)
+    if name == "mixing":
+        assert got.columns == [*docs.columns, "size_", "source_size", "target_", "taken_"]
+    else:
+        assert got.columns == docs.columns
+    path = f"{tmp_path}/out"
+    got.write.parquet(path)
+    rows = spark.read.parquet(path).collect()
+    assert rows and all(r[c] == "mine" for r in rows for c in hard.CLASHES)
+    assert len(rows) <= len(hard.ROWS)
+    assert STAGES[name](spark, hard.documents(spark, []), sf).count() == 0
+    none = hard.folder(spark, tmp_path / "none", labels=hard.labels(spark, []), benchmark=hard.benchmark(spark, []))
+    assert STAGES[name](spark, docs, none).count() > 0
+
+
+def kept(spark, tmp_path, name):
+    rows = STAGES[name](spark, hard.documents(spark), hard.folder(spark, tmp_path)).collect()
+    return sorted(((str(r.doc_id), r.text) for r in rows), key=repr)
+
+
+def test_decisions_on_hard_rows(spark, tmp_path):
+    ids = [i for i, _ in kept(spark, tmp_path, "simhash")]
+    # 1 copies 0; 2's equal rows leave one; PROSE[2] stays under id 2; 3 stands for all texts without words
+    assert ids.count("0") == 1 and "1" not in ids and ids.count("2") == 2 and "None" not in ids
+    assert ids.count("3") == 1 and not {"4", "5"} & set(ids)
+    clean = [i for i, _ in kept(spark, tmp_path, "decontamination")]
+    assert not {"0", "1", "6", "8"} & set(clean) and clean.count("2") == 3 and "None" in clean
+    lines = kept(spark, tmp_path, "line_dedup")
+    assert {"0", "1"} & {i for i, _ in lines} in ({"0"}, {"1"}) and not {"3", "4", "5"} & {i for i, _ in lines}
+    good = {i for i, _ in kept(spark, tmp_path, "quality_rules")}
+    assert {"0", "7"} <= good and not {"3", "4", "5", "6", "8", "9"} & good
+
+
+def brute_quality(docs, labels):
+    order = [r for r in labels if r[1] == 1]
+    trusted = {r[0] for r in order}
+    grams = {d: Q.grams((t or "").encode().split(), Q.BUCKETS) for d, t, _ in docs}
+    raw, good = np.zeros(Q.BUCKETS), np.zeros(Q.BUCKETS)
+    for d, g in grams.items():
+        np.add.at(raw, g, 1)
+        if d in trusted:
+            np.add.at(good, g, 1)
+    share = (raw + 1) / (raw.sum() + Q.BUCKETS)
+    ratio = np.log((good + share * Q.BUCKETS * 0.1) / (good.sum() + Q.BUCKETS * 0.1)) - np.log(share)
+    ratio = ratio.astype(np.float32)
+    return [(d, t, s) for d, t, s in docs if not brute_base(t)[5] and float(np.mean(ratio[grams[d]], dtype=np.float64)) >= Q.THRESHOLD]
+
+
+def brute_lines_left(docs):
+    seen, out = set(), []
+    for doc_id, text, source in sorted(docs):
+        lines = text.split("\n")
+        at = [i for i, x in enumerate(lines) if x.strip(" \t\n\x0b\x0c\r")]
+        gone = set()
+        for k in range(len(at) - 2):
+            window = tuple(lines[i] for i in at[k : k + 3])
+            gone |= set(at[k : k + 3]) if window in seen else set()
+            seen.add(window)
+        left = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+        if left.strip(" \t\n\x0b\x0c\r"):
+            out.append((doc_id, left, source))
+    return out
+
+
+def brute_mix(docs, labels):
+    quality = defaultdict(lambda: None)
+    for d, q, _ in labels:
+        quality[d] = max(q, quality[d] or 0)
+    size = {d: len([w for w in t.encode().split()]) for d, t, _ in docs}
+    sizes = defaultdict(int)
+    for d, _, s in docs:
+        sizes[s] += size[d]
+    target, out = poured(dict(sizes)), {}
+    for s in sizes:
+        key = lambda d: -math.log((int(md5(f"mix:{d}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52) / {1: 2.0, 0: 0.5, None: 1.0}[quality[d]]
+        epochs = math.floor(target[s] / sizes[s] + 1e-12)
+        rest, up_to = target[s] - epochs * sizes[s], 0
+        for d in sorted((d for d, _, x in docs if x == s), key=key):
+            up_to += size[d]
+            out[d] = size[d] * (epochs + (2 * up_to - size[d] < 2 * rest))
+    return out
+
+
+def test_whole_pipeline_equals_brute_force(spark):
+    docs = sorted((r.doc_id, r.text, r.source) for r in table(spark, hard.SF, "documents").collect())
+    labels = [tuple(r) for r in table(spark, hard.SF, "labels").collect()]
+    items = [(r.item_id, r.text) for r in table(spark, hard.SF, "benchmark").collect()]
+    docs = brute_lines_left(brute_quality(docs, labels))
+    classes = brute_components([brute_fingerprint(t) for _, t, _ in docs], [d for d, _, _ in docs])
+    docs = [d for d, c in zip(docs, classes) if d[0] == c]
+    hit = {r[0] for r in brute_hits([d[:2] for d in docs], items) if r[-1]}
+    docs = [d for d in docs if d[0] not in hit]
+    taken = brute_mix(docs, labels)
+    got = corpus_pipeline.run(spark, hard.SF).collect()
+    assert {r.doc_id: (r.text, r.taken) for r in got} == {d: (t, taken[d]) for d, t, _ in docs if taken[d]}
+    assert len(got) == len({r.doc_id for r in got}) > 50 and hit
+    assert all(r.n_chars == len(r.text) for r in got)
+
+
+def test_clean_labelled_documents_pass_the_rules(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = table(spark, sf, "documents")
+    good = table(spark, sf, "labels").where("quality = 1").join(docs, "doc_id").where("n_chars > 400")
+    left = stages.quality_rules(spark, docs, sf).select("doc_id")
+    assert good.join(left, "doc_id", "left_anti").count() <= 0.03 * good.count()
+
+
+def test_entry_point_names_every_query():
+    names = entry_point.queries()
+    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert set(entry_point.oracle_sql()) <= set(names) and F is not None
