@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from newslens.llm.chat import OP10_SQL, op10_chat_format
-from newslens.llm.decontaminate import op6_decontamination
+from newslens.llm.decontaminate import OP6_SQL, op6_decontamination
 from newslens.llm.linededup import OP7_SQL, op7_line_dedup
 from newslens.llm.lm import op3_lm_scoring
 from newslens.llm.mixing import OP4_SQL, op4_mixing
@@ -26,4 +26,9 @@ QUERIES = {
     "op10_chat_format": op10_chat_format,
 }
 
-ORACLES: dict[str, str] = {"op4_mixing": OP4_SQL, "op7_line_dedup": OP7_SQL, "op10_chat_format": OP10_SQL}
+ORACLES: dict[str, str] = {
+    "op4_mixing": OP4_SQL,
+    "op6_decontamination": OP6_SQL,
+    "op7_line_dedup": OP7_SQL,
+    "op10_chat_format": OP10_SQL,
+}

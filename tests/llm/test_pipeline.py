@@ -54,7 +54,8 @@ def test_decisions_on_hard_rows(spark, tmp_path):
     lines = kept(spark, tmp_path, "line_dedup")
     assert {"0", "1"} & {i for i, _ in lines} in ({"0"}, {"1"}) and not {"3", "4", "5"} & {i for i, _ in lines}
     good = {i for i, _ in kept(spark, tmp_path, "quality_rules")}
-    assert {"0", "7"} <= good and not {"3", "4", "5", "6", "8", "9"} & good
+    # 7 and 9 repeat themselves, the others are too short
+    assert "0" in good and not {"3", "4", "5", "6", "7", "8", "9"} & good
 
 
 def brute_quality(docs, labels):
