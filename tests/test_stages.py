@@ -71,3 +71,35 @@ def test_event_tables(spark, tmp_path):
     assert tables["eventos_resumo"].count() == 3
     assert [r.evento_id for r in tables["eventos_muito_positivos"].collect()] == ["chave-a"]
     assert SECONDS_PER_ATTEMPT == 2
+
+
+def test_a_second_run_in_the_same_folder_asks_only_for_what_failed(spark, tmp_path):
+    def first(prompt):
+        if prompt.startswith("a"):
+            raise RuntimeError("refused")
+        return answer(prompt)
+
+    def second(prompt):
+        if not prompt.startswith("a"):
+            raise RuntimeError("asked again")
+        return answer(prompt)
+
+    for fn in (first, second):
+        stages.run_all(spark, articles(spark), None, "policia nova", fn, "m", str(tmp_path), attempts=1,
+                       timestamp_formats=["yyyy/MM/dd"], ordered=True)
+    labels = spark.read.parquet(str(tmp_path / "labels"))
+    assert labels.count() == 60 and labels.where("label = 'n/a'").count() == 0
+    keys = [(r.publishedAt, r.articleId, r.jsonIndex) for r in labels.collect()]
+    assert keys == sorted(keys)
+
+
+def test_event_tables_take_a_stored_summary(spark):
+    from newslens.operators.clean import clean_event_rows
+    from newslens.operators.events import event_summary
+
+    rows = spark.createDataFrame([("k", 1, "2024-01-01", "h", "t", "positivo", 1.0, "E", "e", "e-1", "", "")],
+        "recordKey string, articleId long, publishedAt string, sourceHost string, title string, label string, "
+        "sentiment_score double, evento string, evento_chave string, evento_id string, tipo_evento string, local string")
+    summary = event_summary(clean_event_rows(rows))
+    tables = stages.event_tables(rows.limit(0), summary=summary)
+    assert tables["eventos_muito_positivos"].count() == 1
