@@ -6,6 +6,11 @@ graph is a set of stars around each component's least node. Each round is joins
 and partial aggregates on node ids, is written to the shared folder, and takes
 the place of the round before. Nothing is gathered on the driver but a count and
 a checksum of the edges.
+
+One component may hold a third of all nodes, so the centre of its star is the end of
+as many edges. Least neighbours are written before edges meet them: then
+both sides of that join are plain shuffles, which Spark splits where one node has too
+many edges.
 """
 
 from __future__ import annotations
@@ -16,17 +21,19 @@ from pyspark.sql import functions as F
 from newslens.llm.common import stored
 
 
-def _passed_on(edges: DataFrame, back: bool) -> DataFrame:
-    """One star step; ``edges`` has u > v, and so has the result."""
-    ends = edges.union(edges.select("v", "u")) if not back else edges
-    least = ends.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-    told = ends.join(least, ends.u == least.k)
-    if back:
-        linked = told.select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
-        linked = linked.select("e.u", F.col("e.m").alias("v")).where("u > v")
-    else:
-        linked = told.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return linked.distinct()
+def _to_larger(edges: DataFrame) -> DataFrame:
+    """Large star: an edge (u, v), u > v, leads from u to the least neighbour of v, if that is below v."""
+    ends = edges.union(edges.select("v", "u"))
+    least = ends.groupBy("u").agg(F.min("v").alias("m")).where("m < u").select(F.col("u").alias("k"), "m")
+    told = edges.join(stored(least, "least"), F.col("v") == F.col("k"), "left")
+    return told.select("u", F.coalesce("m", "v").alias("v")).distinct()
+
+
+def _to_smaller(edges: DataFrame) -> DataFrame:
+    """Small star: a node and all its smaller neighbours are led to the least of those."""
+    least = stored(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
+    told = edges.join(least.withColumnRenamed("u", "k"), F.col("u") == F.col("k")).where("v <> m")
+    return told.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).distinct()
 
 
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
@@ -45,4 +52,4 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
                 now.select("v", "v").distinct()
             )
         state = sign
-        now = stored(_passed_on(_passed_on(now, back=False), back=True), "edges")
+        now = stored(_to_smaller(_to_larger(now)), "edges")

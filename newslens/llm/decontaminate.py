@@ -157,7 +157,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
         .select(*row, "w.*")
     )
     # One row per document, place and window: this is what the two sides share.
-    shared = seeds.join(items.select("window").distinct(), "window")
+    # Item windows are written before they are met, so that Spark can split a passage that very many documents hold.
+    shared = stored(seeds.join(stored(items.select("window").distinct(), "windows"), "window"), "shared-windows")
     before = Window.partitionBy(*row).orderBy("start", "length").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("start") + F.col("length")
     covered = F.greatest(F.lit(0), end - F.greatest("start", F.coalesce(F.max(end).over(before), F.lit(0))))
@@ -165,7 +166,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     listed = (
         shared.select(*row, "window")
         .distinct()
-        .join(items.where(F.col("item_id").isNotNull()).select("window", "item_id").distinct(), "window")
+        .join(stored(items.where(F.col("item_id").isNotNull()).select("window", "item_id").distinct(), "window-items"), "window")
         .select(*row, "item_id")
         .distinct()
         .groupBy(*row)

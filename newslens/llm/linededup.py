@@ -58,7 +58,9 @@ def covered_places(windows: DataFrame) -> DataFrame:
     """(doc_id, digest, starts): where later occurrences of repeated windows begin, per document that has any."""
     where = F.struct("doc_id", "digest", "at")
     repeated = windows.groupBy("window").agg(F.count("*").alias("times"), F.min(where).alias("first")).where("times > 1")
-    later = windows.join(repeated.select("window", "first"), "window").where(~where.eqNullSafe(F.col("first")))
+    # Written first: then Spark can split a window that very many documents hold.
+    repeated = stored(repeated.select("window", "first"), "repeated-windows")
+    later = windows.join(repeated, "window").where(~where.eqNullSafe(F.col("first")))
     return later.groupBy("doc_id", "digest").agg(F.sort_array(F.collect_set("at")).alias("starts"))
 
 

@@ -275,9 +275,10 @@ def repeated_paragraphs(docs: DataFrame, min_run: int = MIN_RUN, block: int = BL
     # Two places, not two rows: a repeated row of the input is the same place.
     where = F.xxhash64(*_OWN, "at")
     counted = rows.groupBy("kind", "class").agg(F.min(where).alias("a"), F.max(where).alias("b")).where("a <> b").drop("a", "b")
-    again = stored(rows.join(counted, ["kind", "class"], "left_semi").distinct(), "repeated-items")
+    # What rows meet is written first: then Spark can split a class that very many documents have.
+    again = stored(rows.join(stored(counted, "repeated-classes"), ["kind", "class"], "left_semi").distinct(), "repeated-items")
     place = F.struct(*_OWN, "at")
-    firsts = again.groupBy("kind", "class").agg(F.min(place).alias("first"))
+    firsts = stored(again.groupBy("kind", "class").agg(F.min(place).alias("first")), "first-items")
     marked = again.join(firsts, ["kind", "class"]).withColumn("later", ~place.eqNullSafe(F.col("first")))
     order = Window.partitionBy(*_OWN).orderBy("at", "n", "kind")
     before, up_to = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, Window.currentRow)

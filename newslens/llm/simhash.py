@@ -243,8 +243,9 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, leaf_rows: int =
     least = stored(printed.groupBy("fp").agg(F.min(member).alias("least")), "distinct-fingerprints")
     classes = connected_components(fingerprint_links(least, max_bits, leaf_rows))
     members = stored(least.join(classes, least.fp == classes.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "members")
-    named = members.groupBy("root").agg(F.min("least").alias("first"))
-    by_code = members.select("fp", "root").join(named, "root").select("fp", "first")
+    # Written before rows meet it, as in ``connected_components``: a class may be large.
+    named = stored(members.groupBy("root").agg(F.min("least").alias("first")), "classes")
+    by_code = stored(members.select("fp", "root").join(named, "root").select("fp", "first"), "codes")
     return printed.join(by_code, "fp").select(
         "doc_id", "digest", "fp", F.col("first.doc_id").alias("component_id"), (member == F.col("first")).alias("representative")
     )

@@ -78,7 +78,8 @@ def repeated_suffixes(kept: DataFrame) -> DataFrame:
     # Two places, not two rows: a repeated row of the input is the same place.
     place = F.xxhash64(*_OWN, "at")
     heads = rows.groupBy("head").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("head")
-    return rows.join(heads, "head", "left_semi").select(*_OWN, "at", "head")
+    # Written first: then Spark can split a head that very many suffixes have.
+    return rows.join(stored(heads, "repeated-heads"), "head", "left_semi").select(*_OWN, "at", "head")
 
 
 def runs(repeated: DataFrame, head: int) -> DataFrame:
@@ -104,7 +105,7 @@ def with_surroundings(docs: DataFrame, places: DataFrame, width: int, head: int)
         rows = wanted.flatten()
         at, first, last = (rows.field(i).to_numpy(zero_copy_only=False) for i in range(3))
         place = at + begin[document]
-        # Places outside a text never agree with any word: they are cut off by ``room`` and ``at``.
+        # Around a text's ends these are words of other texts; ``at`` and ``room`` cut them off.
         small = np.concatenate([np.zeros(width, ">u4"), (words >> np.uint64(32)).astype(">u4"), np.zeros(width, ">u4")])
         around = np.lib.stride_tricks.sliding_window_view(small, width)
 
@@ -160,12 +161,13 @@ def neighbour_matches(suffixes: DataFrame, by: str, width: int, head: int) -> Da
     guests = sides.select("part", F.explode("sides").alias("r")).where("r IS NOT NULL").select("r.*", "part", F.lit(True).alias("guest"))
     both = ranged.withColumn("guest", F.lit(False)).unionByName(guests)
     near = Window.partitionBy("part").orderBy(*order)
-    other = F.struct("head", "doc_id", by)
+    other = F.struct("head", "doc_id", "at", "room", by)
     pairs = both.select("*", F.array(F.lag(other).over(near), F.lead(other).over(near)).alias("others"))
     pairs = pairs.where("NOT guest").withColumn("o", F.explode("others")).where(F.col("head") == F.col("o.head"))
     shared = _agreeing(width)(by, F.col(f"o.{by}"))
-    left = F.least(shared, "at") if by == "before" else F.lit(0)
-    right = F.least(shared, "room") if by == "after" else F.lit(0)
+    # Beyond its text's ends a suffix's surroundings are another text's words.
+    left = F.least(shared, "at", "o.at") if by == "before" else F.lit(0)
+    right = F.least(shared, "room", "o.room") if by == "after" else F.lit(0)
     return pairs.select(
         *_OWN, (F.col("at") - left).alias("begin"), (F.col("at") + head + right).alias("end"), F.col("o.doc_id").alias("other_id")
     )
@@ -191,6 +193,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, width: int = WID
         "head", (F.col("at") == F.col("first")).alias("first"), (F.col("at") == F.col("last")).alias("last")
     )
     heads = in_run.where("first OR last").groupBy("head").agg(F.max("first").alias("first"), F.max("last").alias("last"))
+    heads = stored(heads, "end-heads")
     edge = placed.join(heads, "head").select(*_OWN, "at", "first", "last")
     around = stored(with_surroundings(docs, edge, width, head), "run-ends")
     none = F.lit(None).cast(docs.schema["doc_id"].dataType)
