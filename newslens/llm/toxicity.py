@@ -227,4 +227,5 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select(
         "doc_id", (F.col("quality") == 0).cast("int").alias("low_quality"), F.col("toxic").cast("int").alias("toxic")
     )
-    return toxicity(table(spark, sf_dir, "documents"), labels, CATEGORIES)
+    scored = toxicity(table(spark, sf_dir, "documents"), labels, CATEGORIES)
+    return scored.select("doc_id", "toxic", "p_toxic", "p_low_quality")
