@@ -25,6 +25,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_small_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, whose session now sends few rows at a time to Python: whole texts are large.
+
+    Only Spark's default number of rows is lowered; one that the session was given stays.
+    """
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", docs.sparkSession.conf
+    if conf.get(key) == "10000":
+        conf.set(key, "1000")
+    return docs
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read from there: cuts lineage, survives lost executors."""
     path = shared_path(df.sparkSession, name)

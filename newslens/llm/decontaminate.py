@@ -46,6 +46,7 @@ from newslens.llm.common import (
     table,
     text_digest,
     window_minima,
+    with_small_batches,
     word_hashes,
 )
 
@@ -143,6 +144,7 @@ def document_windows(
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """Per row of ``docs``: doc_id, digest of its text, n_words, n_hit and the sorted ids of the items found in it."""
+    docs = with_small_batches(docs)
     if not 0 < gram <= window:
         raise ValueError("a gram has at least one word and at most as many as a window")
     items = stored(item_windows(benchmark, window, gram), "item-windows")

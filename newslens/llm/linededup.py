@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newslens.llm.common import SPACE, as_bytes, stored, table, text_digest
+from newslens.llm.common import SPACE, as_bytes, stored, table, text_digest, with_small_batches
 
 LINES = 3
 
@@ -67,6 +67,7 @@ def covered_places(windows: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, size: int = LINES, into: str = "line_dedup") -> DataFrame:
     """``docs`` with the text that is left in ``text``, and a struct column ``into`` (n_lines, n_removed)."""
 
+    docs = with_small_batches(docs)
     @F.arrow_udf("struct<text:string,n_lines:bigint,n_removed:bigint>")
     def remove(texts: pa.Array, starts: pa.Array) -> pa.Array:
         left, n_lines, n_removed = [], [], []

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newslens.llm.common import as_bytes, bloom_filter, gram_hashes, mixed, passes, slices, stored, table, word_hashes
+from newslens.llm.common import as_bytes, bloom_filter, gram_hashes, mixed, passes, slices, stored, table, word_hashes, with_small_batches
 from newslens.llm.components import connected_components
 
 SHINGLE = 5
@@ -261,6 +261,7 @@ def repeated_paragraphs(docs: DataFrame, min_run: int = MIN_RUN, block: int = BL
     ``n_removed`` counts the words of later occurrences, those a dedup takes out;
     ``first_doc_ids`` are the documents that hold the first occurrences.
     """
+    docs = with_small_batches(docs)
     docs = docs.select("doc_id", "text")
     found = stored(items(docs), "paragraphs")
     classes = stored(connected_components(paragraph_links(docs, found, block)), "paragraph-classes")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newslens.llm.common import SPACE, as_bytes, mixed, slices, table, word_hashes
+from newslens.llm.common import SPACE, as_bytes, mixed, slices, table, word_hashes, with_small_batches
 
 BUCKETS = 1 << 16
 TRUSTED_LIMIT = 20_000
@@ -132,6 +132,7 @@ def quality_verdicts(
     into: str = "quality_verdict",
 ) -> DataFrame:
     """``docs`` with a struct column ``into`` (fields: ``VERDICT``)."""
+    docs = with_small_batches(docs)
     ratios = log_ratios(gram_counts(docs, trusted_ids(labels, trusted_limit), buckets), buckets)
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
     kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from newslens.llm.common import as_bytes, stored, table, text_digest
+from newslens.llm.common import as_bytes, stored, table, text_digest, with_small_batches
 from newslens.llm.components import connected_components
 
 SHINGLE = 3
@@ -236,6 +236,7 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, leaf_rows: int =
 
     A class's representative has its least id and, of the rows with that id, the least text digest.
     """
+    docs = with_small_batches(docs)
     printed = stored(
         docs.select("doc_id", text_digest(F.col("text")).alias("digest"), fingerprint("text").alias("fp")), "fingerprints"
     )

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newslens.llm import decontaminate, linededup, mixing as mixer, quality, simhash as near
-from newslens.llm.common import free_name, table, text_digest
+from newslens.llm.common import free_name, stored, table, text_digest
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -43,11 +43,12 @@ def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows equal in id and text are one document and leave one row, whichever.
     """
-    kept = near.near_duplicates(docs.select("doc_id", "text")).where("representative").select(
-        F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest")
-    ).distinct()
-    found = _rows(docs).join(kept, _same("kept_id", "kept_digest"))
-    return found.dropDuplicates(["kept_id", "kept_digest"]).select("row.*")
+    kept = near.near_duplicates(docs.select("doc_id", "text")).where("representative")
+    kept = kept.groupBy(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest")).agg(F.count("*").alias("times"))
+    found = _rows(docs).join(stored(kept, "representatives"), _same("kept_id", "kept_digest"))
+    # Only rows that are there several times are shuffled again.
+    several = found.where("times > 1").dropDuplicates(["kept_id", "kept_digest"])
+    return found.where("times = 1").unionByName(several).select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newslens.llm.common import as_bytes, gram_hashes, hashed_texts, minima_within, stored, table
+from newslens.llm.common import as_bytes, gram_hashes, hashed_texts, minima_within, stored, table, with_small_batches
 
 MIN_WORDS = 50
 WIDTH = 24
@@ -182,6 +182,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, width: int = WID
     head = min_words - width
     if width < 1 or head <= width:
         raise ValueError("the head must be longer than the distance of kept suffixes")
+    docs = with_small_batches(docs)
     docs = docs.select("doc_id", "text")
     kept = stored(kept_suffixes(docs, width, head), "suffixes")
     placed = stored(runs(repeated_suffixes(kept), head), "runs")

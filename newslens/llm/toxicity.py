@@ -28,7 +28,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newslens.llm.common import as_bytes, mixed, table
+from newslens.llm.common import as_bytes, mixed, table, with_small_batches
 
 BUCKETS = 1 << 18
 SAMPLE = 6_000
@@ -202,6 +202,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, categories: list[str], l
 
 def toxicity(docs: DataFrame, labels: DataFrame, categories: list[str], limit: int = SAMPLE, buckets: int = BUCKETS) -> DataFrame:
     """``doc_id``, and per category its probability ``p_<name>`` and the flag ``<name>``; ``labels`` holds 0/1 columns of those names."""
+    docs = with_small_batches(docs)
     pieces, y, folds = labelled_sample(docs, labels, categories, limit, buckets)
     shared = docs.sparkSession.sparkContext.broadcast(fit_chain(pieces, y, folds, buckets))
     names = [x for c in categories for x in (f"p_{c}", c)]
