@@ -3,9 +3,15 @@
 Words and word pairs are hashed to ``buckets`` bins. Two multinomials are
 counted over the bins: one from trusted documents, one from every document of
 the corpus. A document's score is the mean over its n-grams of
-``log p_trusted(bin) - log p_raw(bin)``; it is kept when the base rules pass and
-the score reaches ``threshold``. Both are fixed parameters, so the verdict on a
-document depends on no sampling and on no other document's verdict.
+``log p_trusted(bin) - log p_raw(bin)``, in which a trusted document is left out of
+the trusted counts; it is kept when the base rules pass and the score reaches ``threshold``.
+
+The fewer the trusted words, the lower every other document scores. So all scores are
+moved by one number, found on the labelled documents that pass the base rules: the
+cut that best parts good from bad ones (greatest sum of the shares kept and
+rejected) comes to lie at ``threshold``. Where none of them is bad, the cut is the
+lowest score of a good one. Of the ``SMOOTHINGS`` the one that parts them best is
+used, of equals the least.
 
 Trusted documents are those labelled ``quality = 1``. They are a bounded sample
 of labelled rows: the ``trusted_limit`` ones lowest by a hash of their id, so the
@@ -13,22 +19,25 @@ sample is the same in every run and small enough to be sent to all tasks. The
 raw multinomial covers all words of all documents.
 
 Cases: a null or empty text has no words, fails the base rules and scores 0.
-A row of any id, repeated or null, gets its own verdict. No labels, or none
-trusted: both multinomials are the raw one, every score is 0 and only the base
-rules decide. Other columns pass through, whatever their names.
+A row of any id, repeated or null, gets its own verdict. An id labelled both good and bad
+is good. No labels, or none trusted: both multinomials are the raw one, every score
+is 0 and only the base rules decide. No good document passes the base rules: there is
+no cut, and scores are the plain ratios. Other columns pass
+through, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newslens.llm.common import SPACE, as_bytes, mixed, slices, table, word_hashes, with_small_batches
+from newslens.llm.common import SPACE, as_bytes, free_name, mixed, slices, table, word_hashes, with_small_batches
 
 BUCKETS = 1 << 16
 TRUSTED_LIMIT = 20_000
@@ -36,6 +45,9 @@ THRESHOLD = -0.1
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = b"#*$%&|<>"
+#: Pseudo-counts per bin of the trusted table to choose from, and steps per unit in which scores are counted to find the cut.
+SMOOTHINGS = (0.1, 0.01, 0.001)
+STEPS = 1000
 
 VERDICT = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -110,17 +122,76 @@ def gram_counts(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) ->
     )
 
 
-def log_ratios(counts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
-    """The ratio table, one number per bin; the driver gets at most ``buckets`` rows."""
+@dataclass
+class Ratios:
+    """Trusted counts and raw shares per bin, and the logarithm of their ratio by smoothing."""
+
+    good: np.ndarray
+    share: np.ndarray
+    tables: list[np.ndarray]
+
+    def score(self, bins: np.ndarray, held_out: bool = False, which: int = 0) -> float:
+        """Mean log ratio over a text's bins; ``held_out`` takes its occurrences out of the trusted counts.
+
+        The total stays the one that documents outside the trusted set are scored with.
+        """
+        if not len(bins):
+            return 0.0
+        if not held_out:
+            return float(np.mean(self.tables[which][bins], dtype=np.float64))
+        at, times = np.unique(bins, return_counts=True)
+        spread = len(self.share) * SMOOTHINGS[which]
+        left = (self.good[at] - times + self.share[at] * spread) / (self.good.sum() + spread)
+        return float(times @ (np.log(left) - np.log(self.share[at])) / len(bins))
+
+
+def log_ratios(counts: DataFrame, buckets: int = BUCKETS) -> Ratios:
+    """The ratio tables, one number per bin; the driver gets at most ``buckets`` rows."""
     raw, good = np.zeros(buckets), np.zeros(buckets)
     for row in counts.collect():
         raw[row["bin"]], good[row["bin"]] = row["raw"], row["good"]
     if not good.sum():
-        return np.zeros(buckets, np.float32)
+        return Ratios(good, raw, [np.zeros(buckets, np.float32)])
     # One occurrence spread over all bins by the raw shares smooths the smaller table.
     share = (raw + 1) / (raw.sum() + buckets)
-    smooth = (good + share * buckets * 0.1) / (good.sum() + buckets * 0.1)
-    return (np.log(smooth) - np.log(share)).astype(np.float32)
+    smooth = [(good + share * buckets * s) / (good.sum() + buckets * s) for s in SMOOTHINGS]
+    return Ratios(good, share, [(np.log(x) - np.log(share)).astype(np.float32) for x in smooth])
+
+
+def best_cut(good: dict[int, int], bad: dict[int, int]) -> tuple[float, float]:
+    """From documents per step of score: how far the shares kept differ, and the score where they differ most.
+
+    Between two steps the middle.
+    """
+    if not bad:
+        return 1.0, min(good) / STEPS
+    places = sorted({*good, *bad})
+    kept = np.cumsum([good.get(i, 0) for i in places][::-1])[::-1] / sum(good.values())
+    let_in = np.cumsum([bad.get(i, 0) for i in places][::-1])[::-1] / sum(bad.values())
+    i = int(np.argmax(kept - let_in))
+    below = places[i - 1] + 1 if i else places[i]
+    return float((kept - let_in)[i]), (below + places[i]) / 2 / STEPS
+
+
+def found_cut(docs: DataFrame, labels: DataFrame, scores: Column) -> tuple[int, float] | None:
+    """The smoothing's number and the cut that part good and bad documents best; None without good ones.
+
+    ``scores`` has a document's score per smoothing, and none if it fails the base rules. All
+    labelled documents count. Only scores and ids meet the labels, and the driver
+    gets one row per step that a score fell in.
+    """
+    known = labels.where("quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    scored = docs.select("doc_id", scores.alias("scores")).where("size(scores) > 0").join(known, "doc_id")
+    steps = scored.select("quality", F.posexplode("scores").alias("which", "score"))
+    steps = steps.groupBy("which", "quality", F.floor(F.col("score") * STEPS).alias("step")).count().collect()
+    if not any(r["quality"] == 1 for r in steps):
+        return None
+    found = []
+    for which in range(len(SMOOTHINGS)):
+        good, bad = ({r["step"]: r["count"] for r in steps if (r["which"], r["quality"]) == (which, q)} for q in (1, 0))
+        found.append((which, *best_cut(good, bad)))
+    which, _, cut = max(found, key=lambda x: (x[1], x[0]))
+    return which, cut
 
 
 def quality_verdicts(
@@ -133,25 +204,43 @@ def quality_verdicts(
 ) -> DataFrame:
     """``docs`` with a struct column ``into`` (fields: ``VERDICT``)."""
     docs = with_small_batches(docs)
-    ratios = log_ratios(gram_counts(docs, trusted_ids(labels, trusted_limit), buckets), buckets)
+    trusted = trusted_ids(labels, trusted_limit)
+    ratios = log_ratios(gram_counts(docs, trusted, buckets), buckets)
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
     kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
     names = [f.split()[0] for f in VERDICT.split(", ")]
 
-    @F.arrow_udf(f"struct<{VERDICT.replace(' ', ':').replace(',:', ',')}>")
-    def judge(texts: pa.Array) -> pa.Array:
-        table_, rows = shared.value, []
+    def read(texts: pa.Array, chosen: pa.Array) -> Iterator[tuple[bytes, list[bytes], bool]]:
         for start in range(0, len(texts), 512):
-            for data in as_bytes(texts.slice(start, 512)):
-                data = data or b""
-                words = data.split()
+            for data, own in zip(as_bytes(texts.slice(start, 512)), chosen.slice(start, 512).to_pylist()):
+                yield data or b"", (data or b"").split(), bool(own)
+
+    @F.arrow_udf("array<double>")
+    def scores(texts: pa.Array, chosen: pa.Array) -> pa.Array:
+        rows = []
+        for data, words, own in read(texts, chosen):
+            bins = None if base_counts(data, words)[5] else grams(words, buckets)
+            rows.append([] if bins is None else [shared.value.score(bins, own, i) for i in range(len(SMOOTHINGS))])
+        return pa.array(rows, pa.list_(pa.float64()))
+
+    def judge(hold_out: bool, which: int, moved: float):
+        @F.arrow_udf(f"struct<{VERDICT.replace(' ', ':').replace(',:', ',')}>")
+        def verdict(texts: pa.Array, chosen: pa.Array) -> pa.Array:
+            rows = []
+            for data, words, own in read(texts, chosen):
                 base = base_counts(data, words)
-                score = float(np.mean(table_[grams(words, buckets)], dtype=np.float64)) if words else 0.0
+                score = shared.value.score(grams(words, buckets), own and hold_out, which) + moved if words else 0.0
                 rows.append((*base, score, not base[5] and score >= threshold))
-        columns = list(zip(*rows)) if rows else [[] for _ in names]
-        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+            columns = list(zip(*rows)) if rows else [[] for _ in names]
+            return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+        return verdict
 
-    return docs.withColumn(into, judge("text"))
+    own = free_name(docs, "trusted")
+    marked = docs.join(F.broadcast(trusted.select("doc_id", F.lit(True).alias(own))), "doc_id", "left").select(*(f"`{c}`" for c in docs.columns), own)
+    cut = found_cut(marked, labels, scores("text", own)) if ratios.good.any() else None
+    last = judge(False, 0, 0.0) if cut is None else judge(True, cut[0], threshold - cut[1])
+    return marked.withColumn(into, last("text", own)).drop(own)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

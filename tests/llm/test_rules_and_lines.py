@@ -80,6 +80,25 @@ def test_clean_documents_are_kept_and_junk_goes(spark):
     assert shares[1] > 0.99 and shares[0] < 0.05
 
 
+@pytest.mark.parametrize(("sf", "part"), [("/root/testdata/sf0.001", 2), ("/root/testdata/sf0.01", 2), ("/root/testdata/sf0.01", 4)])
+def test_clean_documents_outside_the_trusted_set_are_kept(spark, sf, part):
+    """The verdict must not hang on how many documents are trusted, nor on whether a clean one is among them."""
+    docs, labels = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels")
+    held_out = (F.col("quality") == 1) & (F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(part)) > 0)
+    got = Q.quality_verdicts(docs, labels.where(~held_out)).select("doc_id", "quality_verdict.*").where("NOT base_failed")
+    rows = got.join(labels.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max(held_out.cast("int")).alias("held")), "doc_id", "left").collect()
+    share = lambda some: sum(r.kept for r in some) / len(some)
+    assert share([r for r in rows if r.held]) > 0.9
+    assert share([r for r in rows if r.quality == 0]) < 0.05
+    assert share([r for r in rows if r.quality is None]) > 0.8
+
+
+def test_cut_between_good_and_bad():
+    assert Q.best_cut({10: 3, 40: 1}, {}) == (1, 0.01)
+    assert Q.best_cut({10: 3, 40: 1}, {-10: 2, -1: 5}) == (1, 0.005)
+    assert Q.best_cut({10: 9, 40: 90}, {0: 50, 20: 1})[1] == 0.0055
+
+
 # --- line dedup ------------------------------------------------------------
 
 
