@@ -124,6 +124,16 @@ def test_training_helps_and_order_matters(spark):
     assert len(copies) > 1  # so the model is an average
 
 
+def test_training_predicts_every_token():
+    texts = [b"a b c d e", None, b"", b" ".join(b"w%d" % i for i in range(3000)), b"b"]
+    numbers = {b"a": 0, b"b": 1, b"w7": 2}
+    batches = list(L.examples(texts, numbers))
+    ids = [i for i in (L.token_numbers(t, numbers) for t in texts) if len(i)]
+    assert np.concatenate([t for _, t in batches]).tolist() == np.concatenate(ids).tolist()
+    assert np.array_equal(np.concatenate([a for a, _ in batches], axis=1), np.concatenate([L.contexts(i, np.arange(len(i))) for i in ids], axis=1))
+    assert all(len(t) >= L.BATCH for _, t in batches[:-1])
+
+
 def test_average_is_weighed_by_tokens():
     import pyarrow as pa
 
