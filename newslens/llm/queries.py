@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from newslens.llm.bpe import op13_byte_bpe
 from newslens.llm.chat import OP10_SQL, op10_chat_format
 from newslens.llm.decontaminate import OP6_SQL, op6_decontamination
+from newslens.llm.fim import OP12_SQL, op12_fill_in_middle
 from newslens.llm.linededup import OP7_SQL, op7_line_dedup
 from newslens.llm.lm import op3_lm_scoring
 from newslens.llm.mixing import OP4_SQL, op4_mixing
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_paragraph_dedup": op9_paragraph_dedup,
     "op10_chat_format": op10_chat_format,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 ORACLES: dict[str, str] = {
@@ -31,4 +35,5 @@ ORACLES: dict[str, str] = {
     "op6_decontamination": OP6_SQL,
     "op7_line_dedup": OP7_SQL,
     "op10_chat_format": OP10_SQL,
+    "op12_fill_in_middle": OP12_SQL,
 }
