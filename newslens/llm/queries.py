@@ -9,6 +9,7 @@ from newslens.llm.fim import OP12_SQL, op12_fill_in_middle
 from newslens.llm.linededup import OP7_SQL, op7_line_dedup
 from newslens.llm.lm import op3_lm_scoring
 from newslens.llm.mixing import OP4_SQL, op4_mixing
+from newslens.llm.negatives import OP11_SQL, op11_hard_negatives
 from newslens.llm.paragraphs import op9_paragraph_dedup
 from newslens.llm.quality import op8_quality_rules
 from newslens.llm.simhash import op1_simhash
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_paragraph_dedup": op9_paragraph_dedup,
     "op10_chat_format": op10_chat_format,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_byte_bpe": op13_byte_bpe,
 }
@@ -35,5 +37,6 @@ ORACLES: dict[str, str] = {
     "op6_decontamination": OP6_SQL,
     "op7_line_dedup": OP7_SQL,
     "op10_chat_format": OP10_SQL,
+    "op11_hard_negatives": OP11_SQL,
     "op12_fill_in_middle": OP12_SQL,
 }
