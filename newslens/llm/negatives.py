@@ -262,7 +262,8 @@ def hard_negatives(
     lengths = np.sqrt(np.array([longest.get(i, 0) for i in range(max(longest, default=-1) + 1)], np.float64))
     lengths = np.maximum.accumulate(lengths[::-1])[::-1]
     drawn = distinct.orderBy(F.xxhash64("label", "v", F.lit("sample")), "label").limit(sample).select("label", "v", "ids").toArrow()
-    known = context.broadcast((_block(drawn.to_batches()) if drawn.num_rows else None, lengths))
+    seen = _block(drawn.to_batches()) if drawn.num_rows else Block(np.zeros((0, 0), np.int64), np.zeros(0, np.int64), [])
+    known = context.broadcast((seen, lengths))
 
     def prepared(bounds, extra: dict[str, pa.DataType]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,7 @@ SF = "/root/testdata/sf0.001"
 
 #: names that operators use inside
 CLASHES = ["row", "digest", "fp", "size", "found", "windows", "quality_verdict", "line_dedup", "left", "starts", "part",
-           "target", "taken", "kept_id", "hit_id", "mix", "m_id", "sampling_key", "component_id", "first", "s", "i"]
+           "target", "taken", "ids", "form", "prefix", "n", "output", "kept_id", "hit_id", "mix", "m_id", "sampling_key", "component_id", "first", "s", "i"]
 
 PROSE = [
     "\n".join(" ".join(f"{w}{d}x{i}" for i in range(s, s + 12)) for s in range(0, 60, 12))

@@ -134,5 +134,5 @@ def test_clean_labelled_documents_pass_the_rules(spark):
 
 def test_entry_point_names_every_query():
     names = entry_point.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))
     assert set(entry_point.oracle_sql()) <= set(names) and F is not None
