@@ -15,10 +15,12 @@ from newslens.operators import events, sentiment
 from newslens.operators.classify import answer_durably, article_text, latest_answers, phrase_articles
 from newslens.operators.clean import clean_event_rows, clean_labels
 from newslens.operators.responses import label_rows
-from newslens.operators.resume import pending_articles, upsert_labels
+from newslens.operators.resume import completed, upsert_labels
+from newslens.plans.progress import Progress, input_of
 from newslens.schema import LABEL_SCHEMA, RESPONSE_SCHEMA, TEXT_SLOT
 from newslens.sources.labels import read_existing
 from newslens.sources.sinks import (
+    current_path,
     label_table,
     landed,
     replace_table,
@@ -40,6 +42,7 @@ def label_articles(
     template: str = TEXT_SLOT,
     max_chars: int | None = None,
     caps: Mapping[str, int] | None = None,
+    progress: Progress | None = None,
     **ask_options,
 ) -> DataFrame:
     """Stage 1: label rows of all phrase articles, calling ``fn`` only for pending ones.
@@ -49,13 +52,15 @@ def label_articles(
     end. A broken run, started again with the same ``work``, keeps them and asks for the rest;
     :func:`forget_answers` starts afresh. ``existing`` holds one label row per key (see ``read_existing``).
     ``max_chars`` and ``caps`` cut the input text and the answer's fields; by default both are whole.
+    With ``progress`` the search is not repeated by a run that goes on.
     """
     prompt = render_prompt(template, article_text(), max_chars)
     matched = phrase_articles(articles, phrase).withColumn("prompt", prompt).drop("rawText", "summaryPreview")
-    candidates = landed(matched, f"{work}/candidates")
-    prompts = candidates.select("recordKey", "prompt")
-    pending = pending_articles(prompts, existing) if resume else prompts
-    answers = latest_answers(answer_durably(pending, fn, f"{work}/answers", **ask_options))
+    named = {"articles": input_of(articles), "phrase": phrase, "template": template, "max_chars": max_chars} if progress else {}
+    (progress or Progress()).stage("candidates", named, lambda: landed(matched, f"{work}/candidates"))
+    candidates = articles.sparkSession.read.schema(matched.schema).parquet(f"{work}/candidates")
+    done = completed(existing) if resume else None
+    answers = latest_answers(answer_durably(candidates.select("recordKey", "prompt"), fn, f"{work}/answers", done=done, **ask_options))
     rows = label_rows(candidates.drop("prompt"), answers, model, caps)
     return upsert_labels(existing, rows, candidates)
 
@@ -100,37 +105,53 @@ def analyse_labels(
     min_classified: int | None = None,
     timestamp_formats: Sequence[str] = (),
     ordered: bool = False,
+    progress: Progress | None = None,
 ) -> None:
     """Stages 2 and 3 over label rows; every table goes below ``folder``.
 
-    ``ordered`` writes the article tables sorted by date.
+    ``ordered`` writes the article tables sorted by date. With ``progress`` finished tables are not written again.
 
     The deduplicated articles and the event summary are each computed once and
     read back from their written tables.
     """
     spark = labels.sparkSession
     folder = folder.rstrip("/")
-    write_classified(clean_labels(labels, timestamp_formats), f"{folder}/noticias_classificadas", ordered=ordered)
-    classified = spark.read.parquet(f"{folder}/noticias_classificadas")
-    write_small_tables(sentiment_tables(classified), folder)
-
-    write_article_events(clean_event_rows(classified), f"{folder}/eventos_por_noticia", ordered=ordered)
-    rows = spark.read.parquet(f"{folder}/eventos_por_noticia")
-    write_tables({"eventos_resumo": events.in_summary_order(events.event_summary(rows))}, folder)
-    summary = spark.read.parquet(f"{folder}/eventos_resumo")
-    thresholds = (min_articles, min_classified)
-    rankings = event_tables(rows, *thresholds, summary=summary)
-    write_tables({k: v for k, v in rankings.items() if k != "eventos_resumo"}, folder)
-    top_good = events.top_positive(summary, min_articles=min_articles, min_classified=min_classified)
-    top_bad = events.top_negative(summary, min_articles=min_articles, min_classified=min_classified)
-    write_small_tables(
-        {
-            "ranking_resumo": events.ranking_header(rows, *thresholds),
-            "ranking_positivo": events.ranking_lines(top_good, True).orderBy("rank"),
-            "ranking_negativo": events.ranking_lines(top_bad, False).orderBy("rank"),
-        },
-        folder,
+    progress = progress or Progress()
+    thresholds = {"min_articles": min_articles, "min_classified": min_classified}
+
+    def read(name: str) -> DataFrame:
+        return spark.read.parquet(f"{folder}/{name}")
+
+    def rankings() -> None:
+        rows, summary = read("eventos_por_noticia"), read("eventos_resumo")
+        tables = event_tables(rows, min_articles, min_classified, summary=summary)
+        write_tables({k: v for k, v in tables.items() if k != "eventos_resumo"}, folder)
+        write_small_tables(
+            {
+                "ranking_resumo": events.ranking_header(rows, min_articles, min_classified),
+                "ranking_positivo": events.ranking_lines(events.top_positive(summary, **thresholds), True).orderBy("rank"),
+                "ranking_negativo": events.ranking_lines(events.top_negative(summary, **thresholds), False).orderBy("rank"),
+            },
+            folder,
+        )
+
+    progress.stage(
+        "classified",
+        {"formats": list(timestamp_formats), "ordered": ordered},
+        lambda: write_classified(clean_labels(labels, timestamp_formats), f"{folder}/noticias_classificadas", ordered=ordered),
     )
+    progress.stage("sentiment", {}, lambda: write_small_tables(sentiment_tables(read("noticias_classificadas")), folder))
+    progress.stage(
+        "event_rows",
+        {},
+        lambda: write_article_events(clean_event_rows(read("noticias_classificadas")), f"{folder}/eventos_por_noticia", ordered=ordered),
+    )
+    progress.stage(
+        "summary",
+        {},
+        lambda: write_tables({"eventos_resumo": events.in_summary_order(events.event_summary(read("eventos_por_noticia")))}, folder),
+    )
+    progress.stage("rankings", thresholds, rankings)
 
 
 def run_all(
@@ -147,12 +168,23 @@ def run_all(
     ordered: bool = False,
     **label_options,
 ) -> None:
-    """All three stages. Without ``existing`` the run resumes from the labels of an earlier one in ``folder``."""
+    """All three stages. Without ``existing`` the run resumes from the labels of an earlier one in ``folder``.
+
+    A run that broke, started again with the same inputs and parameters, skips its finished
+    stages. The labels are replaced as a whole (``read_existing`` reads them).
+    """
     folder = folder.rstrip("/")
-    if existing is None:
-        existing = read_existing(spark, f"{folder}/labels", "parquet")
-    labels = label_articles(articles, existing, phrase, fn, model, f"{folder}/work", **label_options)
-    replace_table(label_table(labels, ordered), f"{folder}/labels")
-    forget_answers(spark, f"{folder}/work")
-    labels = spark.read.schema(LABEL_SCHEMA).parquet(f"{folder}/labels")
-    analyse_labels(labels, folder, min_articles, min_classified, timestamp_formats, ordered)
+    progress = Progress(spark, f"{folder}/work/finished")
+    named = {"existing": input_of(existing), "model": model, "ordered": ordered, "resume": label_options.get("resume", True), "caps": label_options.get("caps")}
+
+    def label() -> None:
+        stored = read_existing(spark, f"{folder}/labels", "parquet") if existing is None else existing
+        labels = label_articles(articles, stored, phrase, fn, model, f"{folder}/work", progress=progress, **label_options)
+        replace_table(label_table(labels, ordered), f"{folder}/labels")
+        forget_answers(spark, f"{folder}/work")
+
+    named |= {"articles": input_of(articles), "phrase": phrase, "template": label_options.get("template"), "max_chars": label_options.get("max_chars")}
+    progress.stage("labels", named, label)
+    labels = spark.read.schema(LABEL_SCHEMA).parquet(current_path(spark, f"{folder}/labels"))
+    analyse_labels(labels, folder, min_articles, min_classified, timestamp_formats, ordered, progress)
+    progress.end()

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from newslens.operators.resume import as_label_rows, latest_labels
 from newslens.schema import LABEL_SCHEMA, RESPONSE_SCHEMA
+from newslens.sources.sinks import current_path
 
 
 def read_labels(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """Label rows as stored; cleaning decides what counts as missing.
+    """Label rows as stored, plainly or by ``replace_table``; cleaning decides what counts as missing.
 
     CSV files have a header, and every column is text: types are never guessed,
     because a month would turn into a timestamp. A byte-order mark is skipped and
@@ -21,7 +22,7 @@ def read_labels(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     reader = spark.read.format(fmt)
     if fmt == "csv":
         reader = reader.options(header=True, inferSchema=False, multiLine=True, escape='"')
-    return reader.load(path)
+    return reader.load(current_path(spark, path))
 
 
 def read_existing(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,19 +56,76 @@ def write_labels(labels: DataFrame, path: str, fmt: str = "parquet", ordered: bo
     _write(label_table(labels, ordered), path, fmt)
 
 
+class Folder:
+    """A folder of the cluster's file system, by the driver."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.path, self._make = path.rstrip("/"), spark._jvm.org.apache.hadoop.fs.Path
+        self.files = self._make(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def names(self, inside: str = "", hidden: bool = True) -> list[str]:
+        """What is in the folder, or in one inside it; nothing where there is none."""
+        at = self._make(f"{self.path}/{inside}" if inside else self.path)
+        found = [f.getPath().getName() for f in self.files.listStatus(at)] if self.files.exists(at) else []
+        return sorted(n for n in found if hidden or not n.startswith(("_", ".")))
+
+    def delete(self, name: str) -> None:
+        self.files.delete(self._make(f"{self.path}/{name}"), True)
+
+    def put(self, name: str, text: str) -> None:
+        """A small file that is there whole or not at all; fails if there is one of that name."""
+        made, wanted = self._make(f"{self.path}/_{uuid.uuid4().hex}"), self._make(f"{self.path}/{name}")
+        stream = self.files.create(made, False)
+        stream.write(bytearray(text, "utf-8"))
+        stream.close()
+        if self.files.exists(wanted) or not self.files.rename(made, wanted):
+            self.files.delete(made, False)
+            raise OSError(f"{self.path} was replaced by another writer at the same time")
+
+
+_SNAPSHOTS, _POINTER = "_snapshots", "_pointer-"
+
+
+def current_path(spark: SparkSession, path: str) -> str:
+    """Where the table at ``path`` lies now: in the snapshot that its newest pointer names, else in the folder itself."""
+    pointers = [n for n in Folder(spark, path).names() if n.startswith(_POINTER)]
+    return f"{path.rstrip('/')}/{_SNAPSHOTS}/{pointers[-1].removeprefix(_POINTER)}" if pointers else path
+
+
 def replace_table(
     df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ()
 ) -> None:
-    """Write ``df``, which may be read from ``path`` itself, beside that folder and then put it in its place."""
+    """Put ``df``, which may be read from the table itself, in the place of the table at ``path``.
+
+    It is written as a snapshot of its own, and then a pointer to it is put in place by one rename; until then readers
+    (``current_path``) see the old table whole, whatever breaks. A plain folder becomes such a table with
+    its first replacement. The snapshot before stays for those who read it now; older ones go.
+    """
     spark = df.sparkSession
-    path = path.rstrip("/")
-    beside = f"{path}-{uuid.uuid4().hex}"
-    _write(df, beside, fmt, partition_by)
-    to_path = spark._jvm.org.apache.hadoop.fs.Path
-    files = to_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    files.delete(to_path(path), True)
-    if not files.rename(to_path(beside), to_path(path)):
-        raise OSError(f"cannot rename {beside} to {path}")
+    folder = Folder(spark, path)
+    before = [n for n in folder.names() if n.startswith(_POINTER)]
+    number = int(before[-1].removeprefix(_POINTER).split("-")[0]) + 1 if before else 1
+    name = f"{number:010d}-{uuid.uuid4().hex}"
+    _write(df, f"{folder.path}/{_SNAPSHOTS}/{name}", fmt, partition_by)
+    _point(folder, name)
+    kept = {name, *(p.removeprefix(_POINTER) for p in before[-1:])}
+    for old in folder.names(_SNAPSHOTS):
+        # a snapshot without a pointer may be another writer's
+        if old not in kept and old < min(kept):
+            folder.delete(f"{_SNAPSHOTS}/{old}")
+    for old in before[:-1]:
+        folder.delete(old)
+    if before:  # the plain table has been out of use for one replacement
+        for old in folder.names():
+            if not old.startswith((_SNAPSHOTS, _POINTER)):
+                folder.delete(old)
+
+
+def _point(folder: Folder, name: str) -> None:
+    number = name.split("-")[0]
+    if any(n.startswith(f"{_POINTER}{number}-") for n in folder.names()):
+        raise OSError(f"{folder.path} was replaced by another writer at the same time")
+    folder.put(f"{_POINTER}{name}", name)
 
 
 def classified_columns(classified: DataFrame) -> DataFrame:

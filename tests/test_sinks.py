@@ -60,3 +60,42 @@ def test_small_tables_are_one_file(spark, tmp_path):
     table = spark.range(10).repartition(5)
     sinks.write_small_tables({"t": table}, str(tmp_path))
     assert len(list((tmp_path / "t").glob("*.csv"))) == 1
+
+
+def test_a_broken_replacement_leaves_the_old_table(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+
+    def values():
+        return sorted(r.id for r in spark.read.parquet(sinks.current_path(spark, path)).collect())
+
+    spark.range(3).write.parquet(path)
+    for pointed in (False, True):  # a plain table, then one that a pointer names
+        with monkeypatch.context() as broken:
+            broken.setattr(sinks, "_point", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt()))
+            with pytest.raises(KeyboardInterrupt):
+                sinks.replace_table(spark.range(9), path)
+        assert values() == ([0, 1] if pointed else [0, 1, 2])
+        # from the table itself
+        sinks.replace_table(spark.read.parquet(sinks.current_path(spark, path)).where("id < 2"), path)
+        assert values() == [0, 1]
+
+
+def test_old_snapshots_go_but_the_last_one(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(3).write.parquet(path)
+    for n in range(1, 5):
+        reading = spark.read.parquet(sinks.current_path(spark, path))
+        sinks.replace_table(spark.range(n), path)
+        assert reading.count() == (3 if n == 1 else n - 1)  # a reader that began before goes on
+    assert len(list((tmp_path / "t" / "_snapshots").iterdir())) == 2
+    assert not list((tmp_path / "t").glob("*.parquet"))
+
+
+def test_two_replacements_at_once(spark, tmp_path):
+    folder = sinks.Folder(spark, str(tmp_path / "t"))
+    folder.put("_pointer-0000000001-a", "a")
+    with pytest.raises(OSError, match="another writer"):
+        sinks._point(folder, "0000000001-b")
+    with pytest.raises(OSError, match="another writer"):
+        folder.put("_pointer-0000000001-a", "a")
+    assert folder.names() == ["_pointer-0000000001-a"] and folder.names(hidden=False) == [] and sinks.Folder(spark, "/none/x").names() == []

@@ -1,11 +1,13 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from newslens.operators.classify import SECONDS_PER_ATTEMPT
 from newslens.plans import stages
 from newslens.schema import EVENT_SUMMARY_COLUMNS, LABEL_SCHEMA
 from newslens.sources.articles import normalize_articles
+from newslens.sources.labels import read_labels
 
 
 def answer(prompt):
@@ -35,9 +37,10 @@ def test_whole_run_writes_every_table(spark, tmp_path):
     def read(name):
         return spark.read.parquet(str(tmp_path / name))
 
-    assert read("labels").count() == 60
+    labels = read_labels(spark, str(tmp_path / "labels"), "parquet")
+    assert labels.count() == 60
     unique = read("noticias_classificadas").count()
-    assert unique == read("labels").select("articleId").distinct().count() < 60
+    assert unique == labels.select("articleId").distinct().count() < 60
     summary = read("eventos_resumo")
     assert summary.columns == EVENT_SUMMARY_COLUMNS
     assert summary.agg(F.sum("n_artigos")).first()[0] == unique
@@ -87,7 +90,7 @@ def test_a_second_run_in_the_same_folder_asks_only_for_what_failed(spark, tmp_pa
     for fn in (first, second):
         stages.run_all(spark, articles(spark), None, "policia nova", fn, "m", str(tmp_path), attempts=1,
                        timestamp_formats=["yyyy/MM/dd"], ordered=True)
-    labels = spark.read.parquet(str(tmp_path / "labels"))
+    labels = read_labels(spark, str(tmp_path / "labels"), "parquet")
     assert labels.count() == 60 and labels.where("label = 'n/a'").count() == 0
     keys = [(r.publishedAt, r.articleId, r.jsonIndex) for r in labels.collect()]
     assert keys == sorted(keys)
@@ -103,3 +106,50 @@ def test_event_tables_take_a_stored_summary(spark):
     summary = event_summary(clean_event_rows(rows))
     tables = stages.event_tables(rows.limit(0), summary=summary)
     assert tables["eventos_muito_positivos"].count() == 1
+
+
+def test_a_broken_run_goes_on_at_the_stage_that_broke(spark, tmp_path, monkeypatch):
+    articles(spark).write.parquet(str(tmp_path / "in"))
+    folder = str(tmp_path / "run")
+
+    def run(fn=answer, **more):
+        stages.run_all(spark, spark.read.parquet(str(tmp_path / "in")), None, "policia nova", fn, "m", folder, **more)
+
+    def fail(*args, **kwargs):
+        raise RuntimeError("broken")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(stages, "write_article_events", fail)
+        with pytest.raises(RuntimeError, match="broken"):
+            run()
+    done = []
+    with monkeypatch.context() as watched:
+        for name in ("phrase_articles", "answer_durably", "upsert_labels", "replace_table", "write_classified", "sentiment_tables"):
+            watched.setattr(stages, name, fail)
+        watched.setattr(stages, "write_article_events", lambda *a, real=stages.write_article_events, **k: done.append(1) or real(*a, **k))
+        run(fn=fail)
+    assert done == [1] and read_labels(spark, f"{folder}/labels", "parquet").where("label = 'n/a'").count() == 0
+    assert spark.read.parquet(f"{folder}/eventos_resumo").count() == 3
+    # the run is complete, so the next one begins anew
+    assert not [p for p in (tmp_path / "run" / "work" / "finished").iterdir() if not p.name.startswith(".")]
+
+
+def test_a_changed_parameter_redoes_its_stage_and_those_behind(spark, tmp_path, monkeypatch):
+    articles(spark).write.parquet(str(tmp_path / "in"))
+    log = []
+    for name in ("write_classified", "write_article_events"):
+        monkeypatch.setattr(stages, name, lambda *a, name=name, real=getattr(stages, name), **k: log.append(name) or real(*a, **k))
+    monkeypatch.setattr(stages.Progress, "end", lambda self: None)  # as if each run broke at its very end
+
+    def run(**more):
+        log.clear()
+        stages.run_all(spark, spark.read.parquet(str(tmp_path / "in")), None, "policia nova", answer, "m", str(tmp_path / "run"), **more)
+        return list(log)
+
+    assert run() == ["write_classified", "write_article_events"]
+    assert run() == []
+    assert run(ordered=True) == ["write_classified", "write_article_events"]
+    assert run(ordered=True, min_articles=2) == []
+    spark.read.parquet(str(tmp_path / "in")).limit(50).write.parquet(str(tmp_path / "fewer"))
+    stages.run_all(spark, spark.read.parquet(str(tmp_path / "fewer")), None, "policia nova", answer, "m", str(tmp_path / "run"))
+    assert read_labels(spark, str(tmp_path / "run" / "labels"), "parquet").count() == 50

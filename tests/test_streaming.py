@@ -1,4 +1,5 @@
 import json
+import re
 
 from pyspark.sql import functions as F
 
@@ -123,3 +124,61 @@ def test_shared_folder_comes_from_the_session(spark):
     base = spark.conf.get("spark.checkpoint.dir")
     a, b = shared_path(spark, "x"), shared_path(spark, "x")
     assert a != b and a.startswith(base)
+
+
+def test_what_a_batch_reads_does_not_grow_with_the_store(spark, tmp_path):
+    """Ten times the articles in the key base, the same batch: as many rows of keys are read."""
+    read = {}
+    for n in (2_000, 20_000):
+        store = str(tmp_path / str(n))
+        existing = spark.range(1, n + 1).select(
+            F.concat(F.lit("d"), "id").alias("recordKey"), F.concat(F.lit("d"), "id").alias("id"), F.col("id").alias("articleId"),
+            F.col("id").alias("jsonIndex"), F.lit("neutro").alias("label"), F.lit("e").alias("evento_chave"))
+        I.create_store(spark, store, existing, rows_per_bucket=100)
+        arrived = spark.createDataFrame([(f"d{n - i}", n - i, n - i) for i in range(3)], "id string, articleId long, jsonIndex long")
+        known = I.known_keys(spark, store, arrived, 0)
+        # what the folders of the touched buckets hold is read, and nothing else
+        read[n] = known.count()
+        plan = known._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"PartitionFilters: \[[^]]*bucket#\d+ IN", plan) or re.search(r"PartitionFilters: \[[^]]*bucket", plan)
+        assert I.number_arrivals(arrived, known).count() == 0 and read[n] >= 3
+    assert read[20_000] <= 1.5 * read[2_000] < 0.3 * 2_000
+
+
+def test_a_batch_reads_no_labels_and_no_earlier_candidates(spark, tmp_path, monkeypatch):
+    store = str(tmp_path / "s")
+    I.create_store(spark, store)
+    I.classify_batch(normalize_articles(arrivals(spark, 4)), 0, store, answer, "m")
+    monkeypatch.setattr(I, "stored_rows", None)
+    seen = []
+    monkeypatch.setattr(I, "answer_durably", lambda prompts, *a, **k: seen.append(prompts.inputFiles()) or real(prompts, *a, **k))
+    from newslens.operators.classify import answer_durably as real
+
+    I.classify_batch(normalize_articles(arrivals(spark, 8)), 1, store, answer, "m")
+    assert all("/candidates/batch=1/" in f or "/pending/batch=0/" in f for f in seen[0])
+
+
+def test_keys_are_folded_and_a_repeated_batch_still_changes_nothing(spark, tmp_path):
+    store = str(tmp_path / "s")
+    I.create_store(spark, store)
+    df = arrivals(spark, 30).withColumn("rawText", F.when(F.col("jsonIndex") == 9, "fails").otherwise(F.col("rawText")))
+    for batch in range(3):
+        I.classify_batch(normalize_articles(df.where(F.col("jsonIndex") % 3 == batch)), batch, store, answer, "m", attempts=1)
+    before = as_set(I.stored_labels(spark, store))
+    I.compact_keys(spark, store, rows_per_bucket=4)
+    assert not (tmp_path / "s" / "arrivals" / "batch=1").exists()
+    I.classify_batch(normalize_articles(df.where(F.col("jsonIndex") % 3 == 2)), 2, store, answer, "m", attempts=1)
+    assert as_set(I.stored_labels(spark, store)) == before
+    I.classify_batch(normalize_articles(df), 3, store, lambda p: '{"label":"neutro","evento_chave":"k"}', "n")
+    assert [r.recordKey for r in I.stored_labels(spark, store).where("model = 'n'").collect()] == ["d9"]
+
+
+def test_a_stream_folds_its_keys(spark, tmp_path, monkeypatch):
+    df = arrivals(spark, 12)
+    for part in range(4):
+        df.where(F.col("jsonIndex") % 4 == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(RAW).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    store = str(tmp_path / "store")
+    I.classify_stream(stream, store, f"{store}/checkpoint", answer, "m", "nova obra", normalize_articles, fold_every=2).awaitTermination()
+    assert len(list((tmp_path / "store" / "arrivals").glob("batch=*"))) <= 2
+    assert I.stored_labels(spark, store).count() == 9
