@@ -66,29 +66,32 @@ def test_toxicity_of_hard_rows(spark, tmp_path):
             assert not any(r.toxic for r in rows)
 
 
+SIZE = 4096
+
+
 def tiny(seed=2):
     random = np.random.default_rng(seed)
-    return {k: v + random.normal(0, 0.3, v.shape).astype(np.float32) for k, v in L.starting_parameters(np.ones(L.SIZE)).items()}
+    return {k: v + random.normal(0, 0.3, v.shape).astype(np.float32) for k, v in L.starting_parameters(np.ones(SIZE)).items()}
 
 
 def test_probabilities_of_all_tokens_sum_to_one():
     p = tiny()
     ids = np.array([5, 70, 4000, 5, 9], np.int32)
-    around = np.repeat(L.contexts(ids, np.array([2])), L.SIZE, axis=1)
-    logs = L.forward(p, around, np.arange(L.SIZE, dtype=np.int32))[3]
+    around = np.repeat(L.contexts(ids, np.array([2]), SIZE), SIZE, axis=1)
+    logs = L.forward(p, around, np.arange(SIZE, dtype=np.int32))[3]
     assert np.exp(logs).sum() == pytest.approx(1, abs=1e-4)
 
 
 def test_contexts_are_the_words_on_both_sides():
-    got = L.contexts(np.array([10, 11, 12], np.int32), np.arange(3))
-    none = L.SIZE
+    none = SIZE
+    got = L.contexts(np.array([10, 11, 12], np.int32), np.arange(3), none)
     assert got.T.tolist() == [[none, none, 11, 12], [none, 10, 12, none], [10, 11, none, none]]
 
 
 def test_steps_follow_the_slope():
     p, eps = tiny(), 1e-2
     ids = np.arange(100, 140, dtype=np.int32)
-    around = L.contexts(ids, np.arange(40))
+    around = L.contexts(ids, np.arange(40), SIZE)
     trainer = L.Trainer(p)
     for name in trainer.sums:
         trainer.sums[name][:] = 1e12  # so that steps are tiny and show the slope alone
@@ -109,28 +112,84 @@ def test_steps_follow_the_slope():
         assert step == pytest.approx(slope, rel=0.05, abs=2e-4), name
 
 
-def test_training_helps_and_order_matters(spark):
+def sentences(spark, n=400):
     sentence = ["the cat sat on the mat and the dog ran to the door", "a bird flew over the old house near the river"]
-    docs = spark.createDataFrame([(i, " ".join([sentence[i % 2]] * 20)) for i in range(400)], "doc_id long, text string").repartition(4, "doc_id")
-    numbers, seen = L.vocabulary(L.word_counts(docs))
-    assert numbers[b"the"] == 0 and seen[0] == 200 * 20 * 4 + 200 * 20 * 2
-    start = L.starting_parameters(seen)
-    model = L.trained(docs, numbers, start)
-    ids = L.token_numbers(sentence[0].encode(), numbers)
+    docs = spark.createDataFrame([(i, " ".join([sentence[i % 2]] * 20)) for i in range(n)], "doc_id long, text string")
+    return sentence, docs
+
+
+def test_training_helps_and_order_matters(spark):
+    sentence, docs = sentences(spark)
+    words = L.vocabulary(L.word_counts(docs))
+    assert words.numbers[b"the"] == 0 and words.seen[0] == 200 * 20 * 4 + 200 * 20 * 2 and words.seen.sum() == 400 * 20 * 11.5
+    numbered = L.numbered_texts(docs, words)
+    start = L.starting_parameters(words.seen)
+    model = L.trained(numbered, start, 92_000, rounds=1, shard_tokens=10_000)
+    ids = L.Numbering(words).read(sentence[0].encode())[0].astype(np.int32)
     mixed = np.random.default_rng(0).permutation(ids)
     scores = [L.log_probability(start, ids), L.log_probability(model, mixed), L.log_probability(model, ids)]
     assert scores[0] < scores[2] - 2 and scores[1] < scores[2] - 2, scores
-    copies = [r for r in docs.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if r]
-    assert len(copies) > 1  # so the model is an average
+    # the same from other files and tasks, and better by more rounds over the same rows
+    again = L.trained(L.numbered_texts(docs.repartition(7), words), start, 92_000, rounds=1, shard_tokens=10_000)
+    assert all(np.array_equal(model[k], again[k]) for k in model)
+    more = L.trained(numbered, start, 92_000, rounds=4, shard_tokens=10_000)
+    assert L.log_probability(more, ids) > scores[2]
+
+
+def test_scores_do_not_hang_on_files(spark, tmp_path):
+    docs = table(spark, hard.SF, "documents").select("doc_id", "text").where("doc_id < 120")
+    scores = []
+    for files in (1, 8):
+        docs.repartition(files).write.parquet(f"{tmp_path}/{files}")
+        scores.append(sorted(map(str, L.pseudo_likelihood(spark.read.parquet(f"{tmp_path}/{files}")).collect())))
+    assert scores[0] == scores[1]
+
+
+def test_scores_are_sums_over_words_by_brute_force(spark, monkeypatch):
+    """Own, shared and rare words: the number's probability times the word's share of it, and all words' add up to one."""
+    random = np.random.default_rng(5)
+    texts = [" ".join(f"w{int(x)}" for x in random.zipf(1.3, 40) % 400) for _ in range(60)] + ["W1 w1", None, "z" * 90 + " w1", "z" * 90, " "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    models = []
+    monkeypatch.setattr(L, "trained", lambda *a, real=L.trained: models.append(real(*a)) or models[-1])
+    got = {r.doc_id: r for r in L.pseudo_likelihood(docs, rounds=1, known=60).collect()}
+    counts = {}
+    for text in texts:
+        for w in (text or "").lower().encode().split():
+            counts[w] = counts.get(w, 0) + 1
+    bands = L.bands_for(len(counts))
+    own = bands**2 - bands**2 // 4
+    ranked = sorted(counts, key=lambda w: (-counts[w], L.word_key(w)))
+    number = {w: i if i < own else own + L.signed_hash(w) % (bands**2 - own) for i, w in enumerate(ranked)}
+    seen = np.bincount(list(number.values()), [counts[w] for w in number], bands**2)
+    for i, text in enumerate(texts):
+        words = (text or "").lower().encode().split()
+        ids = np.array([number[w] for w in words], np.int32)
+        expected = L.log_probability(models[0], ids) + sum(np.log(counts[w] / seen[number[w]]) for w in words)
+        assert got[i].n_tokens == len(words) and got[i].log_likelihood == pytest.approx(expected, abs=1e-4)
+    # over all words at one place
+    around = np.repeat(L.contexts(np.array([1, 0, 2], np.int32), np.array([1]), bands**2), len(ranked), axis=1)
+    logs = L.forward(models[0], around, np.array([number[w] for w in ranked], np.int32))[3]
+    share = np.array([counts[w] / seen[number[w]] for w in ranked])
+    whole = L.forward(models[0], np.repeat(around[:, :1], bands**2, axis=1), np.arange(bands**2, dtype=np.int32))[3]
+    assert (np.exp(logs) * share).sum() == pytest.approx(np.exp(whole)[np.unique(list(number.values()))].sum(), abs=1e-5)
+    assert len(ranked) > 60 > own
+
+
+def test_random_strings_score_below_real_documents(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    random = np.random.default_rng(0)
+    junk = " ".join("".join(random.choice(list("bcdfghjklmnpqrstvwxz"), random.integers(3, 9))) for _ in range(300))
+    scored = L.pseudo_likelihood(docs.union(spark.createDataFrame([(-1, junk)], docs.schema))).where("n_tokens > 0").toPandas()
+    mine = scored[scored.doc_id == -1].mean_log_likelihood.iloc[0]
+    assert (scored[scored.doc_id != -1].mean_log_likelihood > mine).mean() > 0.95
 
 
 def test_training_predicts_every_token():
-    texts = [b"a b c d e", None, b"", b" ".join(b"w%d" % i for i in range(3000)), b"b"]
-    numbers = {b"a": 0, b"b": 1, b"w7": 2}
-    batches = list(L.examples(texts, numbers))
-    ids = [i for i in (L.token_numbers(t, numbers) for t in texts) if len(i)]
-    assert np.concatenate([t for _, t in batches]).tolist() == np.concatenate(ids).tolist()
-    assert np.array_equal(np.concatenate([a for a, _ in batches], axis=1), np.concatenate([L.contexts(i, np.arange(len(i))) for i in ids], axis=1))
+    texts = [np.array(x, np.int32) for x in ([1, 2, 3, 4, 5], [], list(range(3000)), [2])]
+    batches = list(L.examples(texts, SIZE))
+    assert np.concatenate([t for _, t in batches]).tolist() == np.concatenate(texts).tolist()
+    assert np.array_equal(np.concatenate([a for a, _ in batches], axis=1), np.concatenate([L.contexts(i, np.arange(len(i)), SIZE) for i in texts], axis=1))
     assert all(len(t) >= L.BATCH for _, t in batches[:-1])
 
 
@@ -138,15 +197,19 @@ def test_average_is_weighed_by_tokens():
     import pyarrow as pa
 
     def row(n, value):
-        return pa.RecordBatch.from_arrays([pa.array([1]), pa.array([0]), pa.array([n]), pa.array([(np.full(3, value) * n).tobytes()])],
-                                          names=["key", "chunk", "n", "total"])
+        return pa.RecordBatch.from_arrays([pa.array([1]), pa.array([0]), pa.array([0]), pa.array([n]), pa.array([(np.full(3, value) * n).tobytes()])],
+                                          names=["key", "chunk", "shard", "n", "total"])
 
     (out,) = list(L._summed(iter([row(1.0, 2.0), row(3.0, 6.0)])))
-    assert (np.frombuffer(out.column(3)[0].as_py()) / out.column(2)[0].as_py()).tolist() == [5.0] * 3
+    assert (np.frombuffer(out.column(4)[0].as_py()) / out.column(3)[0].as_py()).tolist() == [5.0] * 3
+
+
+def test_numbers_grow_with_the_words():
+    assert [L.bands_for(n) for n in (0, 100, 90_000, 3_000_000, 10**12)] == [8, 8, 17, 42, 256]
 
 
 def test_pieces_of_a_long_text_score_like_the_whole(monkeypatch):
-    p, ids = tiny(), np.random.default_rng(3).integers(0, L.SIZE, 500).astype(np.int32)
+    p, ids = tiny(), np.random.default_rng(3).integers(0, SIZE, 500).astype(np.int32)
     whole = L.log_probability(p, ids)
     monkeypatch.setattr(L, "PIECE", 37)
     assert L.log_probability(p, ids) == pytest.approx(whole, rel=1e-5)

@@ -58,19 +58,46 @@ def test_decisions_on_hard_rows(spark, tmp_path):
     assert "0" in good and not {"3", "4", "5", "6", "7", "8", "9"} & good
 
 
-def brute_quality(docs, labels):
-    order = [r for r in labels if r[1] == 1]
-    trusted = {r[0] for r in order}
-    grams = {d: Q.grams((t or "").encode().split(), Q.BUCKETS) for d, t, _ in docs}
+def brute_verdicts(docs, labels):
+    """Every document's verdict, from the rules as they are described: (id, kept) in the order of ``docs``."""
+    quality = {}
+    for d, q, _ in labels:
+        if q in (0, 1):
+            quality[d] = max(q, quality.get(d, 0))
+    grams = [Q.grams((t or "").encode().split(), Q.BUCKETS) for _, t, _ in docs]
+    failed = [brute_base(t)[5] for _, t, _ in docs]
     raw, good = np.zeros(Q.BUCKETS), np.zeros(Q.BUCKETS)
-    for d, g in grams.items():
-        np.add.at(raw, g, 1)
-        if d in trusted:
-            np.add.at(good, g, 1)
+    for (d, *_), g in zip(docs, grams):
+        raw += np.bincount(g, minlength=Q.BUCKETS)
+        good += np.bincount(g, minlength=Q.BUCKETS) * (quality.get(d) == 1)
     share = (raw + 1) / (raw.sum() + Q.BUCKETS)
-    ratio = np.log((good + share * Q.BUCKETS * 0.1) / (good.sum() + Q.BUCKETS * 0.1)) - np.log(share)
-    ratio = ratio.astype(np.float32)
-    return [(d, t, s) for d, t, s in docs if not brute_base(t)[5] and float(np.mean(ratio[grams[d]], dtype=np.float64)) >= Q.THRESHOLD]
+
+    def score(d, g, smoothing):
+        """Mean log ratio; a trusted document is left out of the trusted counts."""
+        own = np.bincount(g, minlength=Q.BUCKETS) * (quality.get(d) == 1)
+        ratio = np.log((good - own + share * Q.BUCKETS * smoothing) / (good.sum() + Q.BUCKETS * smoothing)) - np.log(share)
+        return float(ratio[g].mean()) if len(g) else 0.0
+
+    scores = {s: [score(d, g, s) for (d, *_), g in zip(docs, grams)] for s in Q.SMOOTHINGS}
+
+    def parted(s):
+        """How well the best cut parts good from bad labelled documents, and the cut; scores are compared in thousandths."""
+        known = [(quality[d], math.floor(x * Q.STEPS)) for (d, *_), x, f in zip(docs, scores[s], failed) if d in quality and not f]
+        best = None
+        for at in sorted({x for _, x in known}):
+            kept, let_in = (sum(x >= at for q, x in known if q == which) / sum(q == which for q, _ in known) for which in (1, 0))
+            if best is None or kept - let_in > best[0] + 1e-12:
+                below = [x for _, x in known if x < at]
+                best = (kept - let_in, ((max(below) + 1 if below else at) + at) / 2 / Q.STEPS)
+        return best
+
+    found = {s: parted(s) for s in Q.SMOOTHINGS}
+    smoothing = min(Q.SMOOTHINGS, key=lambda s: (-round(found[s][0], 12), s))
+    return [(d, not f and x >= found[smoothing][1]) for (d, *_), x, f in zip(docs, scores[smoothing], failed)]
+
+
+def brute_quality(docs, labels):
+    return [doc for doc, (_, kept) in zip(docs, brute_verdicts(docs, labels)) if kept]
 
 
 def brute_lines_left(docs):
@@ -124,6 +151,14 @@ def test_whole_pipeline_equals_brute_force(spark):
     assert all(r.n_chars == len(r.text) for r in got)
 
 
+@pytest.mark.parametrize("sf", [hard.SF, "/root/testdata/sf0.01"])
+def test_verdicts_equal_brute_force(spark, sf):
+    docs = [(r.doc_id, r.text, r.source) for r in table(spark, sf, "documents").collect()]
+    labels = [tuple(r) for r in table(spark, sf, "labels").collect()]
+    got = {r.doc_id: r.kept for r in Q.op8_quality_rules(spark, sf).collect()}
+    assert got == dict(brute_verdicts(docs, labels)) and 0 < sum(got.values()) < len(got)
+
+
 def test_clean_labelled_documents_pass_the_rules(spark):
     sf = "/root/testdata/sf0.01"
     docs = table(spark, sf, "documents")
