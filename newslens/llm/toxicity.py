@@ -2,8 +2,8 @@
 
 Categories have an order. Each has a logistic model over the hashed four-byte pieces a
 lower-cased text contains, which also tell insults inside compound words; from the second on, a model also sees the earlier categories'
-log-odds. While a later model is trained, those come out of fold: every document's
-earlier log-odds are from models that were fitted without its fold, as they will be for
+probabilities. While a later model is trained, those come out of fold: every document's
+earlier probabilities are from models that were fitted without its fold, as they will be for
 documents nobody has seen. Equal texts share a fold. The cut of a category's probability is
 the one of greatest F1 among the out-of-fold predictions.
 
@@ -13,7 +13,8 @@ lowest by a hash of their id. The driver gets the sample's sets of pieces (at mo
 document of the corpus is scored by its whole text.
 
 Cases: a null or empty text has no pieces and gets the models' constants. A row of any id, repeated or null,
-is scored by itself. Several labels of one id: the greater counts. A category without
+is scored by itself. Several labels of one id: the greater counts. Several documents of a labelled id: one of them is in
+the sample. A document without a label of some category takes no part in that category's fit. A category without
 both kinds of examples, or no labels at all: its probability is the (smoothed) share of positives,
 and nothing is flagged. Empty tables give no rows. Other columns are not read.
 """
@@ -54,7 +55,7 @@ class Link:
     """One model of the chain."""
 
     pieces: np.ndarray  # weight per bucket
-    earlier: np.ndarray  # weight per earlier category's log-odds
+    earlier: np.ndarray  # weight per earlier category's probability
     constant: float
     cut: float = 1.1  # flag at or above this probability
 
@@ -140,37 +141,38 @@ def _best_cut(z: np.ndarray, y: np.ndarray) -> float:
 def fit_chain(
     rows: list[np.ndarray], labels: np.ndarray, folds: np.ndarray, buckets: int = BUCKETS, least: int = MIN_DOCUMENTS
 ) -> list[Link]:
-    """Models in the order of the columns of ``labels`` (0 or 1, one row per sampled document)."""
+    """Models in the order of the columns of ``labels`` (0, 1 or NaN where missing, one row per sampled document)."""
     sets = PieceSets(rows, buckets, least)
     n, categories = labels.shape
     earlier, chain = np.zeros((n, 0)), []
     for c in range(categories):
-        y = labels[:, c].astype(float)
-        if not 0 < y.sum() < n:
-            share = (y.sum() + 0.5) / (n + 1)
-            odds = float(np.log(share / (1 - share)))
-            chain.append(Link(np.zeros(buckets, np.float32), np.zeros(c), odds))
-            earlier = np.column_stack([earlier, np.full(n, odds)])
+        known = ~np.isnan(labels[:, c].astype(float))
+        y = np.where(known, labels[:, c], 0).astype(float)
+        if not 0 < y.sum() < known.sum():
+            share = (y.sum() + 0.5) / (known.sum() + 1)
+            chain.append(Link(np.zeros(buckets, np.float32), np.zeros(c), float(np.log(share / (1 - share)))))
+            earlier = np.column_stack([earlier, np.full(n, share)])
             continue
         k, unseen = len(sets.kept), np.zeros(n)
         for fold in np.unique(folds):
-            x = _fit(sets, earlier, y, folds != fold)
+            x = _fit(sets, earlier, y, known & (folds != fold))
             z = sets.scores(x[:k]) + earlier @ x[k:-1] + x[-1]
             unseen[folds == fold] = z[folds == fold]
-        x = _fit(sets, earlier, y, np.ones(n, bool))
+        x = _fit(sets, earlier, y, known)
         pieces = np.zeros(buckets, np.float32)
         pieces[sets.kept] = x[:k]
-        chain.append(Link(pieces, x[k:-1], float(x[-1]), _best_cut(unseen, y)))
-        earlier = np.column_stack([earlier, unseen])
+        chain.append(Link(pieces, x[k:-1], float(x[-1]), _best_cut(unseen[known], y[known])))
+        earlier = np.column_stack([earlier, 1 / (1 + np.exp(-unseen))])
     return chain
 
 
 def score(chain: list[Link], found: np.ndarray) -> list[float]:
     """Probabilities of one document's categories, each from its pieces and the earlier ones."""
-    odds: list[float] = []
+    p: list[float] = []
     for link in chain:
-        odds.append(float(link.pieces[found].sum(dtype=np.float64) + link.earlier @ np.array(odds) + link.constant))
-    return [float(1 / (1 + np.exp(-z))) for z in odds]
+        z = link.pieces[found].sum(dtype=np.float64) + link.earlier @ np.array(p) + link.constant
+        p.append(float(1 / (1 + np.exp(-z))))
+    return p
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, categories: list[str], limit: int = SAMPLE, buckets: int = BUCKETS):
@@ -184,11 +186,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, categories: list[str], l
         ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sets, np.empty(0, np.int32)])))
 
-    # The sample has a fixed number of rows, so it may be sent to all tasks.
+    # The sample has a fixed number of rows, so it may be sent to all tasks. One document per id comes back.
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id")
+    one = texts.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     rows = (
-        docs.select("doc_id", "text")
-        .join(F.broadcast(chosen), "doc_id")
-        .select("doc_id", "text", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).alias("fold"), *(F.coalesce(f"_{c}", F.lit(0)).alias(f"_{c}") for c in categories))
+        one.join(F.broadcast(chosen), "doc_id")
+        .select("doc_id", "text", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).alias("fold"), *(F.col(f"_{c}").cast("double") for c in categories))
         .select("doc_id", "fold", *(f"_{c}" for c in categories), found("text").alias("pieces"))
         .toArrow()
         .sort_by([("doc_id", "ascending"), ("fold", "ascending")])
@@ -196,7 +199,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, categories: list[str], l
     sets = rows["pieces"].combine_chunks()
     flat, ends = sets.flatten().to_numpy(), np.cumsum(pa.compute.list_value_length(sets).to_numpy(zero_copy_only=False))
     pieces = np.split(flat, ends[:-1]) if len(sets) else []
-    y = np.column_stack([rows[f"_{c}"].to_numpy() for c in categories]) if len(pieces) else np.zeros((0, len(categories)))
+    y = np.column_stack([rows[f"_{c}"].to_numpy().astype(float) for c in categories]) if len(pieces) else np.zeros((0, len(categories)))
     return pieces, y, rows["fold"].to_numpy()
 
 

@@ -35,6 +35,41 @@ def test_later_models_use_earlier_categories():
     assert ((p[:, 1] >= chain[1].cut) == second).mean() > 0.85
 
 
+def test_scores_feed_probabilities_on():
+    random = np.random.default_rng(4)
+    chain = [T.Link(random.normal(size=16), random.normal(size=c), float(random.normal())) for c in range(3)]
+    found = np.array([1, 5, 9], np.int32)
+    p = []
+    for link in chain:
+        z = sum(link.pieces[i] for i in (1, 5, 9)) + sum(w * q for w, q in zip(link.earlier, p)) + link.constant
+        p.append(1 / (1 + np.exp(-z)))
+    assert T.score(chain, found) == pytest.approx(p)
+    assert T.score(chain, np.empty(0, np.int32))[0] == pytest.approx(1 / (1 + np.exp(-chain[0].constant)))
+
+
+def test_a_missing_label_is_left_out_of_its_category():
+    random = np.random.default_rng(5)
+    rows = [np.unique(random.integers(0, 20, 6).astype(np.int32)) for _ in range(200)]
+    y = np.column_stack([[1 in r for r in rows], [2 in r for r in rows]]).astype(float)
+    missing = y.copy()
+    missing[::3, 1] = np.nan
+    folds = np.arange(200) % 4
+    chain, whole = T.fit_chain(rows, missing, folds, buckets=32, least=1), T.fit_chain(rows, y, folds, buckets=32, least=1)
+    assert np.array_equal(chain[0].pieces, whole[0].pieces)
+    # as if those documents were not there, but for the first category's probabilities
+    kept = ~np.isnan(missing[:, 1])
+    alone = T.fit_chain([r for r, k in zip(rows, kept) if k], missing[kept][:, 1:], folds[kept], buckets=32, least=1)
+    assert np.abs(chain[1].pieces - alone[0].pieces).max() < 0.3 < chain[1].pieces[2]
+
+
+def test_one_document_per_labelled_id_reaches_the_driver(spark):
+    docs = spark.createDataFrame([(1, f"text {i % 3}") for i in range(500)] + [(2, "b"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, None), (1, 0, 1), (2, None, 0), (3, 0, None)], "doc_id long, a int, b int")
+    pieces, y, folds = T.labelled_sample(docs, labels, ["a", "b"])
+    assert len(pieces) == len(folds) == 3
+    assert np.array_equal(y, [[1, 1], [np.nan, 0], [0, np.nan]], equal_nan=True)
+
+
 def test_the_fit_is_the_minimum():
     random = np.random.default_rng(1)
     rows = [np.unique(random.integers(0, 6, 3).astype(np.int32)) for _ in range(80)]
