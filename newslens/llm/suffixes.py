@@ -17,9 +17,11 @@ consecutive ones. Equal passages choose equal places, so a passage of at least
    tasks; each range also gets the nearest row of each adjoining range.
 4. Each suffix is compared with its two neighbours, which share the longest
    stretch with it, and the match is extended to the right, or the left, as far as the words agree.
-5. Runs and extended matches merge; a span of ``MIN_WORDS`` words or more is reported.
+5. Runs and extended matches merge into spans of ``MIN_WORDS`` words or more.
+6. Matches that touch may be with different partners. So spans whose whole content is not found elsewhere are cut down to those of
+   their runs of ``MIN_WORDS`` words that are, by the hashes of such runs inside spans.
 
-Texts are read twice, the second time for the words around run ends.
+Texts are read twice, the second time for the words of runs and around their ends.
 
 Cases: null, empty and blank texts, and those shorter than ``HEAD`` words, have no
 suffix. Rows equal in ``doc_id`` and text are one document. A passage repeated within one
@@ -30,13 +32,16 @@ hashes, the head by 64 bits, each word around it by 32.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newslens.llm.common import as_bytes, gram_hashes, hashed_texts, minima_within, stored, table, with_small_batches
+from newslens.llm.common import as_bytes, bloom_filter, gram_hashes, hashed_texts, minima_within, passes, slices, stored, table, with_small_batches
 
 MIN_WORDS = 50
 WIDTH = 24
@@ -91,44 +96,54 @@ def runs(repeated: DataFrame, head: int) -> DataFrame:
     )
 
 
-def with_surroundings(docs: DataFrame, places: DataFrame, width: int, head: int) -> DataFrame:
-    """(doc_id, digest, at, head, room, before, after) of ``places`` (doc_id, digest, at, first, last).
+def with_surroundings(docs: DataFrame, places: DataFrame, runs_: DataFrame, width: int, head: int) -> DataFrame:
+    """(doc_id, digest, at, head, room, before, after, words) of ``places`` (doc_id, digest, at, first, last) and ``runs_`` (doc_id, digest, first, last).
 
-    ``room`` words follow the head. ``before`` (nearest word first) is there for ``first`` places, ``after`` for ``last`` ones.
+    ``room`` words follow the head. ``before`` (nearest word first) is there for ``first`` places, ``after`` for ``last`` ones. A run has
+    only ``at``, ``width`` words before it or where the text begins, and ``words``, the hashes of its words and of ``width`` on either side.
     """
-    names = ["at", "head", "room", "before", "after"]
-    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+    names = ["at", "head", "room", "before", "after", "words"]
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 
     def of_some(texts: list[bytes | None], wanted: pa.Array) -> pa.Array:
         words, begin, end = hashed_texts(texts)
         document = np.repeat(np.arange(len(end)), pc.list_value_length(wanted).to_numpy(zero_copy_only=False))
         rows = wanted.flatten()
-        at, first, last = (rows.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-        place = at + begin[document]
+        at, first, last, up_to = (rows.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+        place, run = at + begin[document], up_to > 0
         # Around a text's ends these are words of other texts; ``at`` and ``room`` cut them off.
-        small = np.concatenate([np.zeros(width, ">u4"), (words >> np.uint64(32)).astype(">u4"), np.zeros(width, ">u4")])
+        none = np.zeros(width, ">u4")
+        small = np.concatenate([none, (words >> np.uint64(32)).astype(">u4"), none])
         around = np.lib.stride_tricks.sliding_window_view(small, width)
 
         def side(places: np.ndarray, chosen: np.ndarray, backwards: bool) -> pa.Array:
             shown = iter([r.tobytes() for r in (around[places[chosen]][:, ::-1] if backwards else around[places[chosen]])])
             return pa.array([next(shown) if c else None for c in chosen.tolist()], pa.binary())
 
+        heads = np.zeros(len(at), np.int64)
+        heads[~run] = gram_hashes(words, head)[place[~run]].view(np.int64)
+        stops = np.minimum(begin[document] + up_to, end[document])
+        shown = [words[a:z].tobytes() if r else None for a, z, r in zip(place.tolist(), stops.tolist(), run.tolist())]
         columns = [
             pa.array(at, pa.int32()),
-            pa.array(gram_hashes(words, head)[place].view(np.int64), pa.int64()),
+            pa.array(heads, pa.int64()),
             pa.array(end[document] - place - head, pa.int32()),
             side(place, first, True),
             side(place + width + head, last, False),
+            pa.array(shown, pa.binary()),
         ]
         ends = np.cumsum(np.bincount(document, minlength=len(end)))
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.StructArray.from_arrays(columns, names))
 
-    @F.arrow_udf("array<struct<at:int,head:bigint,room:int,before:binary,after:binary>>")
+    @F.arrow_udf("array<struct<at:int,head:bigint,room:int,before:binary,after:binary,words:binary>>")
     def look(texts: pa.Array, wanted: pa.Array) -> pa.Array:
         parts = [of_some(as_bytes(texts.slice(i, 256)), wanted.slice(i, 256)) for i in range(0, len(texts), 256)]
         return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.struct(list(zip(names, kinds)))))
 
-    by_document = places.groupBy(*_OWN).agg(F.sort_array(F.collect_set(F.struct("at", "first", "last"))).alias("wanted"))
+    no = F.lit(False)
+    whole = runs_.select(*_OWN, F.greatest(F.col("first") - width, F.lit(0)).alias("at"), no.alias("f"), no.alias("l"), (F.col("last") + head + width).alias("up_to"))
+    both = places.select(*_OWN, "at", "first", "last", F.lit(0).alias("up_to")).union(whole)
+    by_document = both.groupBy(*_OWN).agg(F.sort_array(F.collect_set(F.struct("at", "first", "last", "up_to"))).alias("wanted"))
     by_document = by_document.withColumnsRenamed({"doc_id": "w_id", "digest": "w_digest"})
     texts = docs.select("doc_id", _digest(), "text")
     met = texts.join(by_document, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("digest") == F.col("w_digest")))
@@ -146,7 +161,7 @@ def _agreeing(width: int):
 
 
 def neighbour_matches(suffixes: DataFrame, by: str, width: int, head: int) -> DataFrame:
-    """(doc_id, digest, begin, end, other_id): each suffix against its neighbours in the order of (head, ``by``).
+    """(doc_id, digest, at, begin, end, other_id): each suffix against its neighbours in the order of (head, ``by``).
 
     ``by`` is the side on which the match is extended, ``before`` or ``after``.
     """
@@ -169,15 +184,85 @@ def neighbour_matches(suffixes: DataFrame, by: str, width: int, head: int) -> Da
     left = F.least(shared, "at", "o.at") if by == "before" else F.lit(0)
     right = F.least(shared, "room", "o.room") if by == "after" else F.lit(0)
     return pairs.select(
-        *_OWN, (F.col("at") - left).alias("begin"), (F.col("at") + head + right).alias("end"), F.col("o.doc_id").alias("other_id")
+        *_OWN, "at", (F.col("at") - left).alias("begin"), (F.col("at") + head + right).alias("end"), F.col("o.doc_id").alias("other_id")
+    )
+
+
+def span_words(spans: DataFrame, runs_: DataFrame) -> DataFrame:
+    """``spans`` with ``content``, a hash of their words, and ``words``, their hashes, from ``runs_`` (doc_id, digest, at, words), which cover them."""
+    kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("content", pa.int64()), ("words", pa.binary())]))
+
+    @F.arrow_udf("array<struct<begin:int,end:int,content:bigint,words:binary>>")
+    def cut(wanted: pa.Array, given: pa.Array) -> pa.Array:
+        out = []
+        for spans_, stretches in zip(wanted.to_pylist(), given.to_pylist()):
+            length = max(s["at"] + len(s["words"]) // 8 for s in stretches)
+            text = np.zeros(max(length, max(s["end"] for s in spans_)), np.uint64)
+            for s in stretches:
+                part = np.frombuffer(s["words"], np.uint64)
+                text[s["at"] : s["at"] + len(part)] = part
+            found = []
+            for s in spans_:
+                data = text[s["begin"] : s["end"]].tobytes()
+                content = xxhash.xxh3_64_intdigest(data)
+                found.append({"begin": s["begin"], "end": s["end"], "content": content - (1 << 64) if content >> 63 else content, "words": data})
+            out.append(found)
+        return pa.array(out, kind)
+
+    own = {"doc_id": "r_id", "digest": "r_digest"}
+    given = runs_.groupBy(*_OWN).agg(F.collect_set(F.struct("at", "words")).alias("given")).withColumnsRenamed(own)
+    wanted = spans.groupBy(*_OWN).agg(F.collect_list(F.struct("begin", "end")).alias("wanted"))
+    met = wanted.join(given, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest")))
+    return met.select(*_OWN, F.explode(cut("wanted", "given")).alias("s")).select(*_OWN, "s.*", F.xxhash64(*_OWN).alias("document"))
+
+
+def _windows(words: int, field=None):
+    """(document, begin, at, hash): the runs of so many ``words`` of each row (document, begin, words), or those that may be in a filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 256):
+            for document, begin, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                hashes = gram_hashes(np.frombuffer(data, np.uint64), words)
+                at = np.arange(len(hashes)) if field is None else np.flatnonzero(passes(field.value, hashes))
+                columns = [pa.array(np.full(len(at), document)), pa.array(np.full(len(at), begin), pa.int32()), pa.array(begin + at, pa.int32()), pa.array(hashes[at].view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["document", "begin", "at", "hash"])
+
+    return run
+
+
+def only_repeated(spans: DataFrame, runs_: DataFrame, min_words: int) -> DataFrame:
+    """``spans`` (doc_id, digest, begin, end, other_ids), those that are not found elsewhere as a whole cut down to runs of ``min_words`` words that are."""
+    shape = "document long, begin int, at int, hash long"
+    content = stored(span_words(spans, runs_), "span-words")
+    place = F.xxhash64("document", "begin")
+    whole = content.groupBy("content").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("content")
+    lone = stored(content.join(stored(whole, "repeated-spans"), "content", "left_anti"), "lone-spans")
+    mine = stored(lone.select("document", "begin", "words").mapInArrow(_windows(min_words), shape), "lone-windows")
+    # The filter stands before the exact join by hash.
+    shared = spans.sparkSession.sparkContext.broadcast(bloom_filter(mine.select("hash")))
+    like = content.select("document", "begin", "words").mapInArrow(_windows(min_words, shared), shape)
+    place = F.xxhash64("document", "at")
+    again = like.groupBy("hash").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("hash")
+    kept = mine.join(stored(again, "repeated-windows"), "hash", "left_semi")
+    in_order = Window.partitionBy("document", "begin").orderBy("at")
+    opens = F.coalesce((F.col("at") - F.lag("at").over(in_order) > min_words).cast("int"), F.lit(1))
+    parts = kept.withColumn("opens", opens).withColumn("part", F.sum("opens").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    parts = parts.groupBy("document", "begin", "part").agg(F.min("at").alias("from"), (F.max("at") + min_words).alias("to"))
+    rest = lone.select(*_OWN, "document", "begin").distinct().join(parts, ["document", "begin"]).select(*_OWN, "begin", "from", "to")
+    untouched = content.join(lone.select("document", "begin").distinct(), ["document", "begin"], "left_anti").distinct()
+    pieces = rest.unionByName(untouched.select(*_OWN, "begin", F.col("begin").alias("from"), F.col("end").alias("to"))).withColumnsRenamed(
+        {"doc_id": "p_id", "digest": "p_digest", "begin": "p_begin"}
     )
+    same = F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("digest") == F.col("p_digest")) & (F.col("begin") == F.col("p_begin"))
+    return spans.join(pieces, same).select(*_OWN, F.col("from").alias("begin"), F.col("to").alias("end"), "other_ids")
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, width: int = WIDTH) -> DataFrame:
     """(doc_id, digest, begin, end, n_words, other_ids): spans of ``min_words`` or more that occur elsewhere too.
 
     ``other_ids`` holds the documents next to the span's ends in the order of
-    suffixes, not all that share it. A span is made of matches that touch, which may be with different documents.
+    suffixes, not all that share it. Each word of a span lies in a run of ``min_words`` words that
+    occurs elsewhere; runs that touch or overlap may be shared with different documents.
     """
     head = min_words - width
     if width < 1 or head <= width:
@@ -196,11 +281,12 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, width: int = WID
     heads = in_run.where("first OR last").groupBy("head").agg(F.max("first").alias("first"), F.max("last").alias("last"))
     heads = stored(heads, "end-heads")
     edge = placed.join(heads, "head").select(*_OWN, "at", "first", "last")
-    around = stored(with_surroundings(docs, edge, width, head), "run-ends")
+    read = stored(with_surroundings(docs, edge, run, width, head), "run-ends")
+    around = read.where("words IS NULL")
     none = F.lit(None).cast(docs.schema["doc_id"].dataType)
     found = run.select(*_OWN, F.col("first").alias("begin"), (F.col("last") + head).alias("end"), none.alias("other_id"))
     for by in ("after", "before"):
-        found = found.unionByName(neighbour_matches(around, by, width, head))
+        found = found.unionByName(neighbour_matches(around, by, width, head).drop("at"))
     up_to = Window.partitionBy(*_OWN).orderBy("begin", "end").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.partitionBy(*_OWN).orderBy("begin", "end").rowsBetween(Window.unboundedPreceding, -1)
     opens = (F.col("begin") > F.coalesce(F.max("end").over(before), F.lit(-1))).cast("int")
@@ -208,7 +294,9 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, width: int = WID
     merged = spans.groupBy(*_OWN, "span").agg(
         F.min("begin").alias("begin"), F.max("end").alias("end"), F.sort_array(F.collect_set("other_id")).alias("other_ids")
     )
-    return merged.withColumn("n_words", F.col("end") - F.col("begin")).where(F.col("n_words") >= min_words).drop("span")
+    merged = merged.where(F.col("end") - F.col("begin") >= min_words).drop("span")
+    exact = only_repeated(merged, read.where("words IS NOT NULL").select(*_OWN, "at", "words"), min_words)
+    return exact.withColumn("n_words", F.col("end") - F.col("begin")).select(*_OWN, "begin", "end", "other_ids", "n_words")
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
