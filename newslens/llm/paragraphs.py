@@ -1,24 +1,26 @@
 """Repeated paragraphs by MinHash banding, exact verification and components.
 
-Two kinds of item are compared. A *paragraph* is a line of ``SHINGLE`` words or more;
-it is known by the hashes of its word shingles. A *section* lies between two
-words whose pair hash is the least among ``REACH`` on either side; it is cut by
-what it says alone, so a passage inside different paragraphs holds the same sections.
+Two kinds of item are compared. A *paragraph* is a line with a word; from ``SHINGLE`` words on it is
+known by the hashes of its word shingles too. A *stretch* is ``STRETCH`` words that begin at a
+content-selected place: the rightmost least word-pair hash of some ``WIDTH`` consecutive ones. So equal passages inside
+different paragraphs hold the same stretches, and every one of ``MIN_PASSAGE`` words or more holds one.
 
 1. Items equal word for word share a content hash and are one row from then on.
 2. Distinct paragraphs get ``BANDS`` band keys of ``ROWS`` MinHash values each. Two with
-   Jaccard similarity 0.8 share one with probability 1 - (1 - 0.8**ROWS)**BANDS = 0.98.
+   Jaccard similarity 0.8 share one with probability 1 - (1 - 0.8**ROWS)**BANDS = 0.998.
 3. Paragraphs of one band key meet in one task with their shingle sets, and exact
    Jaccard similarity decides. Of a group's links only a spanning forest is
    returned. A key with over ``BLOCK`` paragraphs is dealt out by pairs of
    blocks, so that each pair still meets in some bounded task.
-4. Components of links are classes; a section is a class of its own. Of a class
+4. Components of links are classes; a stretch is a class of its own. Of a class
    found more than once, the first occurrence by (doc_id, text digest, place) stays.
-5. Occurrences that touch form spans; those of ``MIN_RUN`` words or more are reported.
-   Shorter ones (a repeated byline, a short heading) are no evidence of copying.
+5. The stretches at either end of a run of repeated ones are compared with their neighbours in the order of what
+   surrounds them, and lengthened as far as the words agree.
+6. Occurrences that touch form spans. Those that hold a whole repeated paragraph are reported, and others from ``MIN_PASSAGE`` words on: shorter
+   passages hold a stretch by chance only.
 
-Texts are read twice: the second time to get the shingles of paragraphs that share a band key, which a
-Bloom filter of fixed size tells from the others before an exact join does.
+Texts are read twice: the second time to get the shingles of paragraphs that share a band key and the surroundings of stretches
+at ends, which Bloom filters of fixed size tell from the others before an exact join does.
 
 Cases: null, empty and blank texts have no items. Rows equal in ``doc_id`` and text are
 one document. A paragraph repeated within one document counts. A null id is the
@@ -35,16 +37,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newslens.llm.common import as_bytes, bloom_filter, gram_hashes, mixed, passes, slices, stored, table, word_hashes, with_small_batches
+from newslens.llm.common import as_bytes, bloom_filter, gram_hashes, minima_within, mixed, passes, slices, stored, table, word_hashes, with_small_batches
 from newslens.llm.components import connected_components
+from newslens.llm.suffixes import neighbour_matches
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS = 4
+BANDS = 6
 ROWS = 2
-REACH = 5
-MIN_RUN = 20
+WIDTH = 16
+STRETCH = 20
+#: A run of so many words has a selected place in its first ``WIDTH``, and a whole stretch from there.
+MIN_PASSAGE = WIDTH + STRETCH
 BLOCK = 2000
+#: The query leaves documents alone that share nothing but shorter lines; well over half share such with another.
+QUERY_WORDS = 20
 _OWN = ["doc_id", "digest"]
 
 
@@ -96,37 +103,32 @@ class Texts:
         ends = np.cumsum(np.bincount(document, minlength=len(self.end)))
         return Cut(ends, document, begin - self.begin[document], length, content)
 
-    def paragraphs(self) -> tuple[Cut, np.ndarray, np.ndarray]:
-        """Lines of ``SHINGLE`` words or more; their shingles, and where each line's shingles begin."""
+    def paragraphs(self) -> tuple[Cut, np.ndarray, np.ndarray, np.ndarray]:
+        """Lines; which have ``SHINGLE`` words or more, the shingles of those, and where each one's begin."""
         content = _contents(self.words, self.line_begin, self.line_length)
         long = self.line_length >= SHINGLE
-        begin, length = self.line_begin[long], self.line_length[long]
-        count = length - SHINGLE + 1
+        begin, count = self.line_begin[long], self.line_length[long] - SHINGLE + 1
         first = np.cumsum(count) - count
         places = np.arange(count.sum()) + np.repeat(begin - first, count)
         shingles = gram_hashes(self.words, SHINGLE)[places] if len(places) else np.empty(0, np.uint64)
-        return self._cut(self.line_document[long], begin, length, content[long]), shingles, first
-
-    def sections(self, reach: int = REACH) -> Cut:
-        """Stretches from one least word pair to the next of the same document.
-
-        A cut lies before a pair whose hash is below the ``reach`` following ones and not
-        above as many before it, all in its document.
-        """
-        pairs = gram_hashes(self.words, 2)
-        n = max(0, len(pairs) - 2 * reach)
-        mid = pairs[reach : reach + n]
-        least = np.ones(n, bool)
-        for j in range(1, reach + 1):
-            least &= (mid <= pairs[reach - j : reach - j + n]) & (mid < pairs[reach + j : reach + j + n])
-        at = np.flatnonzero(least) + reach
+        return self._cut(self.line_document, self.line_begin, self.line_length, content), long, shingles, first
+
+    def stretches(self) -> tuple[Cut, np.ndarray]:
+        """Stretches at selected places, and those places among all words."""
+        # A text's last word begins no pair of its own.
+        at = minima_within(gram_hashes(self.words, 2), WIDTH, self.begin, np.maximum(self.end - 1, self.begin))
         document = np.searchsorted(self.end, at, side="right")
-        inside = (at - reach >= self.begin[document]) & (at + reach + 2 <= self.end[document])
-        at, document = at[inside], document[inside]
-        length = np.diff(at, append=len(self.words))
-        whole = np.diff(document, append=-1) == 0
-        content = _contents(self.words[at[0] :], at - at[0], length) if len(at) else np.empty(0, np.int64)
-        return self._cut(document[whole], at[whole], length[whole], content[whole])
+        whole = at + STRETCH <= self.end[document]
+        at, document = at[whole], document[whole]
+        content = gram_hashes(self.words, STRETCH)[at].view(np.int64)
+        return self._cut(document, at, np.full(len(at), STRETCH), content), at
+
+    def around(self, at: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+        """Short hashes of the ``WIDTH`` words before each place, nearest first, and behind its stretch; beyond a text's ends those of other texts."""
+        none = np.zeros(WIDTH, ">u4")
+        small = np.concatenate([none, (self.words >> np.uint64(32)).astype(">u4"), none])
+        windows = np.lib.stride_tricks.sliding_window_view(small, WIDTH)
+        return [w.tobytes() for w in windows[at][:, ::-1]], [w.tobytes() for w in windows[at + WIDTH + STRETCH]]
 
 
 def band_keys(shingles: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -145,22 +147,22 @@ def band_keys(shingles: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def items(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, paragraphs, sections): places, lengths, contents, and paragraphs' band keys, per document."""
+    """(doc_id, digest, paragraphs, stretches): places, lengths, contents, and paragraphs' band keys, per document."""
     shape = "array<struct<at:int,n:int,content:bigint,keys:array<bigint>>>"
     item = [("at", pa.int32()), ("n", pa.int32()), ("content", pa.int64())]
-    kind = pa.struct([("paragraphs", pa.list_(pa.struct([*item, ("keys", pa.list_(pa.int64()))]))), ("sections", pa.list_(pa.struct(item)))])
+    kind = pa.struct([("paragraphs", pa.list_(pa.struct([*item, ("keys", pa.list_(pa.int64()))]))), ("stretches", pa.list_(pa.struct(item)))])
 
-    @F.arrow_udf(f"struct<paragraphs:{shape},sections:array<struct<at:int,n:int,content:bigint>>>")
+    @F.arrow_udf(f"struct<paragraphs:{shape},stretches:array<struct<at:int,n:int,content:bigint>>>")
     def cut(texts: pa.Array) -> pa.Array:
         parts = []
         for start in range(0, len(texts), 256):
             some = Texts(as_bytes(texts.slice(start, 256)))
-            paragraphs, shingles, first = some.paragraphs()
+            paragraphs, long, shingles, first = some.paragraphs()
             keys = band_keys(shingles, first).view(np.int64).ravel()
-            ends = np.arange(len(first) + 1, dtype=np.int32) * BANDS
+            ends = np.concatenate([[0], np.cumsum(long) * BANDS]).astype(np.int32)
             parts.append(pa.StructArray.from_arrays(
-                [_listed(paragraphs, [pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))]), _listed(some.sections())],
-                ["paragraphs", "sections"],
+                [_listed(paragraphs, [pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))]), _listed(some.stretches()[0])],
+                ["paragraphs", "stretches"],
             ))
         return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
@@ -174,23 +176,51 @@ def _listed(cut: Cut, more: list[pa.Array] = ()) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], cut.ends]), pa.int32()), rows)
 
 
-def _shingles_of(docs: DataFrame, contents: DataFrame) -> DataFrame:
-    """(content, shingles) for the paragraphs in ``contents``, from a second reading of the texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(bloom_filter(contents.select("content")))
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 256):
-            paragraphs, shingles, first = Texts(as_bytes(batch.column(0))).paragraphs()
-            _, once = np.unique(paragraphs.content, return_index=True)
-            wanted = once[passes(shared.value, paragraphs.content[once])]
-            last = np.append(first, len(shingles))
-            sets = [np.unique(shingles[last[i] : last[i + 1]]).tobytes() for i in wanted.tolist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(paragraphs.content[wanted], pa.int64()), pa.array(sets, pa.binary())], names=["content", "shingles"]
-            )
+def second_reading(docs: DataFrame, paragraphs: DataFrame, ends: DataFrame) -> DataFrame:
+    """(doc_id, digest, shingles, stretches) per document, stored: what may be in ``paragraphs`` and ``ends``, both of a column ``content``.
 
-    rows = docs.select("text").mapInArrow(look, "content long, shingles binary")
-    return rows.join(contents, "content", "left_semi").dropDuplicates(["content"])
+    ``shingles`` holds (content, shingles) of paragraphs, ``stretches`` (at, head, room, before, after); ``room`` words follow the head.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast([bloom_filter(x.select("content")) for x in (paragraphs, ends)])
+    sets = pa.struct([("content", pa.int64()), ("shingles", pa.binary())])
+    around = pa.struct([("at", pa.int32()), ("head", pa.int64()), ("room", pa.int32()), ("before", pa.binary()), ("after", pa.binary())])
+
+    def of_some(texts: list[bytes | None]) -> pa.Array:
+        some = Texts(texts)
+        found, long, shingles, first = some.paragraphs()
+        content, document = found.content[long], found.document[long]
+        # Once per document is enough.
+        order = np.lexsort((content, document))
+        again = np.zeros(len(order), bool)
+        again[1:] = (content[order][1:] == content[order][:-1]) & (document[order][1:] == document[order][:-1])
+        wanted = np.sort(order[~again][passes(shared.value[0], content[order[~again]])])
+        last = np.append(first, len(shingles))
+        rows = pa.StructArray.from_arrays(
+            [pa.array(content[wanted], pa.int64()), pa.array([np.unique(shingles[last[i] : last[i + 1]]).tobytes() for i in wanted.tolist()], pa.binary())],
+            ["content", "shingles"],
+        )
+        stretches, place = some.stretches()
+        near = np.flatnonzero(passes(shared.value[1], stretches.content))
+        before, after = some.around(place[near])
+        places = pa.StructArray.from_arrays(
+            [pa.array(stretches.at[near], pa.int32()), pa.array(stretches.content[near], pa.int64()),
+             pa.array(some.end[stretches.document[near]] - place[near] - STRETCH, pa.int32()), pa.array(before, pa.binary()), pa.array(after, pa.binary())],
+            ["at", "head", "room", "before", "after"],
+        )
+
+        def lists(values: pa.Array, owner: np.ndarray) -> pa.Array:
+            ends_ = np.cumsum(np.bincount(owner, minlength=len(texts)))
+            return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends_]), pa.int32()), values)
+
+        return pa.StructArray.from_arrays([lists(rows, document[wanted]), lists(places, stretches.document[near])], ["shingles", "stretches"])
+
+    @F.arrow_udf("struct<shingles:array<struct<content:bigint,shingles:binary>>,stretches:array<struct<at:int,head:bigint,room:int,before:binary,after:binary>>>")
+    def look(texts: pa.Array) -> pa.Array:
+        parts = [of_some(as_bytes(texts.slice(i, 256))) for i in range(0, len(texts), 256)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("shingles", pa.list_(sets)), ("stretches", pa.list_(around))]))
+
+    read = docs.select("doc_id", F.xxhash64("text").alias("digest"), look("text").alias("r")).select(*_OWN, "r.*")
+    return stored(read.where("size(shingles) > 0 OR size(stretches) > 0"), "second-reading")
 
 
 def forest(sets: list[np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
@@ -234,20 +264,23 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield links()
 
 
-def paragraph_links(docs: DataFrame, found: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Edges (u, v) between contents that connect all paragraphs at ``SIMILARITY`` or more that share a band key."""
-    distinct = found.select(F.explode("paragraphs").alias("p")).select("p.content", "p.keys").dropDuplicates(["content"])
+def candidates(found: DataFrame) -> DataFrame:
+    """(content, key, members), stored: distinct paragraphs by band key, for keys that several share."""
+    distinct = found.select(F.explode("paragraphs").alias("p")).select("p.content", "p.keys").where("size(keys) > 0").dropDuplicates(["content"])
     banded = stored(distinct.select("content", F.explode("keys").alias("key")), "bands")
     crowds = stored(banded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "band-keys")
-    met = stored(banded.join(crowds, "key"), "candidates")
-    sets = _shingles_of(docs, met.select("content").distinct())
+    return stored(banded.join(crowds, "key"), "candidates")
+
+
+def paragraph_links(met: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Edges (u, v) between contents that connect all paragraphs at ``SIMILARITY`` or more that share a band key."""
     # A key's members are dealt into blocks, and each pair of blocks is a cell; one block is one cell.
     blocks = F.ceil(F.col("members") / block).cast("int")
     mine = F.pmod(F.xxhash64("content", F.lit("block")), blocks).cast("int")
     cells = F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.struct(F.least(x, mine).alias("a"), F.greatest(x, mine).alias("b")))
     dealt = met.withColumn("cell", F.explode(cells)).select("key", (F.col("cell.a") * 1000003 + F.col("cell.b")).alias("cell"), "content")
     return (
-        dealt.join(sets, "content")
+        dealt.join(sets.dropDuplicates(["content"]), "content")
         .select("key", "cell", "content", "shingles")
         .repartition("key", "cell")
         .sortWithinPartitions("key", "cell")
@@ -255,33 +288,63 @@ def paragraph_links(docs: DataFrame, found: DataFrame, block: int = BLOCK) -> Da
     )
 
 
-def repeated_paragraphs(docs: DataFrame, min_run: int = MIN_RUN, block: int = BLOCK) -> DataFrame:
+def _found_again(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """``rows`` whose ``by`` occurs at two places or more. Two places, not two rows: a repeated row of the input is the same place."""
+    where = F.xxhash64(*_OWN, "at")
+    counted = rows.groupBy(*by).agg(F.min(where).alias("a"), F.max(where).alias("b")).where("a <> b").drop("a", "b")
+    # What rows meet is written first: then Spark can split a class that very many documents have.
+    return rows.join(stored(counted, f"{name}-classes"), by, "left_semi").distinct()
+
+
+def run_ends(again: DataFrame) -> DataFrame:
+    """(content): that of every first and last stretch of a run of repeated ones that touch."""
+    in_order = Window.partitionBy(*_OWN).orderBy("at")
+    apart = F.coalesce(F.col("at") - F.lag("at").over(in_order) > STRETCH, F.lit(True))
+    leaves = F.coalesce(F.lead("at").over(in_order) - F.col("at") > STRETCH, F.lit(True))
+    return again.withColumns({"opens": apart, "closes": leaves}).where("opens OR closes").select("content").distinct()
+
+
+def lengthened(around: DataFrame) -> DataFrame:
+    """(doc_id, digest, place, left, right): how far each stretch goes on as one of its neighbours does."""
+    grown = None
+    for by in ("after", "before"):
+        matches = neighbour_matches(around, by, WIDTH, STRETCH)
+        grown = matches if grown is None else grown.unionByName(matches)
+    left, right = F.col("at") - F.col("begin"), F.col("end") - F.col("at") - STRETCH
+    return grown.groupBy(*_OWN, F.col("at").alias("place")).agg(F.max(left).alias("left"), F.max(right).alias("right"))
+
+
+def repeated_paragraphs(docs: DataFrame, min_words: int = 1, min_passage: int = MIN_PASSAGE, block: int = BLOCK) -> DataFrame:
     """(doc_id, digest, begin, end, n_words, n_removed, first_doc_ids) per span of repeated items.
 
     ``n_removed`` counts the words of later occurrences, those a dedup takes out;
-    ``first_doc_ids`` are the documents that hold the first occurrences.
+    ``first_doc_ids`` are the documents that hold the first occurrences. Spans have ``min_words`` words or more,
+    those without a whole repeated paragraph ``min_passage`` or more.
     """
     docs = with_small_batches(docs)
     docs = docs.select("doc_id", "text")
     found = stored(items(docs), "paragraphs")
-    classes = stored(connected_components(paragraph_links(docs, found, block)), "paragraph-classes")
+    s = found.select(*_OWN, F.explode("stretches").alias("i")).select(*_OWN, "i.at", "i.content")
+    s = stored(_found_again(s, ["content"], "stretch"), "repeated-stretches")
+    met, ends = candidates(found), stored(run_ends(s), "run-ends")
+    read = second_reading(docs, met.select("content").distinct(), ends)
+    sets = read.select(F.explode("shingles").alias("r")).select("r.*").join(met.select("content").distinct(), "content", "left_semi")
+    classes = stored(connected_components(paragraph_links(met, sets, block)), "paragraph-classes")
     p = found.select(*_OWN, F.explode("paragraphs").alias("i")).select(*_OWN, "i.at", "i.n", "i.content")
-    p = p.join(classes, p.content == classes.node, "left").select(
-        *_OWN, "at", "n", F.lit(0).alias("kind"), F.coalesce("root", "content").alias("class")
-    )
-    s = found.select(*_OWN, F.explode("sections").alias("i")).select(
-        *_OWN, "i.at", "i.n", F.lit(1).alias("kind"), F.col("i.content").alias("class")
+    p = p.join(classes, p.content == classes.node, "left").select(*_OWN, "at", "n", F.coalesce("root", "content").alias("content"))
+    p = _found_again(p, ["content"], "paragraph").select(*_OWN, "at", "at", "n", F.lit(0).alias("kind"), "content").toDF(*_OWN, "place", "at", "n", "kind", "class")
+    around = read.select(*_OWN, F.explode("stretches").alias("r")).select(*_OWN, "r.*").join(ends.withColumnRenamed("content", "head"), "head", "left_semi")
+    more = stored(lengthened(stored(around, "surroundings")), "lengthened").withColumnsRenamed({"doc_id": "l_id", "digest": "l_digest"})
+    same = F.col("doc_id").eqNullSafe(F.col("l_id")) & (F.col("digest") == F.col("l_digest")) & (F.col("at") == F.col("place"))
+    left, right = (F.coalesce(x, F.lit(0)) for x in ("left", "right"))
+    s = s.join(more, same, "left").select(
+        *_OWN, F.col("at").alias("place"), (F.col("at") - left).alias("at"), (left + right + STRETCH).alias("n"), F.lit(1).alias("kind"), F.col("content").alias("class")
     )
-    rows = p.union(s)
-    # Two places, not two rows: a repeated row of the input is the same place.
-    where = F.xxhash64(*_OWN, "at")
-    counted = rows.groupBy("kind", "class").agg(F.min(where).alias("a"), F.max(where).alias("b")).where("a <> b").drop("a", "b")
-    # What rows meet is written first: then Spark can split a class that very many documents have.
-    again = stored(rows.join(stored(counted, "repeated-classes"), ["kind", "class"], "left_semi").distinct(), "repeated-items")
-    place = F.struct(*_OWN, "at")
+    again = stored(p.unionByName(s), "repeated-items")
+    place = F.struct(*_OWN, "place")
     firsts = stored(again.groupBy("kind", "class").agg(F.min(place).alias("first")), "first-items")
     marked = again.join(firsts, ["kind", "class"]).withColumn("later", ~place.eqNullSafe(F.col("first")))
-    order = Window.partitionBy(*_OWN).orderBy("at", "n", "kind")
+    order = Window.partitionBy(*_OWN).orderBy("at", "n", "kind", "place")
     before, up_to = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end = F.col("at") + F.col("n")
     opens = (F.col("at") > F.coalesce(F.max(end).over(before), F.lit(-1))).cast("int")
@@ -292,14 +355,15 @@ def repeated_paragraphs(docs: DataFrame, min_run: int = MIN_RUN, block: int = BL
         F.min("at").alias("begin"),
         F.max("end").alias("end"),
         F.sum("gone").alias("n_removed"),
+        F.min("kind").alias("kind"),
         F.sort_array(F.collect_set("first.doc_id")).alias("first_doc_ids"),
     )
     return (
         merged.withColumn("n_words", F.col("end") - F.col("begin"))
-        .where(F.col("n_words") >= min_run)
+        .where((F.col("n_words") >= min_words) & ((F.col("kind") == 0) | (F.col("n_words") >= min_passage)))
         .select(*_OWN, "begin", "end", "n_words", "n_removed", "first_doc_ids")
     )
 
 
 def op9_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_paragraphs(table(spark, sf_dir, "documents")).drop("digest")
+    return repeated_paragraphs(table(spark, sf_dir, "documents"), QUERY_WORDS).drop("digest")
