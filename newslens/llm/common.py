@@ -28,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def with_small_batches(docs: DataFrame) -> DataFrame:
     """``docs``, whose session now sends few rows at a time to Python: whole texts are large.
 
-    Only Spark's default number of rows is lowered; one that the session was given stays.
+    Only Spark's default number of rows, 10,000, is lowered, for the rest of the session; any other number stays.
     """
     key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", docs.sparkSession.conf
     if conf.get(key) == "10000":
