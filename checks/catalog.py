@@ -36,6 +36,7 @@ from newslens.operators.responses import (
     parse_answers,
     reason_text,
 )
+from newslens.operators.places import file_places
 from newslens.operators.resume import latest_labels, pending_articles, upsert_labels
 from newslens.plans.stages import label_articles, run_all
 from newslens.schema import FIELD_CAPS, LABEL_COLUMNS, LABELS, MAX_INPUT_CHARS, NA_SENTINELS
@@ -338,13 +339,7 @@ def article_order(spark, sf):
 
 def _places(spark, path: str, key: str) -> DataFrame:
     """(key, place): the order in which the files of a table, by name, hold its rows."""
-    rows = spark.read.parquet(path).select(
-        key, F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at")
-    )
-    # one row per file
-    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    before = rows.groupBy("file").count().select("file", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"))
-    return rows.join(before, "file").select(key, (F.col("before") + F.col("at") + 1).cast("int").alias("place"))
+    return file_places(spark, path).select(key, F.col("place").cast("int").alias("place"))
 
 
 @check(f"""{with_views('fx_articles')} SELECT articleId, array_to_string({_KEYS_SQL}, '; ') AS keys,
@@ -1099,6 +1094,15 @@ def rank_negative(spark, sf):
     return events.rank_negative(_summary(spark, sf))
 
 
+@check(f"""{_RANKS} SELECT 'positive' AS side, evento_id, row_number() OVER (ORDER BY {_POSITIVE_ORDER}) AS rank FROM good
+       UNION ALL SELECT 'negative', evento_id, row_number() OVER (ORDER BY {_NEGATIVE_ORDER}) FROM bad""")
+def full_ranks(spark, sf):
+    """The rank of every event of both rankings."""
+    summary = _summary(spark, sf)
+    good = events.rank_positive(summary, ranks=True).select(F.lit("positive").alias("side"), "evento_id", "rank")
+    return good.union(events.rank_negative(summary, ranks=True).select(F.lit("negative"), "evento_id", "rank"))
+
+
 @check(f"{_RANKS} SELECT * FROM top_good")
 def top_positive(spark, sf):
     return events.top_positive(_summary(spark, sf))

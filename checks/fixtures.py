@@ -119,14 +119,31 @@ def with_views(*names: str) -> str:
     return "WITH " + ", ".join(f"{n} AS ({_PARTS[n].strip()})" for n in wanted)
 
 
+#: where tables and views lie that have been stored before, by folder and name
+_stored: dict[tuple[str, str], str] = {}
+
+
+def store_views(spark: SparkSession, sf_dir: str, folder: str, files: int = 32) -> None:
+    """Write the views, and the documents, as Parquet tables of ``files`` files, which are read from then on.
+
+    The driver's tables are one row group each, so reading them is one task whatever is done with them.
+    """
+    for name in ("documents", *_PARTS):
+        rows = table(spark, sf_dir, name) if name in SCHEMAS else view(spark, sf_dir, name)
+        rows.repartition(files).write.parquet(f"{folder}/{name}")
+    _stored.update({(sf_dir, name): f"{folder}/{name}" for name in ("documents", *_PARTS)})
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table."""
-    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(_stored.get((sf_dir, name), f"{sf_dir}/{name}.parquet"))
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named view over the Parquet tables in ``sf_dir``."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    if (sf_dir, name) in _stored:
+        return spark.read.parquet(_stored[sf_dir, name])
     for t in _ARTICLE_TABLES if name == "fx_articles" else _LABEL_TABLES:
         table(spark, sf_dir, t).createOrReplaceTempView(t)
     return spark.sql(f"{with_views(name)} SELECT * FROM {name}")

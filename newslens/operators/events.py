@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newslens.functions.rounding import round4, share4
+from newslens.operators.places import numbered
 from newslens.operators.sentiment import label_counts
 from newslens.schema import EVENT_SUMMARY_COLUMNS, LABELS
 
@@ -187,16 +188,23 @@ def _ranked(summary: DataFrame, positive: bool, thresholds: tuple) -> DataFrame:
     )
 
 
-def rank_positive(summary: DataFrame, min_articles: int = 1, min_classified: int | None = None) -> DataFrame:
-    """Predominantly positive events, best first. Order keys are the rounded values."""
+def rank_positive(
+    summary: DataFrame, min_articles: int = 1, min_classified: int | None = None, ranks: bool = False
+) -> DataFrame:
+    """Predominantly positive events, best first. Order keys are the rounded values.
+
+    With ``ranks`` the ranking is written and every event has its ``rank``, in place of the order of rows.
+    """
     ranked = _ranked(summary, True, (min_articles, min_classified))
-    return ranked.orderBy(*_ranking_order(True))
+    return numbered(ranked, _ranking_order(True)) if ranks else ranked.orderBy(*_ranking_order(True))
 
 
-def rank_negative(summary: DataFrame, min_articles: int = 1, min_classified: int | None = None) -> DataFrame:
-    """Predominantly negative events, worst first."""
+def rank_negative(
+    summary: DataFrame, min_articles: int = 1, min_classified: int | None = None, ranks: bool = False
+) -> DataFrame:
+    """Predominantly negative events, worst first; ``ranks`` as for the positive ones."""
     ranked = _ranked(summary, False, (min_articles, min_classified))
-    return ranked.orderBy(*_ranking_order(False))
+    return numbered(ranked, _ranking_order(False)) if ranks else ranked.orderBy(*_ranking_order(False))
 
 
 def _top(summary: DataFrame, positive: bool, n: int, thresholds: tuple) -> DataFrame:

@@ -85,16 +85,17 @@ def event_tables(
     min_articles: int = 1,
     min_classified: int | None = None,
     summary: DataFrame | None = None,
+    ranks: bool = False,
 ) -> dict[str, DataFrame]:
-    """Stage 3 tables: all events, and both rankings in order.
+    """Stage 3 tables: all events, and both rankings in order, or with ``ranks`` numbered.
 
     Pass a stored ``summary`` of ``rows``, or each table computes it.
     """
     summary = events.event_summary(rows) if summary is None else summary
     return {
         "eventos_resumo": events.in_summary_order(summary),
-        "eventos_muito_positivos": events.rank_positive(summary, min_articles, min_classified),
-        "eventos_muito_negativos": events.rank_negative(summary, min_articles, min_classified),
+        "eventos_muito_positivos": events.rank_positive(summary, min_articles, min_classified, ranks),
+        "eventos_muito_negativos": events.rank_negative(summary, min_articles, min_classified, ranks),
     }
 
 
@@ -124,7 +125,7 @@ def analyse_labels(
 
     def rankings() -> None:
         rows, summary = read("eventos_por_noticia"), read("eventos_resumo")
-        tables = event_tables(rows, min_articles, min_classified, summary=summary)
+        tables = event_tables(rows, min_articles, min_classified, summary=summary, ranks=True)
         write_tables({k: v for k, v in tables.items() if k != "eventos_resumo"}, folder)
         write_small_tables(
             {

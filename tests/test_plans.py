@@ -11,7 +11,7 @@ PYTHON_ALLOWED = {"classify_stub", "classify_errors", "label_rows", "retries"}
 TOP_EVENTS = {"top_positive", "top_negative", "ranking_lines"}
 WRITES = {"read_articles", "read_labels", "classified_by_month", "labels_end_to_end", "stream_classify"}
 # these number the rows of a written table to show its order
-WRITES |= {"read_corpus", "article_order", "event_row_order", "summary_order", "whole_run", "upsert_from_csv"}
+WRITES |= {"full_ranks", "read_corpus", "article_order", "event_row_order", "summary_order", "whole_run", "upsert_from_csv"}
 
 
 def plan(spark, name):
