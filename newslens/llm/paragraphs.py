@@ -45,8 +45,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 6
 ROWS = 2
-WIDTH = 16
-STRETCH = 20
+WIDTH = 24
+STRETCH = 24
 #: A run of so many words has a selected place in its first ``WIDTH``, and a whole stretch from there.
 MIN_PASSAGE = WIDTH + STRETCH
 BLOCK = 2000
@@ -305,13 +305,10 @@ def run_ends(again: DataFrame) -> DataFrame:
 
 
 def lengthened(around: DataFrame) -> DataFrame:
-    """(doc_id, digest, place, left, right): how far each stretch goes on as one of its neighbours does."""
-    grown = None
-    for by in ("after", "before"):
-        matches = neighbour_matches(around, by, WIDTH, STRETCH)
-        grown = matches if grown is None else grown.unionByName(matches)
-    left, right = F.col("at") - F.col("begin"), F.col("end") - F.col("at") - STRETCH
-    return grown.groupBy(*_OWN, F.col("at").alias("place")).agg(F.max(left).alias("left"), F.max(right).alias("right"))
+    """(doc_id, digest, place, at, n, class): stretches with what they share with a neighbour on one side."""
+    grown = neighbour_matches(around, "after", WIDTH, STRETCH).unionByName(neighbour_matches(around, "before", WIDTH, STRETCH))
+    n = F.col("end") - F.col("begin")
+    return grown.where(n > STRETCH).select(*_OWN, F.col("at").alias("place"), F.col("begin").alias("at"), n.alias("n"), F.col("head").alias("class")).distinct()
 
 
 def repeated_paragraphs(docs: DataFrame, min_words: int = 1, min_passage: int = MIN_PASSAGE, block: int = BLOCK) -> DataFrame:
@@ -334,13 +331,10 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = 1, min_passage: int =
     p = p.join(classes, p.content == classes.node, "left").select(*_OWN, "at", "n", F.coalesce("root", "content").alias("content"))
     p = _found_again(p, ["content"], "paragraph").select(*_OWN, "at", "at", "n", F.lit(0).alias("kind"), "content").toDF(*_OWN, "place", "at", "n", "kind", "class")
     around = read.select(*_OWN, F.explode("stretches").alias("r")).select(*_OWN, "r.*").join(ends.withColumnRenamed("content", "head"), "head", "left_semi")
-    more = stored(lengthened(stored(around, "surroundings")), "lengthened").withColumnsRenamed({"doc_id": "l_id", "digest": "l_digest"})
-    same = F.col("doc_id").eqNullSafe(F.col("l_id")) & (F.col("digest") == F.col("l_digest")) & (F.col("at") == F.col("place"))
-    left, right = (F.coalesce(x, F.lit(0)) for x in ("left", "right"))
-    s = s.join(more, same, "left").select(
-        *_OWN, F.col("at").alias("place"), (F.col("at") - left).alias("at"), (left + right + STRETCH).alias("n"), F.lit(1).alias("kind"), F.col("content").alias("class")
-    )
-    again = stored(p.unionByName(s), "repeated-items")
+    # A lengthened stretch is an item beside the plain one, of the same place and class: no join of the many with the few.
+    more = lengthened(stored(around, "surroundings")).withColumn("kind", F.lit(1))
+    s = s.select(*_OWN, F.col("at").alias("place"), "at", F.lit(STRETCH).alias("n"), F.lit(1).alias("kind"), F.col("content").alias("class"))
+    again = stored(p.unionByName(s).unionByName(more), "repeated-items")
     place = F.struct(*_OWN, "place")
     firsts = stored(again.groupBy("kind", "class").agg(F.min(place).alias("first")), "first-items")
     marked = again.join(firsts, ["kind", "class"]).withColumn("later", ~place.eqNullSafe(F.col("first")))

@@ -161,7 +161,7 @@ def _agreeing(width: int):
 
 
 def neighbour_matches(suffixes: DataFrame, by: str, width: int, head: int) -> DataFrame:
-    """(doc_id, digest, at, begin, end, other_id): each suffix against its neighbours in the order of (head, ``by``).
+    """(doc_id, digest, at, head, begin, end, other_id): each suffix against its neighbours in the order of (head, ``by``).
 
     ``by`` is the side on which the match is extended, ``before`` or ``after``.
     """
@@ -184,7 +184,7 @@ def neighbour_matches(suffixes: DataFrame, by: str, width: int, head: int) -> Da
     left = F.least(shared, "at", "o.at") if by == "before" else F.lit(0)
     right = F.least(shared, "room", "o.room") if by == "after" else F.lit(0)
     return pairs.select(
-        *_OWN, "at", (F.col("at") - left).alias("begin"), (F.col("at") + head + right).alias("end"), F.col("o.doc_id").alias("other_id")
+        *_OWN, "at", "head", (F.col("at") - left).alias("begin"), (F.col("at") + head + right).alias("end"), F.col("o.doc_id").alias("other_id")
     )
 
 
@@ -286,7 +286,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, width: int = WID
     none = F.lit(None).cast(docs.schema["doc_id"].dataType)
     found = run.select(*_OWN, F.col("first").alias("begin"), (F.col("last") + head).alias("end"), none.alias("other_id"))
     for by in ("after", "before"):
-        found = found.unionByName(neighbour_matches(around, by, width, head).drop("at"))
+        found = found.unionByName(neighbour_matches(around, by, width, head).drop("at", "head"))
     up_to = Window.partitionBy(*_OWN).orderBy("begin", "end").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.partitionBy(*_OWN).orderBy("begin", "end").rowsBetween(Window.unboundedPreceding, -1)
     opens = (F.col("begin") > F.coalesce(F.max("end").over(before), F.lit(-1))).cast("int")
