@@ -223,7 +223,7 @@ _KEYED = with_views("fx_articles") + """, keyed AS (
 
 
 def _labels(spark, sf):
-    rows = view(spark, sf, "fx_labels")
+    rows = view(spark, sf, "fx_labels", dealt=True)
     return rows.withColumns(
         {"id": F.col("recordKey"), "sentiment_score": L.label_score(F.col("label"))}
     )

@@ -24,6 +24,10 @@ SCHEMAS = {
 _LABEL_TABLES = ("nation", "supplier", "part", "lineitem")
 _ARTICLE_TABLES = ("documents", "labels", "orders")
 
+#: tasks that the rows of one part of a file are dealt to, and the order they are dealt by
+TASKS_PER_SPLIT = 16
+_LINE_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
 PHRASE = "re"
 
 #: label rows, several per article, undated articles, every label
@@ -139,11 +143,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(_stored.get((sf_dir, name), f"{sf_dir}/{name}.parquet"))
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The named view over the Parquet tables in ``sf_dir``."""
+def view(spark: SparkSession, sf_dir: str, name: str, dealt: bool = False) -> DataFrame:
+    """The named view over the Parquet tables in ``sf_dir``.
+
+    A label row is some twenty times as wide as what ``lineitem`` takes for it in its file, so one task's part of
+    the file gives more rows than the task can sort in memory. For a use that sorts them, ``dealt`` moves the narrow
+    rows to smaller tasks first, the rows of an article together unless it has very many.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     if (sf_dir, name) in _stored:
         return spark.read.parquet(_stored[sf_dir, name])
     for t in _ARTICLE_TABLES if name == "fx_articles" else _LABEL_TABLES:
-        table(spark, sf_dir, t).createOrReplaceTempView(t)
+        rows = table(spark, sf_dir, t)
+        if dealt and t == "lineitem":
+            rows = rows.repartitionByRange(TASKS_PER_SPLIT * rows.rdd.getNumPartitions(), *_LINE_KEY)
+        rows.createOrReplaceTempView(t)
     return spark.sql(f"{with_views(name)} SELECT * FROM {name}")
