@@ -11,6 +11,9 @@ from pyspark.sql import types as T
 
 from newslens.schema import ARTICLE_EVENT_COLUMNS, CLASSIFIED_COLUMNS, LABEL_COLUMNS
 
+#: rows of a CSV file: cells may hold line breaks, so a file is read by one task
+CSV_ROWS = 100_000
+
 
 def _present(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*[c for c in columns if c in df.columns])
@@ -25,6 +28,7 @@ def _write(df: DataFrame, path: str, fmt: str, partition_by: Sequence[str] = ())
         writer = writer.options(
             header=True,
             escape='"',
+            maxRecordsPerFile=CSV_ROWS,
             emptyValue="",
             nullValue="",
             ignoreLeadingWhiteSpace=False,
