@@ -52,6 +52,7 @@ from newslens.sources.articles import (
 from newslens.sources.labels import read_existing
 from newslens.sources.labels import read_labels as read_label_files
 from newslens.sources.sinks import (
+    CSV_ROWS,
     article_event_columns,
     classified_columns,
     landed,
@@ -747,10 +748,10 @@ def upsert_from_csv(spark, sf):
     """The store is CSV files with four columns and two rows per key, of which the one in the later file counts."""
     path = shared_path(spark, "store-csv")
     old = view(spark, sf, "fx_existing")
-    both = old.withColumn("label", F.lit("negativo")).withColumn("turn", F.lit(0)).unionByName(old.withColumn("turn", F.lit(1)))
-    both.write.partitionBy("turn").csv(path, header=True, escape='"')
+    for turn, part in enumerate((old.withColumn("label", F.lit("negativo")), old)):
+        part.write.option("maxRecordsPerFile", CSV_ROWS).csv(f"{path}/turn={turn}", header=True, escape='"')
     rows = view(spark, sf, "fx_labels")
-    fresh = rows.where("shipped >= TIMESTAMP '1998-01-01 00:00:00'").select(
+    fresh = view(spark, sf, "fx_labels", dealt=True).where("shipped >= TIMESTAMP '1998-01-01 00:00:00'").select(
         "recordKey", F.lit("neutro").alias("label"), "evento_chave", F.lit("new").alias("model"),
         F.col("articleId").alias("jsonIndex"), "title")
     merged = upsert_labels(read_existing(spark, path), fresh, rows)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,12 +50,13 @@ def pending_articles(articles: DataFrame, labels: DataFrame) -> DataFrame:
     return articles.join(done, "recordKey", "left_anti")
 
 
-def as_label_rows(rows: DataFrame) -> DataFrame:
-    """The 25 label columns in their types: absent ones NULL, unreadable numbers NULL."""
+def as_label_rows(rows: DataFrame, names: Sequence[str] = LABEL_COLUMNS) -> DataFrame:
+    """The 25 label columns, or those of them in ``names``, in their types: absent ones NULL, unreadable numbers NULL."""
     return rows.select(
         *[
             (F.col(f.name) if f.name in rows.columns else F.lit(None)).try_cast(f.dataType).alias(f.name)
             for f in LABEL_SCHEMA.fields
+            if f.name in names
         ]
     )
 
@@ -63,15 +66,13 @@ def upsert_labels(existing: DataFrame, new: DataFrame, candidates: DataFrame) ->
 
     Both sides are brought to the 25 label columns, so a store may be a CSV file (all
     text) or lack columns. Each side should hold one row per key; of several, the greatest
-    by its columns in order counts. One shuffle of the label rows and one of the candidates' keys.
+    by its columns in order counts. One shuffle of the label rows and one of the candidates' keys; columns
+    that neither side has are added behind them.
     """
-    both = as_label_rows(existing).withColumn("_new", F.lit(0)).unionByName(
-        as_label_rows(new).withColumn("_new", F.lit(1))
-    )
-    newest = Window.partitionBy("recordKey").orderBy(F.col("_new").desc(), F.struct(*LABEL_COLUMNS).desc())
-    return (
-        both.withColumn("_nth", F.row_number().over(newest))
-        .where("_nth = 1")
-        .join(candidates.select("recordKey"), "recordKey", "left_semi")
-        .select(*LABEL_COLUMNS)
+    had = [c for c in LABEL_COLUMNS if c in existing.columns or c in new.columns]
+    both = as_label_rows(existing, had).withColumn("_new", F.lit(0)).unionByName(
+        as_label_rows(new, had).withColumn("_new", F.lit(1))
     )
+    newest = Window.partitionBy("recordKey").orderBy(F.col("_new").desc(), *[F.col(c).desc() for c in had])
+    kept = both.withColumn("_nth", F.row_number().over(newest)).where("_nth = 1")
+    return as_label_rows(kept.join(candidates.select("recordKey"), "recordKey", "left_semi"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newslens.operators.resume import as_label_rows, latest_labels
-from newslens.schema import LABEL_SCHEMA, RESPONSE_SCHEMA
+from newslens.schema import LABEL_COLUMNS, LABEL_SCHEMA, RESPONSE_SCHEMA
 from newslens.sources.sinks import current_path
 
 
@@ -28,6 +28,7 @@ def read_labels(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
 def read_existing(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """An earlier run's label rows, one per key, for ``upsert_labels``; empty where ``path`` does not exist.
 
+    They have the label columns that are stored, in their types, and the key, label and event key in any case.
     Where a key has several rows the last one counts: in the order of file names, and within
     a file in that of its rows (a CSV file is read by one task, in order).
     """
@@ -38,7 +39,8 @@ def read_existing(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame
             raise
         return spark.createDataFrame([], LABEL_SCHEMA)
     place = F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id())
-    return as_label_rows(latest_labels(rows.withColumn("_place", place), "_place"))
+    had = {"recordKey", "label", "evento_chave", *rows.columns}
+    return as_label_rows(latest_labels(rows.withColumn("_place", place), "_place"), [c for c in LABEL_COLUMNS if c in had])
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:

@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from checks import catalog
+from newslens.operators.resume import upsert_labels
+from newslens.schema import LABEL_COLUMNS
 from newslens.sources import sinks
 from newslens.sources.labels import read_existing, read_labels
 
@@ -28,3 +30,15 @@ def test_csv_files_are_bounded_and_keep_their_order(spark, tmp_path, monkeypatch
     assert [r["count"] for r in sizes] == [10] * 12
     # of two rows of a key, the one in the later file counts
     assert {r.evento for r in read_existing(spark, path).collect()} == {f"a\nb{i}" for i in range(60, 120)}
+
+
+def test_upsert_moves_only_the_columns_that_are_there(spark):
+    old = spark.createDataFrame([("a", "neutro", "x"), ("b", "neutro", "y")], "recordKey string, label string, evento_chave string")
+    new = spark.createDataFrame([("b", "positivo", None, 7), ("b", "positivo", "z", 6)], "recordKey string, label string, evento_chave string, jsonIndex long")
+    rows = upsert_labels(old, new, old)
+    assert rows.columns == LABEL_COLUMNS
+    assert {(r.recordKey, r.label, r.evento_chave, r.jsonIndex, r.model) for r in rows.collect()} == {
+        ("a", "neutro", "x", None, None), ("b", "positivo", None, 7, None)}
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Window"):]
+    assert "descricao_curta" not in below and "struct(" not in below
