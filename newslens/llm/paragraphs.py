@@ -52,6 +52,8 @@ MIN_PASSAGE = WIDTH + STRETCH
 BLOCK = 2000
 #: The query leaves documents alone that share nothing but shorter lines; well over half share such with another.
 QUERY_WORDS = 20
+#: of the tables on the way, which are far larger together than what is returned
+CODEC = "zstd"
 _OWN = ["doc_id", "digest"]
 
 
@@ -220,7 +222,7 @@ def second_reading(docs: DataFrame, paragraphs: DataFrame, ends: DataFrame) -> D
         return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("shingles", pa.list_(sets)), ("stretches", pa.list_(around))]))
 
     read = docs.select("doc_id", F.xxhash64("text").alias("digest"), look("text").alias("r")).select(*_OWN, "r.*")
-    return stored(read.where("size(shingles) > 0 OR size(stretches) > 0"), "second-reading")
+    return stored(read.where("size(shingles) > 0 OR size(stretches) > 0"), "second-reading", CODEC)
 
 
 def forest(sets: list[np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
@@ -267,9 +269,9 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def candidates(found: DataFrame) -> DataFrame:
     """(content, key, members), stored: distinct paragraphs by band key, for keys that several share."""
     distinct = found.select(F.explode("paragraphs").alias("p")).select("p.content", "p.keys").where("size(keys) > 0").dropDuplicates(["content"])
-    banded = stored(distinct.select("content", F.explode("keys").alias("key")), "bands")
+    banded = stored(distinct.select("content", F.explode("keys").alias("key")), "bands", CODEC)
     crowds = stored(banded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "band-keys")
-    return stored(banded.join(crowds, "key"), "candidates")
+    return stored(banded.join(crowds, "key"), "candidates", CODEC)
 
 
 def paragraph_links(met: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -320,9 +322,9 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = 1, min_passage: int =
     """
     docs = with_small_batches(docs)
     docs = docs.select("doc_id", "text")
-    found = stored(items(docs), "paragraphs")
+    found = stored(items(docs), "paragraphs", CODEC)
     s = found.select(*_OWN, F.explode("stretches").alias("i")).select(*_OWN, "i.at", "i.content")
-    s = stored(_found_again(s, ["content"], "stretch"), "repeated-stretches")
+    s = stored(_found_again(s, ["content"], "stretch"), "repeated-stretches", CODEC)
     met, ends = candidates(found), stored(run_ends(s), "run-ends")
     read = second_reading(docs, met.select("content").distinct(), ends)
     sets = read.select(F.explode("shingles").alias("r")).select("r.*").join(met.select("content").distinct(), "content", "left_semi")
@@ -332,11 +334,12 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = 1, min_passage: int =
     p = _found_again(p, ["content"], "paragraph").select(*_OWN, "at", "at", "n", F.lit(0).alias("kind"), "content").toDF(*_OWN, "place", "at", "n", "kind", "class")
     around = read.select(*_OWN, F.explode("stretches").alias("r")).select(*_OWN, "r.*").join(ends.withColumnRenamed("content", "head"), "head", "left_semi")
     # A lengthened stretch is an item beside the plain one, of the same place and class: no join of the many with the few.
-    more = lengthened(stored(around, "surroundings")).withColumn("kind", F.lit(1))
+    more = lengthened(stored(around, "surroundings", CODEC)).withColumn("kind", F.lit(1))
     s = s.select(*_OWN, F.col("at").alias("place"), "at", F.lit(STRETCH).alias("n"), F.lit(1).alias("kind"), F.col("content").alias("class"))
-    again = stored(p.unionByName(s).unionByName(more), "repeated-items")
+    # The plain stretches are stored already.
+    again = stored(p.unionByName(more), "repeated-items", CODEC).unionByName(s)
     place = F.struct(*_OWN, "place")
-    firsts = stored(again.groupBy("kind", "class").agg(F.min(place).alias("first")), "first-items")
+    firsts = stored(again.groupBy("kind", "class").agg(F.min(place).alias("first")), "first-items", CODEC)
     marked = again.join(firsts, ["kind", "class"]).withColumn("later", ~place.eqNullSafe(F.col("first")))
     order = Window.partitionBy(*_OWN).orderBy("at", "n", "kind", "place")
     before, up_to = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
