@@ -1,6 +1,8 @@
 """Fill-in-the-middle and byte-level BPE: exact round trips, the usual library, hard rows."""
 
+import pickle
 import random
+import tracemalloc
 from hashlib import sha256
 
 import numpy as np
@@ -168,6 +170,20 @@ def test_sharing_changes_nothing(spark, monkeypatch, library, shared, replayed,
     )
 
 
+def test_tasks_hold_little(vocabulary, library):
+    """A task gets the pairs ready and builds no table of its own for them; the kinds of code points are found some at a time."""
+    sent = pickle.loads(pickle.dumps(B.Vocabulary(vocabulary.ranks).for_tasks()))
+    words = [b" unseen", b"wordsthat", b" areno", b"tokenshere"]
+    assert replay(words, sent) == [library.encode_ordinary(w.decode()) for w in words]
+    assert "merges" not in vars(sent)
+    tracemalloc.start()
+    try:
+        kinds = B.kinds.__wrapped__()
+        assert (kinds == B.kinds()).all() and tracemalloc.get_traced_memory()[1] < 8 << 20
+    finally:
+        tracemalloc.stop()
+
+
 def test_tokens_of_an_empty_table(spark, tmp_path):
     sf = hard.folder(spark, tmp_path, documents=hard.documents(spark, []))
     assert QUERIES["op13_byte_bpe"](spark, sf).count() == 0
