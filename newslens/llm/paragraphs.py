@@ -34,6 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -267,10 +268,28 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidates(found: DataFrame) -> DataFrame:
-    """(content, key, members), stored: distinct paragraphs by band key, for keys that several share."""
-    distinct = found.select(F.explode("paragraphs").alias("p")).select("p.content", "p.keys").where("size(keys) > 0").dropDuplicates(["content"])
-    banded = stored(distinct.select("content", F.explode("keys").alias("key")), "bands", CODEC)
-    crowds = stored(banded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "band-keys")
+    """(content, key, members), stored: distinct paragraphs by band key, for keys that several share; one key of those with the same paragraphs."""
+    rows = found.select(F.explode("paragraphs").alias("p")).select("p.content", "p.keys").where("size(keys) > 0")
+    # Two contents, not two rows: equal paragraphs are one.
+    by_key = rows.select("content", F.explode("keys").alias("key")).groupBy("key").agg(F.min("content").alias("a"), F.max("content").alias("b"))
+    several = stored(by_key.where("a <> b").select("key"), "band-keys", CODEC)
+    shared = found.sparkSession.sparkContext.broadcast(bloom_filter(several))
+
+    @F.arrow_udf("array<bigint>")
+    def in_filter(keys: pa.Array) -> pa.Array:
+        flat, size = keys.flatten(), pa.compute.list_value_length(keys).to_numpy(zero_copy_only=False)
+        near = passes(shared.value, flat.to_numpy(zero_copy_only=False))
+        ends = np.concatenate([[0], np.cumsum(near)])[np.concatenate([[0], np.cumsum(size)])]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat.filter(pa.array(near)))
+
+    # The filter stands before the exact join.
+    near = rows.select("content", F.explode(in_filter("keys")).alias("key")).distinct()
+    banded = stored(near.join(several, "key", "left_semi"), "bands", CODEC)
+    # Keys with the same paragraphs, known by their number and 128 bits, give the same links: the least of them stays.
+    crowds = banded.groupBy("key").agg(
+        F.count("*").alias("members"), F.bit_xor(F.xxhash64("content", F.lit(0))).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), "content")).alias("b")
+    )
+    crowds = stored(crowds.groupBy("members", "a", "b").agg(F.min("key").alias("key")).select("key", "members"), "crowds", CODEC)
     return stored(banded.join(crowds, "key"), "candidates", CODEC)
 
 
@@ -307,10 +326,11 @@ def run_ends(again: DataFrame) -> DataFrame:
 
 
 def lengthened(around: DataFrame) -> DataFrame:
-    """(doc_id, digest, place, at, n, class): stretches with what they share with a neighbour on one side."""
+    """(doc_id, digest, place, at, n, class): stretches with what they share with their neighbours on either side, one row per place."""
     grown = neighbour_matches(around, "after", WIDTH, STRETCH).unionByName(neighbour_matches(around, "before", WIDTH, STRETCH))
-    n = F.col("end") - F.col("begin")
-    return grown.where(n > STRETCH).select(*_OWN, F.col("at").alias("place"), F.col("begin").alias("at"), n.alias("n"), F.col("head").alias("class")).distinct()
+    # What reaches less far on a side lies within what reaches further, and is of the same place and class.
+    whole = grown.where(F.col("end") - F.col("begin") > STRETCH).groupBy(*_OWN, "at", "head").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
+    return whole.select(*_OWN, F.col("at").alias("place"), F.col("begin").alias("at"), (F.col("end") - F.col("begin")).alias("n"), F.col("head").alias("class"))
 
 
 def repeated_paragraphs(docs: DataFrame, min_words: int = 1, min_passage: int = MIN_PASSAGE, block: int = BLOCK) -> DataFrame:

@@ -166,23 +166,32 @@ def neighbour_matches(suffixes: DataFrame, by: str, width: int, head: int) -> Da
     ``by`` is the side on which the match is extended, ``before`` or ``after``.
     """
     order = ["head", by, "doc_id", "digest", "at"]
-    rows = suffixes.where(F.col(by).isNotNull()).select(*order, "room").distinct()
-    ranged = stored(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), f"suffixes-by-{by}")
+    rows = suffixes.where(F.col(by).isNotNull()).select(*order, "room")
+    # So many ranges and tasks as the session has shuffle partitions: like heads pack so well that by their bytes too many rows would make a task.
+    n = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stored(rows.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), f"suffixes-by-{by}")
+    # One row per range, however many suffixes there are. Only rows of a range's first and last head are compared whole.
+    heads = ranged.groupBy("part").agg(F.min("head").alias("a"), F.max("head").alias("z"))
     row = F.struct(*order, "room")
-    ends = ranged.groupBy("part").agg(F.min(row).alias("low"), F.max(row).alias("high"))
-    # One row per range, however many suffixes there are.
+    ends = ranged.join(F.broadcast(heads), "part").where("head = a OR head = z").groupBy("part").agg(F.min(row).alias("low"), F.max(row).alias("high"))
     by_part = Window.partitionBy().orderBy("part")
     sides = ends.select("part", F.array(F.lag("high").over(by_part), F.lead("low").over(by_part)).alias("sides"))
     guests = sides.select("part", F.explode("sides").alias("r")).where("r IS NOT NULL").select("r.*", "part", F.lit(True).alias("guest"))
-    both = ranged.withColumn("guest", F.lit(False)).unionByName(guests)
+    both = ranged.withColumn("guest", F.lit(False)).unionByName(guests).repartition(n, "part")
     near = Window.partitionBy("part").orderBy(*order)
-    other = F.struct("head", "doc_id", "at", "room", by)
-    pairs = both.select("*", F.array(F.lag(other).over(near), F.lead(other).over(near)).alias("others"))
-    pairs = pairs.where("NOT guest").withColumn("o", F.explode("others")).where(F.col("head") == F.col("o.head"))
-    shared = _agreeing(width)(by, F.col(f"o.{by}"))
+    # Each pair is compared once, and gives a row to either side.
+    side = ["doc_id", "digest", "at", "room", "guest"]
+    met = both.withColumn("o", F.lag(F.struct("head", by, *side)).over(near)).where(F.col("head") == F.col("o.head"))
+    # Rows of one place stand together in one range; they are no pair.
+    same = F.struct("doc_id", "digest", "at").eqNullSafe(F.struct("o.doc_id", "o.digest", "o.at"))
+    met = met.where(~same)
+    shared = met.withColumn("shared", _agreeing(width)(by, F.col(f"o.{by}")))
+    one, two = F.struct(*side), F.struct(*(f"o.{c}" for c in side))
+    sides = F.explode(F.array(F.struct(one.alias("s"), two.alias("o")), F.struct(two.alias("s"), one.alias("o"))))
+    pairs = shared.select("head", "shared", sides.alias("p")).select("head", "shared", "p.s.*", "p.o").where("NOT guest")
     # Beyond its text's ends a suffix's surroundings are another text's words.
-    left = F.least(shared, "at", "o.at") if by == "before" else F.lit(0)
-    right = F.least(shared, "room", "o.room") if by == "after" else F.lit(0)
+    left = F.least("shared", "at", "o.at") if by == "before" else F.lit(0)
+    right = F.least("shared", "room", "o.room") if by == "after" else F.lit(0)
     return pairs.select(
         *_OWN, "at", "head", (F.col("at") - left).alias("begin"), (F.col("at") + head + right).alias("end"), F.col("o.doc_id").alias("other_id")
     )

@@ -240,3 +240,34 @@ def test_paragraph_query_misses_no_repeated_passage(spark):
     truth, mine = repeated(docs, 50), spans(QUERIES["op9_paragraph_dedup"](spark, "/root/testdata/sf0.01").collect())
     words = sum(map(len, truth.values()))
     assert words and sum(len(places & mine[d]) for d, places in truth.items()) >= 0.99 * words
+
+
+def test_keys_with_the_same_paragraphs_are_compared_once(spark):
+    """Two like lines share several band keys, and meet under one of them."""
+    line = " ".join(f"word{i}" for i in range(200))
+    df = spark.createDataFrame([(0, line), (1, line + " more"), (2, line), (3, "some other line of seven words here")], "doc_id long, text string")
+    met = P.candidates(P.items(df)).collect()
+    assert len(met) == 2 and {r.members for r in met} == {2} and len({r.content for r in met}) == 2
+
+
+def test_a_place_is_lengthened_once(spark):
+    """Rows of three documents with like surroundings on both sides, one of them given twice."""
+    side = b"".join(i.to_bytes(4, "big") for i in range(P.WIDTH))
+    rows = [(i, 0, 30, 7, 30, side, side) for i in (1, 2, 3, 3)]
+    around = spark.createDataFrame(rows, "doc_id long, digest long, at int, head long, room int, before binary, after binary")
+    got = sorted((r.doc_id, r.place, r.at, r.n, r["class"]) for r in P.lengthened(around).collect())
+    assert got == [(i, 30, 30 - P.WIDTH, P.STRETCH + 2 * P.WIDTH, 7) for i in (1, 2, 3)]
+
+
+def test_hashes_of_runs_and_least_places_equal_plain_loops():
+    from newslens.llm import common as N
+
+    values = np.random.default_rng(3).integers(0, 5, 120).astype(np.uint64)
+    for k in (1, 2, 3, 5, 7, 24, 50):
+        plain = np.zeros(121 - k, np.uint64)
+        with np.errstate(over="ignore"):
+            for j in range(k):
+                plain = plain * N._MIX + values[j : j + len(plain)]
+        assert (N.gram_hashes(values, k) == N.mixed(plain)).all()
+        least = {max(range(i, i + k), key=lambda j: (-int(values[j]), j)) for i in range(121 - k)}
+        assert N.window_minima(values, k).tolist() == sorted(least)
