@@ -14,7 +14,7 @@ consecutive ones. Equal passages choose equal places, so a passage of at least
 3. Suffixes with the head of some run's last suffix are sorted by what follows the head, those
    with the head of a first one by what precedes it, backwards. The sorts are range partitionings with ties by
    document and place, so a passage that very many documents hold is spread over
-   tasks; each range also gets the nearest row of each adjoining range.
+   tasks; a range's first row is also set beside the last one of the range before.
 4. Each suffix is compared with its two neighbours, which share the longest
    stretch with it, and the match is extended to the right, or the left, as far as the words agree.
 5. Runs and extended matches merge into spans of ``MIN_WORDS`` words or more.
@@ -160,35 +160,76 @@ def _agreeing(width: int):
     return agreeing
 
 
+def _beside(by: str, side: list[str], width: int):
+    """Rows of a range in order: each pair that stands together with one head and two places, and the range's ``first`` and last row with ``by``."""
+
+    def pairs(rows: pa.Table) -> pa.RecordBatch:
+        late, early = rows.slice(1), rows.slice(0, rows.num_rows - 1)
+        # Rows of one place stand together in one range; they are no pair.
+        one, two = late["doc_id"], early["doc_id"]
+        same = pc.or_(pc.fill_null(pc.equal(one, two), False), pc.and_(pc.is_null(one), pc.is_null(two)))
+        for c in ("digest", "at"):
+            same = pc.and_(same, pc.equal(late[c], early[c]))
+        near = pc.and_not(pc.equal(late["head"], early["head"]), same)
+        late, early = late.filter(near), early.filter(near)
+        words = [np.frombuffer(b"".join(x[by].to_pylist()), ">u4").reshape(-1, width) for x in (late, early)]
+        shared = np.cumprod(words[0] == words[1], axis=1).sum(axis=1)
+        return shaped(late, early, pa.array(shared, pa.int32()))
+
+    def shaped(one: pa.Table, other: pa.Table | None, shared: pa.Array | None, first: bool | None = None) -> pa.RecordBatch:
+        n = one.num_rows
+        structs = [pa.StructArray.from_arrays([x[c].combine_chunks() for c in side], side) for x in (one, other or one)]
+        columns = {
+            "part": one["part"].combine_chunks(),
+            "first": pa.array([first] * n, pa.bool_()),
+            "head": one["head"].combine_chunks(),
+            by: pa.nulls(n, pa.binary()) if first is None else one[by].combine_chunks(),
+            "shared": pa.nulls(n, pa.int32()) if shared is None else shared,
+            "s": structs[0],
+            "o": structs[1],
+        }
+        return pa.RecordBatch.from_pydict(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            if last is None:
+                yield shaped(rows.slice(0, 1), None, None, True)
+            else:
+                rows = pa.concat_tables([last, rows]).combine_chunks()
+            yield pairs(rows)
+            last = rows.slice(rows.num_rows - 1)
+        if last is not None:
+            yield shaped(last, None, None, False)
+
+    return run
+
+
 def neighbour_matches(suffixes: DataFrame, by: str, width: int, head: int) -> DataFrame:
     """(doc_id, digest, at, head, begin, end, other_id): each suffix against its neighbours in the order of (head, ``by``).
 
     ``by`` is the side on which the match is extended, ``before`` or ``after``.
     """
-    order = ["head", by, "doc_id", "digest", "at"]
+    order, side = ["head", by, "doc_id", "digest", "at"], ["doc_id", "digest", "at", "room"]
     rows = suffixes.where(F.col(by).isNotNull()).select(*order, "room")
     # So many ranges and tasks as the session has shuffle partitions: like heads pack so well that by their bytes too many rows would make a task.
     n = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = stored(rows.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), f"suffixes-by-{by}")
-    # One row per range, however many suffixes there are. Only rows of a range's first and last head are compared whole.
-    heads = ranged.groupBy("part").agg(F.min("head").alias("a"), F.max("head").alias("z"))
-    row = F.struct(*order, "room")
-    ends = ranged.join(F.broadcast(heads), "part").where("head = a OR head = z").groupBy("part").agg(F.min(row).alias("low"), F.max(row).alias("high"))
-    by_part = Window.partitionBy().orderBy("part")
-    sides = ends.select("part", F.array(F.lag("high").over(by_part), F.lead("low").over(by_part)).alias("sides"))
-    guests = sides.select("part", F.explode("sides").alias("r")).where("r IS NOT NULL").select("r.*", "part", F.lit(True).alias("guest"))
-    both = ranged.withColumn("guest", F.lit(False)).unionByName(guests).repartition(n, "part")
-    near = Window.partitionBy("part").orderBy(*order)
+    ranged = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    one = ",".join(f"{c}:{rows.schema[c].dataType.simpleString()}" for c in side)
+    shape = f"part int, first boolean, head bigint, {by} binary, shared int, s struct<{one}>, o struct<{one}>"
+    met = stored(ranged.mapInArrow(_beside(by, side, width), shape), f"neighbours-by-{by}")
+    # Two rows per range, however many suffixes there are: a range's first row against the last one of the range before.
+    by_range = Window.partitionBy().orderBy("part", F.desc("first"))
+    ends = met.where("first IS NOT NULL").select("part", "first", "head", by, "s")
+    across = ends.withColumn("e", F.lag(F.struct("head", by, "s")).over(by_range)).where("first AND head = e.head")
+    across = across.select("head", _agreeing(width)(by, F.col(f"e.{by}")).alias("shared"), "s", F.col("e.s").alias("o"))
+    shared = met.where("first IS NULL").select("head", "shared", "s", "o").unionByName(across)
     # Each pair is compared once, and gives a row to either side.
-    side = ["doc_id", "digest", "at", "room", "guest"]
-    met = both.withColumn("o", F.lag(F.struct("head", by, *side)).over(near)).where(F.col("head") == F.col("o.head"))
-    # Rows of one place stand together in one range; they are no pair.
-    same = F.struct("doc_id", "digest", "at").eqNullSafe(F.struct("o.doc_id", "o.digest", "o.at"))
-    met = met.where(~same)
-    shared = met.withColumn("shared", _agreeing(width)(by, F.col(f"o.{by}")))
-    one, two = F.struct(*side), F.struct(*(f"o.{c}" for c in side))
-    sides = F.explode(F.array(F.struct(one.alias("s"), two.alias("o")), F.struct(two.alias("s"), one.alias("o"))))
-    pairs = shared.select("head", "shared", sides.alias("p")).select("head", "shared", "p.s.*", "p.o").where("NOT guest")
+    sides = F.explode(F.array(F.struct("s", "o"), F.struct(F.col("o").alias("s"), F.col("s").alias("o"))))
+    pairs = shared.select("head", "shared", sides.alias("p")).select("head", "shared", "p.s.*", "p.o")
     # Beyond its text's ends a suffix's surroundings are another text's words.
     left = F.least("shared", "at", "o.at") if by == "before" else F.lit(0)
     right = F.least("shared", "room", "o.room") if by == "after" else F.lit(0)

@@ -259,6 +259,27 @@ def test_a_place_is_lengthened_once(spark):
     assert got == [(i, 30, 30 - P.WIDTH, P.STRETCH + 2 * P.WIDTH, 7) for i in (1, 2, 3)]
 
 
+def test_neighbours_of_one_head_are_found_without_a_join(spark):
+    """A head that all ranges hold: every row of them met a row of its range's ends before, and more of them the larger the group."""
+    random = np.random.default_rng(9)
+    sides = [random.integers(0, 3, 8) for _ in range(600)] + [random.integers(0, 3, 8)] * 200
+    rows = [(None if i == 5 else i, i % 7, i % 11, 7 if i % 9 else 8, 5, b"".join(int(w).to_bytes(4, "big") for w in x)) for i, x in enumerate(sides)]
+    around = spark.createDataFrame(rows + rows[:20], "doc_id long, digest long, at int, head long, room int, after binary")
+    found = S.neighbour_matches(around, "after", 8, 30)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = defaultdict(int)
+    for r in found.collect():
+        assert r.begin == r.at
+        got[r.doc_id] = max(got[r.doc_id], r.end - r.at - 30)
+    words = np.array(sides)
+    heads = np.array([r[3] for r in rows])
+    for i, r in enumerate(rows):
+        shared = np.cumprod(words == words[i], axis=1).sum(axis=1)[(heads == r[3]) & (np.arange(len(rows)) != i)]
+        assert got[r[0]] == min(5, shared.max()), r
+    # one pair, two rows, for each two rows that stand together: as many pairs as places of a head but one
+    assert found.count() == 2 * (len(rows) - 2)
+
+
 def test_hashes_of_runs_and_least_places_equal_plain_loops():
     from newslens.llm import common as N
 
