@@ -280,6 +280,15 @@ def test_neighbours_of_one_head_are_found_without_a_join(spark):
     assert found.count() == 2 * (len(rows) - 2)
 
 
+def test_stretches_of_one_head_are_lengthened_without_a_join(spark):
+    side = b"".join(i.to_bytes(4, "big") for i in range(P.WIDTH))
+    rows = [(i, 0, 30, 7, 30, side, side) for i in range(300)]
+    around = spark.createDataFrame(rows, "doc_id long, digest long, at int, head long, room int, before binary, after binary")
+    found = P.lengthened(around)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.at, r.n) for r in found.collect()} == {(30 - P.WIDTH, P.STRETCH + 2 * P.WIDTH)} and found.count() == 300
+
+
 def test_hashes_of_runs_and_least_places_equal_plain_loops():
     from newslens.llm import common as N
 
