@@ -105,10 +105,11 @@ def thirds(mask: int) -> list[int]:
 
 def _dealt(rows: DataFrame, masks: dict[int, list[int]]) -> DataFrame:
     """``rows`` (fp, mask) once per mask that follows theirs, with the shared pattern."""
-    pairs = [(_signed(mask), _signed(after)) for mask, following in masks.items() for after in following]
-    # At most 3 ** 5 rows, whatever the data.
-    steps = rows.sparkSession.createDataFrame(pairs, "mask long, after long")
-    return rows.join(F.broadcast(steps), "mask").select("fp", F.col("after").alias("mask"), F.col("fp").bitwiseAND(F.col("after")).alias("pattern"))
+    # At most 3 ** 4 masks, whatever the data. A table of them would be made by Python workers of their own, beside those of the texts.
+    after = {mask: F.array(*(F.lit(_signed(m)) for m in following)) for mask, following in masks.items()}
+    steps = F.create_map(*(x for mask, following in after.items() for x in (F.lit(_signed(mask)).cast("long"), following.cast("array<bigint>"))))
+    dealt = rows.select("fp", F.explode(steps[F.col("mask")]).alias("mask"))
+    return dealt.withColumn("pattern", F.col("fp").bitwiseAND(F.col("mask")))
 
 
 def _levels(codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:

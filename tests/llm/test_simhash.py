@@ -125,3 +125,17 @@ def test_components(spark, edges):
         assert set(got.values()) == {0}
     elif len(edges) == 7:
         assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 7: 7, 8: 7, 9: 7}
+
+
+def test_codes_are_dealt_without_a_table_from_the_driver(spark):
+    """A table of masks took a second set of Python workers on every executor, which stayed."""
+    codes = [0, 5, -1, 1 << 62, -(1 << 63)]
+    rows = spark.createDataFrame([(c, 0) for c in codes], "fp long, mask long")
+    level = {0: S.thirds(0)}
+    for _ in range(2):
+        dealt = S._dealt(rows, level)
+        assert "Join" not in dealt._jdf.queryExecution().analyzed().toString()
+        got = sorted((r.fp, r.mask, r.pattern) for r in dealt.collect())
+        wanted = [(r.fp, S._signed(m), r.fp & S._signed(m)) for r in rows.collect() for m in level[r["mask"] % (1 << 64)]]
+        assert got == sorted(wanted)
+        rows, level = dealt.select("fp", "mask"), {m: S.thirds(m) for following in level.values() for m in following}
