@@ -247,6 +247,54 @@ def test_numbers_grow_with_the_words():
     assert [L.bands_for(n) for n in (0, 100, 90_000, 3_000_000, 10**12)] == [8, 8, 13, 31, 256]
 
 
+def test_words_seen_often_have_numbers_of_their_own(spark):
+    """Also far more of them than ``bands_for`` gives; numbers end where two bytes do."""
+    texts = [" ".join(f"w{i}" for i in range(4000)) for _ in range(L.LEAST)] + [f"once{i}" for i in range(3000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = L.vocabulary(L.word_counts(docs), known=100)
+    own = [words.numbers[b"w%d" % i] for i in range(4000)]
+    assert len(set(own)) == 4000 and max(own) < words.others and (words.seen[own] == L.LEAST).all()
+    assert words.seen.sum() == 4000 * L.LEAST + 3000 and words.size == 18**3
+    assert [L.numbers_for(*n) for n in ((0, 0), (321, 36), (90_000, 3072), (90_000, 3073), (10**12, 10**9))] == [8**2, 8**2, 64**2, 17**3, 40**3]
+
+
+def test_three_layers_follow_the_slope_and_sum_to_one(monkeypatch):
+    random, size = np.random.default_rng(6), 17**3
+    seen = random.integers(0, 1000, size)
+    p = {k: v + random.normal(0, 0.3, v.shape).astype(np.float32) for k, v in L.starting_parameters(seen).items()}
+    assert L.layers_of(size) == (3, 17) and p["spot_bias"].shape == (17**2, 17)
+    ids = random.permutation(size)[:40].astype(np.int32)
+    around = L.contexts(ids, np.arange(40), size)
+    logs = L.forward(p, np.repeat(around[:, 7:8], size, axis=1), np.arange(size, dtype=np.int32))[3]
+    assert np.exp(logs).sum() == pytest.approx(1, abs=1e-4)
+    plain = {k: v if k.endswith("_bias") else 0 * v for k, v in L.starting_parameters(seen).items()}
+    assert L.forward(plain, around, ids)[3] == pytest.approx(np.log((seen[ids] + 1) / (seen.sum() + size)), abs=1e-4)
+    trainer, eps = L.Trainer(p), 1e-2
+    for name in trainer.sums:
+        trainer.sums[name][:] = 1e12  # so that steps show the slope alone
+    monkeypatch.setattr(L, "RATE", 1e12)
+    before = {k: v.astype(np.float64) for k, v in p.items()}
+    trainer.step(around, ids)
+    for name, at in (("spot", (3, ids[2] % 17)), ("spot_bias", (ids[4] // 17, ids[4] % 17)), ("place", (2, 5)), ("place_bias", (ids[0] // 289, 4)), ("context", (1, ids[9], 4))):
+        loss = []
+        for sign in (1, -1):
+            moved = {k: v.copy() for k, v in p.items()}
+            moved[name][at] += sign * eps
+            loss.append(-L.forward(moved, around, ids)[3].mean(dtype=np.float64))
+        slope = (loss[0] - loss[1]) / (2 * eps)
+        assert (before[name][at] - trainer.p[name][at]) / 1e6 == pytest.approx(slope, rel=0.05, abs=2e-4), name
+
+
+def test_copies_are_averaged_in_one_or_two_rounds_of_keys(spark, monkeypatch):
+    _, docs = sentences(spark)
+    words = L.vocabulary(L.word_counts(docs))
+    numbered, start = L.numbered_texts(docs, words), L.starting_parameters(words.seen)
+    once = L.trained(numbered, start, 92_000, 1, 10_000)
+    monkeypatch.setattr(L, "SPREAD", 4)
+    twice = L.trained(numbered, start, 92_000, 1, 10_000)
+    assert all(np.allclose(once[k], twice[k], atol=1e-6) for k in once) and not np.array_equal(once["band"], start["band"])
+
+
 def test_pieces_of_a_long_text_score_like_the_whole(monkeypatch):
     p, ids = tiny(), np.random.default_rng(3).integers(0, SIZE, 500).astype(np.int32)
     whole = one(p, ids)
