@@ -99,6 +99,35 @@ def test_cut_between_good_and_bad():
     assert Q.best_cut({10: 9, 40: 90}, {0: 50, 20: 1})[1] == 0.0055
 
 
+def test_only_labelled_documents_are_scored_for_the_cut(spark):
+    """The cut is found on labelled documents: reading the others word by word, or any text twice, is work for nothing."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, f"{text} x{i}") for i in range(3000)] + [(5, f"{text} again"), (None, text), (6, None), (7, "short")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("own", F.when(F.expr("doc_id < 40 AND doc_id % 2 = 1"), True))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(3, 0), (None, 1), (2000, None), (9999, 1)], "doc_id long, quality int")
+    ratios = Q.log_ratios(Q.gram_counts(docs.drop("own"), Q.trusted_ids(labels), 64), 64)
+    scored = Q.labelled_scores(docs, labels, "own", spark.sparkContext.broadcast(ratios), 64)
+    got = scored.collect()
+    expected = sorted((i, [ratios.score(Q.grams(t.encode().split(), 64), i % 2 == 1, k) for k in range(3)]) for i, t in rows
+                      if i is not None and i < 40 and t and t != "short")
+    assert sorted((r.doc_id, r.scores) for r in got if r.doc_id < 40) == expected
+    assert len(got) < len(expected) + 10
+    plan = scored.join(labels, "doc_id").select(F.explode("scores"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "EvalPython" not in plan
+
+
+def test_null_and_repeated_ids_get_their_own_verdicts(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (1, text), (1, f"{text} more"), (None, text), (None, None), (2, ""), (3, text.replace("w", "v")), (4, "a b c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (3, 0), (None, 1), (8, 1), (4, None)], "doc_id long, quality int")
+    got = [(r.doc_id, r.text, r.quality_verdict) for r in Q.quality_verdicts(docs, labels).collect()]
+    assert Counter((i, t) for i, t, _ in got) == Counter(rows)
+    assert all((v.n_words, v.word_chars, v.n_symbols, v.n_dup_lines, v.n_repeat_words, v.base_failed) == brute_base(t) for _, t, v in got)
+    kept = {(i, t) for i, t, v in got if v.kept}
+    assert (1, text) in kept and (3, rows[6][1]) not in kept and all(v.llr == 0 and not v.kept for _, t, v in got if not t)
+
+
 # --- line dedup ------------------------------------------------------------
 
 
