@@ -99,6 +99,13 @@ def test_cut_between_good_and_bad():
     assert Q.best_cut({10: 9, 40: 90}, {0: 50, 20: 1})[1] == 0.0055
 
 
+def test_repeated_windows_are_told_apart_where_their_hashes_are_equal():
+    for text in ("", "a b", "a b c", "a b c d e f g", "a b c a b c", "a a a a", "x a b c y a b c z b c y"):
+        words = text.encode().split()
+        equal, real = np.zeros(len(words), np.uint64), Q.word_hashes(words)
+        assert Q.repeated_words(words, equal) == Q.repeated_words(words, real) == brute_base(text)[4]
+
+
 def test_only_labelled_documents_are_scored_for_the_cut(spark):
     """The cut is found on labelled documents: reading the others word by word, or any text twice, is work for nothing."""
     text = " ".join(f"w{i}" for i in range(60))
